@@ -1,10 +1,10 @@
 """Queries of the text operators and their SQL."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_words, repair_store, token_counts
+from . import bpe_words, host_paths, merkle_audit, odd_sketch, quality_fm, repair_store, robust_outliers, template_leaks, token_counts, unit_dedup
 from .shared import table
 
 
@@ -13,20 +13,90 @@ def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = robust_outliers.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unit_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def damaged(key: Column, record: Column) -> Column:
+    """A replica's record: of 101 keys one has another byte, one lacks its end, and one record is gone (null)."""
+    flipped = F.concat(F.substring(record, 1, 20), F.lit("#"), F.expr("substring(record, 22)"))
+    short = F.expr("substring(record, 1, length(record) - 9)")
+    rest = F.pmod(key, F.lit(101))
+    return F.when(rest == 7, flipped).when(rest == 42, short).when(rest != 77, record)
+
+
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity of every record against a replica with planted damage, and its place in the record file."""
+    pages = table(spark, sf_dir, "pages")
+    records = pages.select(F.col("page_id").alias("key"), merkle_audit.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    replica = records.withColumn("record", damaged(F.col("key"), F.col("record"))).where("record IS NOT NULL")
+    good, other = merkle_audit.Tree(records), merkle_audit.Tree(replica)
+    found = merkle_audit.audit(good, other)
+    out = merkle_audit.offsets(good).join(found, "key", "left")
+    return out.select(F.col("key").alias("page_id"), "start", "length", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+
+
+OP8_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages WHERE page_id IS NOT NULL)
+SELECT page_id,
+  CAST(sum(strlen(record)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS start,
+  CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
+  CASE page_id % 101 WHEN 7 THEN 'corrupt' WHEN 42 THEN 'corrupt' WHEN 77 THEN 'missing' ELSE 'ok' END AS status
+FROM r
+"""
+
+
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     both = bpe_words.decode(bpe_words.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    out = quality_fm.classify(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_repair_store": op1_repair_store,
+    "op2_robust_outliers": op2_robust_outliers,
+    "op3_unit_dedup": op3_unit_dedup,
+    "op4_template_leaks": op4_template_leaks,
     "op5_token_counts": op5_token_counts,
+    "op6_host_paths": op6_host_paths,
+    "op7_odd_sketch": op7_odd_sketch,
+    "op8_merkle_audit": op8_merkle_audit,
     "op9_bpe_words": op9_bpe_words,
+    "op10_quality_fm": op10_quality_fm,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_merkle_audit": OP8_SQL}
