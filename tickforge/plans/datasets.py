@@ -92,7 +92,7 @@ def _vectors(s, d):
 SEQ = SAMPLES + f""", z AS (SELECT day, sample_idx AS end_idx, first(ts_ns) OVER (PARTITION BY day ORDER BY sample_idx ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS start_ts, ts_ns AS end_ts FROM s),
 q AS (SELECT *, (end_idx - {WINDOW - 1}) // {STRIDE} AS seq_id, end_ts - start_ts AS duration_ns, {WINDOW} AS length FROM z WHERE end_idx >= {WINDOW - 1} AND (end_idx - {WINDOW - 1}) % {STRIDE} = 0)"""
 SEQ_COLUMNS = ["seq_id", "end_idx", "start_ts", "end_ts", "duration_ns", "length"]
-OFFSETS = SEQ + f", o AS (SELECT q.day, seq_id, k AS "offset", seq_id * {STRIDE} + k AS sample_idx FROM q, range(0, {WINDOW}) AS g(k))"
+OFFSETS = SEQ + f", o AS (SELECT q.day, seq_id, k AS \"offset\", seq_id * {STRIDE} + k AS sample_idx FROM q, range(0, {WINDOW}) AS g(k))"
 SCALES = {"fast": (1, 10), "medium": (2, 15), "slow": (4, 20)}
 MULTISCALE = SAMPLES + "\n---\n" + " UNION ALL ".join(
     f"SELECT day, '{n}' AS scale, i - {w - 1} AS seq_id, i AS end_idx, ts - s AS duration_ns FROM (SELECT day, sample_idx // {k} AS i, ts_ns AS ts, first(ts_ns) OVER (PARTITION BY day ORDER BY sample_idx ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS s FROM s WHERE sample_idx % {k} = 0) WHERE i >= {w - 1}"
