@@ -11,6 +11,7 @@ their own. An empty table gives an empty result. Other columns are ignored.
 """
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +42,31 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def pack_ints(x: np.ndarray) -> bytes:
-    """Byte planes of 32-bit integers, compressed: small numbers leave empty planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """32-bit integers, compressed: those below 255 as a byte each, the planes of the others' bytes behind them."""
+    x = x.astype("<u4")
+    small = np.minimum(x, 255).astype(np.uint8)
+    large = np.ascontiguousarray(x[x >= 255].view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(x)).tobytes() + small.tobytes() + large.tobytes())
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel() if len(planes) else np.zeros(0, np.uint32)
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.uint32)
+    planes = np.frombuffer(data, np.uint8, -1, 4 + n).reshape(4, -1) if len(data) > 4 + n else np.zeros((4, 0), np.uint8)
+    out[out == 255] = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return out
+
+
+def pack_places(numbers: np.ndarray, next_: int) -> bytes:
+    """Word numbers given in order of first use: a first use is the next number, and stored as 0."""
+    top = np.maximum.accumulate(np.concatenate(([next_ - 1], numbers)))
+    return pack_ints(np.concatenate(([next_], np.where(numbers > top[:-1], 0, numbers + 1))))
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    x = unpack_ints(data).astype(np.int64)
+    return np.where(x[1:] == 0, x[0] + np.cumsum(x[1:] == 0) - 1, x[1:] - 1)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -71,96 +90,104 @@ def _explode(pattern: str, id_col: str, text_col: str, buckets: int):
         find = regex.compile(pattern).findall
         block, held, local = TaskContext.get().partitionId() << 32, 0, {}
 
-        def words() -> pa.RecordBatch:
+        def words() -> Iterator[pa.RecordBatch]:
             dealt: list[list[bytes]] = [[] for _ in range(buckets)]
             order = np.empty(len(local), np.uint32)
             for number, w in enumerate(local):
                 b = w.encode()
                 order[number] = k = xxhash.xxh3_64_intdigest(b) % buckets
                 dealt[k].append(b)
-            rows = [(2, block, None, pack_ints(order), None, None), *((1, block, k, pack_words(x), None, None) for k, x in enumerate(dealt) if x)]
-            return pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in rows], schema)
+            local.clear()
+            for row in [(2, block, None, pack_ints(order), None, None), *((1, block, k, pack_words(x), None, None) for k, x in enumerate(dealt) if x)]:
+                yield pa.RecordBatch.from_pylist([dict(zip(columns, row, strict=True))], schema)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
             at = 0
             while at < len(texts):
-                put, stream, counts, first = local.setdefault, [], [], at
+                put, stream, counts, first, known = local.setdefault, [], [], at, len(local)
                 while at < len(texts) and (held < BLOCK_BYTES or not held):
                     found = find(texts[at])
                     stream += [put(w, len(local)) for w in found]
                     counts.append(len(found))
                     held += len(texts[at]) + 1
                     at += 1
-                yield pa.RecordBatch.from_pylist([dict(zip(columns, (0, block, None, pack_ints(np.array(stream, np.uint32)), ids[first:at], counts), strict=True))], schema)
+                yield pa.RecordBatch.from_pylist([dict(zip(columns, (0, block, None, pack_places(np.array(stream, np.int64), known), ids[first:at], counts), strict=True))], schema)
                 if held >= BLOCK_BYTES:
-                    yield words()
-                    block, held, local = block + 1, 0, {}
+                    yield from words()
+                    block, held = block + 1, 0
         if local:
-            yield words()
+            yield from words()
 
     return run
 
 
-def _encode_bucket(path: str, pattern: str):
-    def run(table: pa.Table) -> pa.Table:
-        encode, known, payloads = encoding(path, pattern).encode_ordinary, {}, []
-        for data in table.column("payload").to_pylist():
-            words = unpack_words(data)
-            for w in words:
-                if w not in known:
-                    known[w] = encode(w.decode())
-            ids = [known[w] for w in words]
-            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-            payloads.append(pack_ints(np.concatenate((np.array([len(ids)], np.uint32), sizes, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))))))
-        return pa.table({"kind": pa.array([1] * len(payloads), pa.int32()), "block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(payloads, pa.binary())})
+def _encode_buckets(path: str, pattern: str):
+    """Word lists, those of one bucket together, into lists of ids; a word is encoded once in a bucket."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known, now = encoding(path, pattern).encode_ordinary, {}, None
+        for batch in batches:
+            payloads = []
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if bucket != now:
+                    known, now = {}, bucket
+                words = unpack_words(data.as_py())
+                for w in words:
+                    if w not in known:
+                        known[w] = array("I", encode(w.decode())).tobytes()
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) >> np.uint32(2)
+                payloads.append(pack_ints(np.concatenate((np.array([len(ids)], np.uint32), sizes, np.frombuffer(b"".join(ids), "<u4")))))
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(payloads), pa.int32()), batch.column(1), batch.column(0), pa.array(payloads, pa.binary())], schema=schema)
 
     return run
 
 
-def _assemble():
-    """The ids of a block's texts. Kind 2 has the bucket of each of the block's words; the words of one bucket
-    keep the order of their numbers, so a stable sort by bucket tells where each word's ids are."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+class _Block:
+    """Ids of a block's words by number. `order` has the bucket of each word; the words of one bucket keep the
+    order of their numbers, so a stable sort by bucket tells where each word's ids are."""
 
-    def run(table: pa.Table) -> pa.Table:
-        parts, streams = {}, []
-        for r in table.to_pylist():
-            if r["kind"] == 1:
-                x = unpack_ints(r["payload"])
-                n = int(x[0])
-                parts[r["bucket"]] = (x[1 : 1 + n].astype(np.int64), x[1 + n :])
-            elif r["kind"] == 2:
-                order = unpack_ints(r["payload"]).astype(np.int64)
-            else:
-                streams.append(r)
-        if parts:
-            names = sorted(parts)
-            sizes = np.concatenate([parts[k][0] for k in names])
-            flat = np.concatenate([parts[k][1] for k in names])
-            begins = np.cumsum(sizes) - sizes
-            # `order` has the bucket of each number; words of one bucket keep the order of their numbers
-            place = np.empty(len(order), np.int64)
-            place[np.argsort(order, kind="stable")] = np.arange(len(order))
-            size_of, begin_of = sizes[place], begins[place]
-        doc_ids, out = [], []
-        for r in streams:
-            numbers = unpack_ints(r["payload"]).astype(np.int64)
-            at = 0
-            for doc, n in zip(r["doc_ids"], r["counts"], strict=True):
-                k = numbers[at : at + n]
-                at += n
-                doc_ids.append(doc)
-                if not n:
-                    out.append(b"")
-                    continue
-                size = size_of[k]
-                ends = np.cumsum(size)
-                out.append(flat[np.repeat(begin_of[k] - ends + size, size) + np.arange(ends[-1])].astype("<u4").tobytes())
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+    def __init__(self, order: np.ndarray, parts: dict[int, np.ndarray]):
+        names = sorted(parts)
+        sizes = np.concatenate([parts[k][1 : 1 + parts[k][0]] for k in names] or [np.zeros(0, np.uint32)])
+        self.flat = np.concatenate([parts[k][1 + parts[k][0] :] for k in names] or [np.zeros(0, np.uint32)])
+        place = np.empty(len(order), np.int32)
+        place[np.argsort(order, kind="stable")] = np.arange(len(order), dtype=np.int32)
+        self.size = sizes[place].astype(np.int32)
+        self.begin = (np.cumsum(sizes, dtype=np.int64) - sizes)[place].astype(np.int32)
 
-    return run
+    def ids(self, numbers: np.ndarray) -> bytes:
+        if not len(numbers):
+            return b""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[numbers] - ends + size, size) + np.arange(ends[-1])].tobytes()
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by position, block by block; a block's bucket list and ids come before its texts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    now, order, parts, block = None, np.zeros(0, np.uint32), {}, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+            if row["block"] != now:
+                now, order, parts, block = row["block"], np.zeros(0, np.uint32), {}, None
+            if row["kind"] == 2:
+                order = unpack_ints(row["payload"])
+            elif row["kind"] == 1:
+                parts[row["bucket"]] = unpack_ints(row["payload"])
+            else:
+                if block is None:
+                    block, parts = _Block(order, parts), {}
+                numbers, at, out = unpack_places(row["payload"]), 0, []
+                for n in row["counts"]:
+                    out.append(block.ids(numbers[at : at + n]))
+                    at += n
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,10 +198,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     # in proportion to the input, so that a bucket's words stay as many at any size
     buckets = max(16, 2 * docs.rdd.getNumPartitions())
     packs = written(docs.mapInArrow(_explode(pattern, "doc_id", "text", buckets), PACKS), "pretokens")
-    words = packs.where("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket")
-    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks_path, pattern), "kind int, block long, bucket int, payload binary")
+    words = packs.where("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    coded = words.mapInArrow(_encode_buckets(ranks_path, pattern), "kind int, block long, bucket int, payload binary")
     back = packs.where("kind <> 1").unionByName(coded, allowMissingColumns=True)
-    return back.repartition(buckets, "block").groupBy("block").applyInArrow(_assemble(), "doc_id long, ids binary")
+    ordered = back.repartition(buckets, "block").sortWithinPartitions("block", F.col("kind").desc())
+    return ordered.mapInArrow(_assemble, "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
