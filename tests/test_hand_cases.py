@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from tickforge.operators import align, book, experimental, flow, labels, lob, mbo, normalize, sampling, sequences
+from tickforge.operators import align, book, experimental, flow, labels, lob, mbo, normalize, queue, sampling, sequences
 
 DAY = "2025-01-06"
 
@@ -179,3 +179,23 @@ def test_a_day_alone_gives_the_same_and_order_of_rows_does_not_matter(spark):
     a = mbo.flow_features(one, 50, 10, 100).select(*cols).orderBy("seq").collect()
     b = mbo.flow_features(two, 50, 10, 100).where("day = '2025-01-07'").select(*cols).orderBy("seq").collect()
     assert a == b
+
+
+def test_queue_positions(spark):
+    rows = [("A", "B", 1, 100, 10), ("A", "B", 2, 100, 5), ("A", "B", 3, 100, 2), ("T", "B", 1, 100, 4), ("C", "B", 1, 100, 6), ("M", "B", 2, 100, 5)]
+    got = queue.queue_features(messages(spark, rows)).orderBy("seq").collect()
+    assert [r.avg_queue_position for r in got] == [0, 0.5, 1, 1, 0.5, 0.5]
+    assert [round(r.queue_size_ahead, 6) for r in got] == [0, 5, round(25 / 3, 6), round(17 / 3, 6), 2.5, 1]
+
+
+def test_windows_of_sampled_rows_as_frames(spark):
+    import random
+
+    r = random.Random(2)
+    x = messages(spark, [(r.choice("AACMT"), r.choice("BA"), r.randint(1, 9), 100, r.randint(1, 300)) for _ in range(257)])
+    x = x.unionByName(x.where("seq < 30").withColumn("day", F.lit("2025-01-07")))
+    for window in (1, 7, 60, 400):
+        at = F.col("seq") % 13 == 4
+        for op in (mbo.size_features, mbo.flow_volatility):
+            a = op(x, window).where(at).orderBy("day", "seq").collect()
+            assert a == op(x, window, at=at).select(*op(x, window).columns).orderBy("day", "seq").collect()

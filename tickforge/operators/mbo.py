@@ -51,46 +51,70 @@ def flow_features(messages: DataFrame, medium: int = 1000, fast: int = 100, slow
     return m.drop(*(x for x in m.columns if x.startswith("__")))
 
 
-def size_features(messages: DataFrame, window: int = 1000, span: bool = False, keys: tuple[str, ...] = DAY) -> DataFrame:
-    """Adds percentiles (sorted sizes at the floor index), moments, concentration and large orders of the window."""
-    w = last_rows(window, keys=keys)
-    size = F.col("size")
-    m = messages.withColumns({"__z": F.collect_list(F.struct("size", "side")).over(w), "__mean": F.avg("size").over(w), "__std": F.stddev_pop("size").over(w), "__skew": F.skewness("size").over(w), "duration": duration(window, span, keys)})
-    m = m.withColumn("__s", F.array_sort(F.col("__z.size"))).withColumn("__n", F.size("__s"))
-    at = lambda num, den: F.element_at("__s", (F.floor(F.col("__n") * num / den) + 1).cast("int"))
-    m = m.withColumns({f"size_p{p}": at(n, d).cast("double") for p, n, d in ((25, 1, 4), (50, 1, 2), (75, 3, 4), (90, 9, 10))})
-    large = F.filter("__z", lambda x: x["size"] > F.col("size_p90"))
-    volume = lambda s: F.aggregate(F.filter(large, lambda x: x["side"] == s), F.lit(0).cast("long"), lambda a, x: a + x["size"])
-    whole, squares = F.sum("size").over(w), F.sum(size * size).over(w)
+def windows(messages: DataFrame, window: int, at: Column | None = None, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """Adds `window`, the (size, side, action) of the last messages; of the rows where `at` holds, if given.
+
+    A frame gathers its rows anew for every message. Where only sampled rows are wanted, messages are gathered
+    once, in blocks as long as the window, and a sample cuts its window out of its block and the one before."""
+    member = F.struct("size", "side", "action")
+    if at is None:
+        return messages.withColumn("window", F.collect_list(member).over(last_rows(window, keys=keys)))
+    by = [*keys, "__block"]
+    rows = messages.withColumn("__row", (F.row_number().over(ordered(keys=keys)) - 1).cast("long")).withColumn("__block", F.floor(F.col("__row") / window))
+    blocks = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__row", member.alias("m")))).alias("__m")).withColumn("__m", F.col("__m.m"))
+    before = F.coalesce(F.lag("__m").over(Window.partitionBy(*keys).orderBy("__block")), F.slice("__m", 1, 0))
+    blocks = blocks.withColumn("__b", before)
+    picked = rows.where(at).join(blocks, by)
+    upto = (F.col("__row") % window + 1).cast("int")
+    own = F.slice("__m", F.lit(1), upto)
+    rest = F.greatest(F.least(F.size("__b"), F.lit(window) - upto), F.lit(0))
+    old = F.slice("__b", F.size("__b") - rest + 1, rest)
+    return picked.withColumn("window", F.concat(F.when(rest > 0, old).otherwise(F.slice("__m", 1, 0)), own)).drop("__row", "__block", "__m", "__b")
+
+
+def _total(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
+
+
+def size_features(messages: DataFrame, window: int = 1000, span: bool = False, at: Column | None = None, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """Adds percentiles (sorted sizes at the floor index), moments, concentration and large orders of the window;
+    only rows where `at` holds, if given."""
+    m = windows(messages.withColumn("duration", duration(window, span, keys)), window, at, keys)
+    n, size, z = F.col("__n"), F.col("size"), F.col("window")
+    m = m.withColumns({"__s": F.array_sort(F.col("window.size")), "__n": F.size("window")})
+    at_ = lambda num, den: F.element_at("__s", (F.floor(n * num / den) + 1).cast("int"))
+    m = m.withColumns({f"size_p{p}": at_(num, den).cast("double") for p, num, den in ((25, 1, 4), (50, 1, 2), (75, 3, 4), (90, 9, 10))})
+    m = m.withColumns({"__mean": _total(F.col("__s"), lambda x: x) / n, "__large": F.filter(z, lambda x: x["size"] > F.col("size_p90"))})
+    m = m.withColumn("__std", F.sqrt(_total(F.col("__s"), lambda x: (x - F.col("__mean")) * (x - F.col("__mean"))) / n))
+    volume = lambda side: F.aggregate(F.filter("__large", lambda x: x["side"] == side), F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    cubes = _total(F.col("__s"), lambda x: F.pow((x - F.col("__mean")) / F.col("__std"), F.lit(3.0))) / n
+    whole, squares = _total(F.col("__s"), lambda x: x), _total(F.col("__s"), lambda x: x.cast("double") * x)
     m = m.withColumns({
         "size_zscore": (size - F.col("__mean")) / (F.col("__std") + DIVISION_GUARD),
-        "large_order_ratio": F.size(large) / F.col("__n"),
-        "size_skewness": F.when((F.col("__n") < 3) | (F.col("__std") < 1e-10), 0.0).otherwise(F.col("__skew")),
-        "size_concentration": squares / (whole.cast("double") * whole),
-        "large_order_frequency": F.size(large) / F.col("duration"),
+        "large_order_ratio": F.size("__large") / n,
+        "size_skewness": F.when((n < 3) | (F.col("__std") < 1e-10), 0.0).otherwise(cubes),
+        "size_concentration": squares / (whole * whole),
+        "large_order_frequency": F.size("__large") / F.col("duration"),
         "large_order_imbalance": (volume("B") - volume("A")) / (volume("B") + volume("A") + DIVISION_GUARD),
     })
-    return m.drop("__z", "__mean", "__std", "__skew", "__s", "__n")
+    return m.drop("window", "__s", "__n", "__mean", "__std", "__large")
 
 
-def flow_volatility(messages: DataFrame, window: int = 1000, chunks: int = 10, least: int = 50, keys: tuple[str, ...] = DAY) -> DataFrame:
+def flow_volatility(messages: DataFrame, window: int = 1000, chunks: int = 10, least: int = 50, at: Column | None = None, keys: tuple[str, ...] = DAY) -> DataFrame:
     """Adds order_flow_volatility: deviation of the adds' imbalance over ten parts of the window, the last with
     what remains; 0 for fewer than `least` messages."""
-    w = last_rows(window, keys=keys)
-    sign = F.when(F.col("action") == "A", F.when(F.col("side") == "B", 1).when(F.col("side") == "A", -1).otherwise(0)).otherwise(0)
-    m = messages.withColumn("__g", F.collect_list(sign).over(w)).withColumn("__n", F.size("__g"))
+    sign = lambda x: F.when(x["action"] == "A", F.when(x["side"] == "B", 1).when(x["side"] == "A", -1).otherwise(0)).otherwise(0)
+    m = windows(messages, window, at, keys).withColumn("__g", F.transform("window", sign)).withColumn("__n", F.size("__g"))
     step = F.floor(F.col("__n") / chunks).cast("int")
     parts = []
     for k in range(chunks):
         part = F.slice("__g", (step * k + 1).cast("int"), step if k < chunks - 1 else (F.col("__n") - step * k).cast("int"))
         up, any_ = F.aggregate(part, F.lit(0), lambda a, x: a + x), F.size(F.filter(part, lambda x: x != 0))
         parts.append(up / (any_ + DIVISION_GUARD))
-    x = F.array(*parts)
-    m = m.withColumn("__x", F.when(F.col("__n") >= least, x))
-    mean = F.aggregate("__x", F.lit(0.0), lambda a, v: a + v) / chunks
-    m = m.withColumn("__mean", mean)
-    var = F.aggregate("__x", F.lit(0.0), lambda a, v: a + (v - F.col("__mean")) * (v - F.col("__mean"))) / chunks
-    return m.withColumn("order_flow_volatility", F.when(F.col("__x").isNull(), 0.0).otherwise(F.sqrt(var))).drop("__g", "__n", "__x", "__mean")
+    m = m.withColumn("__x", F.when(F.col("__n") >= least, F.array(*parts)))
+    m = m.withColumn("__mean", _total(F.col("__x"), lambda v: v) / chunks)
+    var = _total(F.col("__x"), lambda v: (v - F.col("__mean")) * (v - F.col("__mean"))) / chunks
+    return m.withColumn("order_flow_volatility", F.when(F.col("__x").isNull(), 0.0).otherwise(F.sqrt(var))).drop("window", "__g", "__n", "__x", "__mean")
 
 
 def _whole_ticks(best: Column, tick: int):
