@@ -75,7 +75,7 @@ def test_passage_inside_a_line_goes_from_later_documents(spark):
     passage = prose(r, 60)
     one, two = prose(r, 50).rstrip("."), prose(r, 50).rstrip(".")
     clean = prose(r, 300)
-    got = {g.doc_id: g for g in run(spark, [(9, f"{one} été {passage} und {two}"), (4, f"{prose(r, 30)} {passage} und"), (1, clean)])}
+    got = {g.doc_id: g for g in run(spark, [(9, f"{one} été {passage} und {two}"), (4, f"{prose(r, 30)} {passage}"), (1, clean)])}
     assert got[1].text == clean and not got[1].removed
     assert passage in got[4].text and not got[4].removed
     assert passage not in got[9].text and len(got[9].text) < len(one) + len(two) + 20
