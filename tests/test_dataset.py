@@ -8,6 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tickforge import batch, config, contract, registry
 from tickforge.__main__ import main
+from tickforge.functions.tables import materialized
 from tickforge.operators import export, tensors
 from tickforge.plans import dataset
 from tickforge.sources import messages as sources
@@ -60,7 +61,7 @@ def test_samplers_and_aligned_sequences(spark, stream, tmp_path):
     for s in (config.Sampling("volume", volume_threshold=400), config.Sampling("volume", volume_threshold=400, adaptive=True, volatility_window=10, calibration=20)):
         assert dataset.samples(stream, made(sampling=s)).count() > 20
     c = made()
-    s = dataset.samples(stream, c).persist()
+    s = materialized(dataset.samples(stream, c), "samples")
     x = dataset.aligned(s, c)
     got = export.numpy_days(x, str(tmp_path / "out"), ["label_3", "label_5"], c).collect()
     assert {r.day for r in got} == {"2024-10-04", "2024-10-05"} and all(r.n_features == 98 for r in got)

@@ -31,21 +31,20 @@ def main(args: list[str] | None = None) -> int:
 
 def export(spark, config) -> dict:
     """Write the configured days as NumPy files below the output folder, by split, with a manifest."""
+    from tickforge.functions.tables import materialized
     from tickforge.operators import align, export as sinks
     from tickforge.plans import dataset
 
     files = [f for f in map(config.data.file, config.data.days()) if Path(f).exists()]
     if not files:
         raise FileNotFoundError("no file of the configured days")
-    rows = dataset.samples(spark.read.parquet(*files), config).persist()
+    rows = materialized(dataset.samples(spark.read.parquet(*files), config), "samples")
     splits = {str(r.day): r.split for r in align.split_days(rows.select("day").distinct(), config.split.train, config.split.val).collect()}
     sequences = dataset.aligned(rows, config)
     labels = [c for c in sequences.columns if c.startswith("label_")]
-    written = sinks.numpy_days(sequences, config.output, labels, config).persist()
-    out = sinks.manifest(config, written, splits)
+    out = sinks.manifest(config, sinks.numpy_days(sequences, config.output, labels, config), splits)
     Path(config.output, "manifest.json").write_text(json.dumps(out, indent=2))
     config.save(str(Path(config.output, "config.toml")))
-    rows.unpersist()
     return out
 
 

@@ -128,8 +128,36 @@ SELECT day, seq, bps, CASE WHEN {M} IS NULL THEN 0 ELSE coalesce(list_sum(list_t
   CASE WHEN {M} IS NULL THEN 0 ELSE coalesce(list_sum(list_transform(range(1, 11), lambda i: CASE WHEN ask_px[i] > 0 AND ask_px[i] / 1e9 <= {M} * (1 + bps / 1e4) THEN ask_sz[i] ELSE 0 END)), 0) END AS ask_volume
 FROM (SELECT *, unnest([3, 7, 15]) AS bps FROM edge)"""
 
+def _imbalances():
+    from tickforge.functions import books
+
+    return {"queue_imbalance": books.imbalance(1), **{f"depth_imbalance_{n}": books.imbalance(n) for n in (3, 5, 10)}}
+
+
+def _validity():
+    from tickforge.functions import books
+
+    return {"book_valid": books.valid().cast("int")}
+
+
+_of = lambda n: _ratio(f"list_sum(bid_sz[1:{n}]) - list_sum(ask_sz[1:{n}])", f"(list_sum(bid_sz[1:{n}]) + list_sum(ask_sz[1:{n}]))")
+IMBALANCES = {"queue_imbalance": _of(1), **{f"depth_imbalance_{n}": _of(n) for n in (3, 5, 10)}}
+SAMPLES = LOB + f"""
+---
+SELECT day, seq, {", ".join(f"{x} AS {n}" for n, x in (raw | derived).items())} FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq) AS rn FROM lob) WHERE rn % 10 = 0"""
+
+
+def _samples(spark, sf_dir):
+    from tickforge.plans.flagship import samples
+
+    return samples(spark, sf_dir)
+
+
 QUOTED = "best_bid IS NOT NULL AND best_ask IS NOT NULL"
 QUERIES = {
+    "samples48": Query(_samples, SAMPLES, KEYS, ["seq"], [*raw, *derived]),
+    "imbalances": _query(edge, EDGE, "edge", _imbalances, IMBALANCES),
+    "book_valid": _query(edge, EDGE, "edge", _validity, {"book_valid": "CASE WHEN best_bid < best_ask THEN 1 ELSE 0 END"}, ["book_valid"]),
     "lob_raw": _query(edge, EDGE, "edge", ops.raw, raw),
     "lob_normalized": _query(edge, EDGE, "edge", ops.normalized, normal),
     "derived": _query(edge, EDGE, "edge", ops.derived, derived, where=QUOTED),

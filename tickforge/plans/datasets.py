@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tickforge.functions.tables import materialized
 from tickforge.operators import align, labels, normalize, sequences, tensors
 from tickforge.plans.catalog import EDGE, EVERY, MBO, MIDS, STRIDE, WINDOW, Query, edge, lob, mbo, mids
 
@@ -239,7 +240,42 @@ def _barrier(s, d, **more):
     return labels.triple_barrier(mids(s, d), BH, PT, SL, HOLD, **more)
 
 
+def _config():
+    from tickforge import config
+
+    c = config.Builder().with_trading_signals().with_experimental().mbo_window(100).event_sampling(EVERY).window(WINDOW, STRIDE).build()
+    c.features.fast_window, c.features.slow_window, c.sequences.window = 20, 300, 10
+    c.labels = config.Labels(horizons=[2, 4], smoothing=2, threshold=0.0001)
+    return c
+
+
+def _full(s, d):
+    """All 116 features of event samples, with the books of the bridge."""
+    from tickforge.plans import dataset
+
+    return dataset.samples(mbo(s, d), _config(), edge(s, d))
+
+
+def _dataset(s, d):
+    """Aligned, normalised sequences with labels: sizes and label columns of each."""
+    from tickforge.plans import dataset
+
+    x = dataset.aligned(materialized(_full(s, d), "samples"), _config())
+    return x.select("day", "seq_id", F.size("features").alias("steps"), F.size(F.col("features")[0]).alias("width"), "label_2", "label_4")
+
+
+def _queues(s, d):
+    from tickforge.operators import queue
+
+    return queue.queue_features(mbo(s, d))
+
+
+from tickforge import contract  # noqa: E402
+
 QUERIES = {
+    "samples116": Query(_full, None, KEYS, ["sample_idx", "seq"], contract.FEATURES),
+    "dataset_sequences": Query(_dataset, None, KEYS, ["seq_id", "steps", "width", "label_2", "label_4"], []),
+    "queue_positions": Query(_queues, None, KEYS, ["seq"], ["avg_queue_position", "queue_size_ahead"]),
     "label_tlob": Query(lambda s, d: labels.tlob(mids(s, d), K, H, THETA), TLOB + "\n---\nSELECT * FROM l", KEYS, ["t", "label"], ["pct"]),
     "tlob_counts": Query(lambda s, d: labels.tlob(mids(s, d), K, H, THETA).groupBy("day", "label").agg(F.count("t").alias("n")), TLOB + "\n---\nSELECT day, label, count(*) AS n FROM l GROUP BY day, label", KEYS, ["label", "n"], []),
     "label_deeplob_cur": Query(lambda s, d: labels.deeplob(mids(s, d), H, THETA), MIDS + f", c AS (SELECT day, t, n, (avg(p) OVER {rows(1, H)} - p) / p AS pct FROM mids)\n---\nSELECT day, t, pct, {CLASS('pct', THETA, THETA)} AS label FROM c WHERE t < n - {H}", KEYS, ["t", "label"], ["pct"]),
