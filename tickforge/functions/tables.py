@@ -1,17 +1,27 @@
 """Intermediate tables that several branches of a plan read."""
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def _temporary() -> str:
+    """Where spark.checkpoint.dir is unset, as in tests: a folder that goes with the process."""
+    path = tempfile.mkdtemp(prefix="tickforge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder named by spark.checkpoint.dir (a temporary one where it is unset) and read again,
     so that branches don't repeat the work and a lost executor loses none of it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tickforge-checkpoints")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

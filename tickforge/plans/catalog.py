@@ -68,7 +68,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view(make):
     def view(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(events(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+        return make(events(spark, sf_dir), text_day=True)
 
     return view
 

@@ -8,14 +8,16 @@ from tickforge.contract import LEVELS, TICK
 BASE = 100_000_000_000
 
 
-def _events(events: DataFrame) -> DataFrame:
+def _events(events: DataFrame, text_day: bool) -> DataFrame:
+    """`text_day`: days as text from the start, so that windows before and after share one partitioning."""
+    day = F.date_format("ts", "yyyy-MM-dd") if text_day else F.to_date("ts")
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    return events.select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), ns.alias("ts_ns"), "user_id", "event_type", "value")
+    return events.select(day.alias("day"), F.col("event_id").alias("seq"), ns.alias("ts_ns"), "user_id", "event_type", "value")
 
 
-def mbo(events: DataFrame) -> DataFrame:
+def mbo(events: DataFrame, text_day: bool = False) -> DataFrame:
     """(day, seq, ts_ns, action, side, order_id, price, size)."""
-    e = _events(events)
+    e = _events(events, text_day)
     action = F.when(F.col("event_type").isin("view", "signup"), "A").when(F.col("event_type") == "click", "M").when(F.col("event_type") == "error", "C").when(F.col("event_type") == "purchase", "T").otherwise("N")
     step = (1 + (F.col("seq") * 37) % 10) * TICK
     bid = F.col("user_id") % 2 == 0
@@ -26,10 +28,10 @@ def _levels(make) -> "F.Column":
     return F.array(*(make(i).cast("long") for i in range(LEVELS)))
 
 
-def lob(events: DataFrame) -> DataFrame:
+def lob(events: DataFrame, text_day: bool = False) -> DataFrame:
     """(day, seq, ts_ns, bid_px, bid_sz, ask_px, ask_sz, best_bid, best_ask): ten levels each side."""
     s, off = F.col("seq"), (F.col("seq") % 20 - 10) * TICK
-    out = _events(events).select(
+    out = _events(events, text_day).select(
         "day", "seq", "ts_ns",
         _levels(lambda i: BASE + off - (i + 1) * TICK).alias("bid_px"),
         _levels(lambda i: (100 + 7 * s + 50 * i) % 500 + 100).alias("bid_sz"),
@@ -39,9 +41,9 @@ def lob(events: DataFrame) -> DataFrame:
     return out.withColumn("best_bid", F.col("bid_px")[0]).withColumn("best_ask", F.col("ask_px")[0])
 
 
-def lob_edge(events: DataFrame) -> DataFrame:
+def lob_edge(events: DataFrame, text_day: bool = False) -> DataFrame:
     """The book with empty ask sides, locked and crossed quotes, and emptied deep levels."""
-    s, b = F.col("seq"), lob(events)
+    s, b = F.col("seq"), lob(events, text_day)
     bid0 = F.col("bid_px")[0]
     ask = F.when(s % 97 == 0, _levels(lambda i: F.lit(0))).when(s % 89 == 0, _levels(lambda i: bid0 + i * TICK)).when(s % 83 == 0, _levels(lambda i: bid0 + (i - 1) * TICK)).otherwise(F.col("ask_px"))
     b = b.withColumn("ask_px", ask).withColumn("ask_sz", F.when(s % 97 == 0, _levels(lambda i: F.lit(0))).otherwise(F.col("ask_sz")))
@@ -50,9 +52,9 @@ def lob_edge(events: DataFrame) -> DataFrame:
     return b.withColumn("best_bid", F.nullif(F.col("bid_px")[0], F.lit(0))).withColumn("best_ask", F.nullif(F.col("ask_px")[0], F.lit(0)))
 
 
-def mids(events: DataFrame) -> DataFrame:
+def mids(events: DataFrame, text_day: bool = False) -> DataFrame:
     """(day, t, p_nanos, p): a price a row, t counted from 0 in each day."""
-    e = _events(events)
+    e = _events(events, text_day)
     nanos = (F.lit(BASE) + F.round(F.col("value") * 100).cast("long") * 1_000_000).alias("p_nanos")
     t = (F.row_number().over(Window.partitionBy("day").orderBy("seq")) - 1).cast("long")
     return e.select("day", t.alias("t"), nanos).withColumn("p", F.col("p_nanos") / 1e9)
