@@ -1,6 +1,8 @@
 """Session settings, the shared work folder and worker-side caches of the text operators."""
 
-import os
+import atexit
+import functools
+import shutil
 import sys
 import tempfile
 import types
@@ -29,9 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _temporary() -> str:
+    """Where spark.checkpoint.dir is unset, as in tests: a folder that goes with the process."""
+    path = tempfile.mkdtemp(prefix="tickforge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tickforge-checkpoints")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
