@@ -41,27 +41,45 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return cached(("tiktoken", path, pattern), lambda: tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}))
 
 
-def pack_ints(x: np.ndarray) -> bytes:
-    """32-bit integers, compressed: those below 255 as a byte each, the planes of the others' bytes behind them."""
+def _bytes_of(x: np.ndarray) -> bytes:
+    """32-bit integers: how many, those below 255 as a byte each, the planes of the others' bytes behind them."""
     x = x.astype("<u4")
     small = np.minimum(x, 255).astype(np.uint8)
     large = np.ascontiguousarray(x[x >= 255].view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(x)).tobytes() + small.tobytes() + large.tobytes())
+    return np.uint32(len(x)).tobytes() + small.tobytes() + large.tobytes()
 
 
-def unpack_ints(data: bytes) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(data)
+def _ints_of(data: bytes) -> tuple[np.ndarray, int]:
+    """The integers, and where their bytes end."""
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     out = np.frombuffer(data, np.uint8, n, 4).astype(np.uint32)
-    planes = np.frombuffer(data, np.uint8, -1, 4 + n).reshape(4, -1) if len(data) > 4 + n else np.zeros((4, 0), np.uint8)
-    out[out == 255] = np.ascontiguousarray(planes.T).view("<u4").ravel()
-    return out
+    large = np.flatnonzero(out == 255)
+    planes = np.frombuffer(data, np.uint8, 4 * len(large), 4 + n).reshape(4, -1)
+    out[large] = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return out, 4 + n + 4 * len(large)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(_bytes_of(x))
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    return _ints_of(zstandard.ZstdDecompressor().decompress(data))[0]
+
 
+def renumbered(uses: np.ndarray) -> tuple[np.ndarray, int]:
+    """New numbers of words by how often each is used: those used again by falling use, then those used once in
+    their order; and the number of the first of the latter."""
+    again = np.flatnonzero(uses > 1)
+    order = np.concatenate((again[np.argsort(-uses[again], kind="stable")], np.flatnonzero(uses <= 1)))
+    out = np.empty(len(uses), np.int64)
+    out[order] = np.arange(len(uses))
+    return out, len(again)
 
-def pack_places(numbers: np.ndarray, next_: int) -> bytes:
-    """Word numbers given in order of first use: a first use is the next number, and stored as 0."""
-    top = np.maximum.accumulate(np.concatenate(([next_ - 1], numbers)))
-    return pack_ints(np.concatenate(([next_], np.where(numbers > top[:-1], 0, numbers + 1))))
+
+def pack_places(numbers: np.ndarray, once: int, next_: int) -> bytes:
+    """Word numbers; words used once come in the order of their numbers, from `next_` on, and are stored as 0."""
+    return pack_ints(np.concatenate(([next_], np.where(numbers >= once, 0, numbers + 1))))
 
 
 def unpack_places(data: bytes) -> np.ndarray:
@@ -70,55 +88,71 @@ def unpack_places(data: bytes) -> np.ndarray:
 
 
 def pack_words(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=9).compress(_bytes_of(np.fromiter(map(len, words), np.uint32, len(words))) + b"".join(words))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
     data = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    ends = 4 + 4 * n + np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)
-    starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
-    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    sizes, at = _ints_of(data)
+    ends = at + np.cumsum(sizes, dtype=np.int64)
+    return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 def _explode(pattern: str, id_col: str, text_col: str, buckets: int):
     columns = ["kind", "block", "bucket", "payload", "doc_ids", "counts"]
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(columns, values, strict=True))], schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        block, held, local = TaskContext.get().partitionId() << 32, 0, {}
-
-        def words() -> Iterator[pa.RecordBatch]:
-            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-            order = np.empty(len(local), np.uint32)
-            for number, w in enumerate(local):
-                b = w.encode()
-                order[number] = k = xxhash.xxh3_64_intdigest(b) % buckets
-                dealt[k].append(b)
+        block, held, local, texts_held = TaskContext.get().partitionId() << 32, 0, {}, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """The block's texts by word numbers, its words dealt to buckets, and the bucket of each word."""
+            uses = np.zeros(len(local), np.int64)
+            for numbers, _, _ in texts_held:
+                uses += np.bincount(numbers, minlength=len(local))
+            new, once = renumbered(uses)
+            next_ = once
+            for numbers, ids, counts in texts_held:
+                numbers = new[numbers]
+                yield row(0, block, None, pack_places(numbers, once, next_), ids, counts)
+                next_ += int((numbers >= once).sum())
+            texts_held.clear()
+            words: list = [b""] * len(local)
+            for w, k in zip(local, new.tolist(), strict=True):
+                words[k] = w.encode()
             local.clear()
-            for row in [(2, block, None, pack_ints(order), None, None), *((1, block, k, pack_words(x), None, None) for k, x in enumerate(dealt) if x)]:
-                yield pa.RecordBatch.from_pylist([dict(zip(columns, row, strict=True))], schema)
+            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+            order = np.empty(len(words), np.uint32)
+            for k, w in enumerate(words):
+                order[k] = to = xxhash.xxh3_64_intdigest(w) % buckets
+                dealt[to].append(w)
+            yield row(2, block, None, pack_ints(order), None, None)
+            for to, part in enumerate(dealt):
+                if part:
+                    yield row(1, block, to, pack_words(part), None, None)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
             at = 0
             while at < len(texts):
-                put, stream, counts, first, known = local.setdefault, [], [], at, len(local)
+                put, stream, counts, first = local.setdefault, [], [], at
                 while at < len(texts) and (held < BLOCK_BYTES or not held):
                     found = find(texts[at])
                     stream += [put(w, len(local)) for w in found]
                     counts.append(len(found))
                     held += len(texts[at]) + 1
                     at += 1
-                yield pa.RecordBatch.from_pylist([dict(zip(columns, (0, block, None, pack_places(np.array(stream, np.int64), known), ids[first:at], counts), strict=True))], schema)
+                texts_held.append((np.array(stream, np.int32), ids[first:at], counts))
                 if held >= BLOCK_BYTES:
-                    yield from words()
+                    yield from ended()
                     block, held = block + 1, 0
-        if local:
-            yield from words()
+        if texts_held:
+            yield from ended()
 
     return run
 
