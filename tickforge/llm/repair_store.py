@@ -17,8 +17,10 @@ Null texts count as empty: the end id only. Equal doc_ids are ordered by a hash
 first. An empty table gives no shards and an empty result. Other columns are ignored.
 """
 
+import json
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,63 +35,104 @@ SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes and a replacement saves 3.
 MIN_COUNT = 6
 #: A round that shortens the shard by less than this part is the last one.
-LEAST_GAIN = 0.01
+LEAST_GAIN = 0.06
 MAX_ROUNDS = 16
-BINS = 20
-#: Distinct space-separated pieces whose ids a task remembers.
-MAX_PIECES = 300_000
+BINS = 18
+#: Distinct pieces and pre-tokens whose ids a worker remembers, of each.
+MAX_KNOWN = 800_000
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, payload binary"
 
 
+class Characters(dict):
+    """For str.translate: the printable characters that stand for each character's bytes in a byte-level vocabulary."""
+
+    def __init__(self):
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(self.bytes[b] for b in chr(code).encode())
+        return out
+
+
+class Known(dict):
+    """Ids of pieces, as bytes, worked out when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes | None:
+        if len(self) >= MAX_KNOWN:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct space-separated piece encoded once.
+    """Ids of whole texts by the tokenizers library, for each distinct space-separated piece once.
 
     The byte-level split always begins a pre-token at a space between two characters that aren't white space,
-    so the pieces of such a text can be encoded apart. A text with a piece that is empty or has white space at
-    an end, or that may hold an added token, is encoded whole.
+    so the pieces of such a text can be split apart, and the library's BPE model works on single pre-tokens.
+    A text with a piece that is empty or has white space at an end, or that may hold an added token, goes
+    through the library whole, as do all texts where the file asks for other steps than these.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
-        self.apart = type(self.model.pre_tokenizer).__name__ == "ByteLevel" and self.model.normalizer is None
-        self.known: dict[str, list[int] | None] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > MAX_PIECES:
-            self.known = {}
-        good = [p for p in pieces if p.strip() and not p[0].isspace() and not p[-1].isspace()]
-        self.known.update(dict.fromkeys(pieces))
-        e = self.model.encode([" " + p for p in good], is_pretokenized=True, add_special_tokens=False) if good else None
-        if e:
-            word, ids = np.array(e.word_ids, np.int64), np.array(e.ids, np.uint32)
-            cuts = np.searchsorted(word, np.arange(len(good) + 1)).tolist()
-            self.known.update({p: ids[a:b].tolist() for p, a, b in zip(good, cuts, cuts[1:], strict=False)})
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        out: list = [None] * len(texts)
-        if self.apart:
-            cut = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
-            rest = {p for x in cut if x for p in x[1:]}
-            if new := [p for p in rest if p not in self.known]:
-                self._learn(new)
-                if len(self.known) < len(rest):
-                    self._learn(list(rest))
-            heads = [x[0] for x in cut if x]
-            firsts = iter(self.model.encode_batch_fast(heads, add_special_tokens=False) if heads else [])
-            for i, x in enumerate(cut):
-                if x:
-                    head, ids = next(firsts).ids, list(map(self.known.get, x[1:]))
-                    if None not in ids and (len(x) == 1 or x[0] and not x[0][-1].isspace()):
-                        out[i] = [*head, *(k for y in ids for k in y)]
-        if whole := [i for i, x in enumerate(out) if x is None]:
-            for i, e in zip(whole, self.model.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        split = steps.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.apart = plain and not steps.get("normalizer") and steps["model"].get("type") == "BPE" and not steps["model"].get("ignore_merges")
+        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.characters = Characters()
+        self.tokenize, self.space = self.whole.model.tokenize, self.characters[32]
+        self.token, self.piece = Known(lambda w: self._ids(w.translate(self.characters))), Known(self._piece)
+
+    def _ids(self, characters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(characters)]).tobytes()
+
+    def _piece(self, p: str) -> bytes | None:
+        """The ids of a space and a piece; None where the piece can't be taken apart from its neighbours."""
+        if p.isalpha():
+            return self._ids(self.space + (p if p.isascii() else p.translate(self.characters)))
+        if p[:-1].isalpha() and p[-1] in ".,;:!?":
+            return self.piece[p[:-1]] + self.token[p[-1]]
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        left, line, right = p.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self.piece[left] + self.token["\n"] + self._head(right)
+        return b"".join(map(self.token.__getitem__, self.find(" " + p)))
+
+    def _head(self, p: str) -> bytes | None:
+        """The ids of a piece that no space stands before: a text's first, or one behind a line break."""
+        return None if not p or p[0].isspace() or p[-1].isspace() else b"".join(map(self.token.__getitem__, self.find(p)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        out: list = [b""] * len(texts)
+        rest = []
+        for i, t in enumerate(texts):
+            if t and self.apart and not any(a in t for a in self.added):
+                pieces = t.split(" ")
+                parts = [self._head(pieces[0]), *map(self.piece.__getitem__, pieces[1:])]
+                if None not in parts:
+                    out[i] = b"".join(parts)
+                    continue
+            if t:
+                rest.append(i)
+        if rest:
+            for i, e in zip(rest, self.whole.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
@@ -104,29 +147,31 @@ def compress(docs: list[np.ndarray]) -> bytes:
     for _ in range(MAX_ROUNDS):
         if len(s) < 2 * MIN_COUNT:
             break
-        key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BINS)).astype(np.int64)
-        inner = ~last[:-1]
-        count = np.bincount(at[inner], minlength=1 << BINS)
-        rank = (count << BINS | np.arange(1 << BINS))[at]
-        rank[~inner] = 0
-        pick = rank >= MIN_COUNT << BINS
+        at = ((s[:-1] * np.uint32(0x9E3779B1) ^ s[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BINS)).astype(np.int64)
+        count = np.bincount(at, minlength=1 << BINS)
+        count -= np.bincount(at[last[:-1]], minlength=1 << BINS)
+        rank = (np.minimum(count, (1 << 32 - BINS) - 1) << BINS | np.arange(1 << BINS)).astype(np.uint32)[at]
+        rank[last[:-1]] = 0
+        pick = rank >= np.uint32(MIN_COUNT << BINS)
         pick[1:] &= rank[1:] > rank[:-1]
         pick[:-1] &= rank[:-1] >= rank[1:]
         i = np.flatnonzero(pick)
+        bin_, key = at[i], s[i].astype(np.uint64) << np.uint64(32) | s[i + 1]
         one = np.zeros(1 << BINS, np.uint64)
-        one[at[i]] = key[i]
-        i = i[one[at[i]] == key[i]]  # the others of a bin wait for a later round
-        often = np.flatnonzero(np.bincount(at[i], minlength=1 << BINS) >= MIN_COUNT)
+        one[bin_] = key
+        same = one[bin_] == key  # the others of a bin wait for a later round
+        i, bin_ = i[same], bin_[same]
+        often = np.flatnonzero(np.bincount(bin_, minlength=1 << BINS) >= MIN_COUNT)
         name = np.zeros(1 << BINS, np.uint32)
         name[often] = first + rules + 1 + np.arange(len(often), dtype=np.uint32)
-        i = i[name[at[i]] > 0]
+        named = name[bin_]
+        i, named = i[named > 0], named[named > 0]
         if len(i) < LEAST_GAIN * len(s):
             break
         rules_left.append((one[often] >> np.uint64(32)).astype(np.uint32))
         rules_right.append(one[often].astype(np.uint32))
         rules += len(often)
-        s[i] = name[at[i]] - 1
+        s[i] = named - np.uint32(1)
         last[i] = last[i + 1]
         keep = np.ones(len(s), bool)
         keep[i + 1] = False
@@ -201,10 +246,10 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([compress(held)], pa.binary())], names=["part", "shard", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            tail = [] if end_id is None else [end_id]
+            tail = b"" if end_id is None else struct.pack("<I", end_id)
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1))), strict=True):
                 names.append(doc)
-                held.append(np.array(ids + tail, np.uint32))
+                held.append(np.frombuffer(ids + tail, "<u4"))
                 n += len(held[-1])
                 if n >= SHARD_TOKENS:
                     yield row()
