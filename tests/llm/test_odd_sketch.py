@@ -79,6 +79,10 @@ def test_odd_rows(spark):
     got = odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()
     key = lambda x: tuple((v is not None, v or 0) for v in x)
     assert sorted(((g.doc_id, g.component_id, g.kept) for g in got), key=key) == sorted([(None, None, True), (5, 3, False), (5, 3, False), (3, 3, True), (None, None, True), (7, 7, True)], key=key)
+    text = " ".join(f"w{i}" for i in range(200))
+    twice = [(9, None), (9, text), (9, "other words"), (4, text + " more"), (11, text + " and more")]
+    got = odd_sketch.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string"), n=2).collect()
+    assert sorted((g.doc_id, g.component_id) for g in got if g.n_shingles > 1) == [(4, 4), (9, 4), (11, 4)] and len(got) == 5
     assert odd_sketch.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -40,6 +40,21 @@ def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept FROM s JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) ON x = doc_id
+"""
+
+
 def damaged(key: Column, record: Column) -> Column:
     """A replica's record: of 101 keys one has another byte, one lacks its end, and one record is gone (null)."""
     flipped = F.concat(F.substring(record, 1, 20), F.lit("#"), F.expr("substring(record, 22)"))
@@ -99,4 +114,4 @@ QUERIES = {
     "op9_bpe_words": op9_bpe_words,
     "op10_quality_fm": op10_quality_fm,
 }
-ORACLE_SQL = {"op8_merkle_audit": OP8_SQL}
+ORACLE_SQL = {"op7_odd_sketch": OP7_SQL, "op8_merkle_audit": OP8_SQL}
