@@ -6,16 +6,18 @@
 2. Equal sets are merged first; only one document of each goes on.
 3. In every bucket each member is held against one leader, the smallest doc_id. A pair within the size ratio
    and the sketch's bound is confirmed on full sets. Links give components.
-4. Buckets that still hold more than one component are searched in blocks: sketches of members of different
-   components are compared in memory, and what passes is confirmed too. No pair of a bucket is left out, and
-   pairs of one component, which can't change the result, are never made.
+4. Buckets that still hold more than one component are searched in blocks, which carry full sets: pairs of
+   members of different components that pass the screen are confirmed in memory, and only links that join two
+   components come out, at most one less than a block pair's members. No pair of a bucket is left out, a pair is
+   looked at in the first bucket that it shares, and pairs of one component, which can't change the result, are
+   never looked at.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6, and its sketches differ in
 more than MAX_ODD bits with less (5.8 standard deviations); both fall steeply above. Bands are set for
 similarities of 0.8 or more.
 
 Texts that are null or without words have an empty set and are linked with nothing. Rows with a null doc_id are
-returned with a null component, kept. Rows that repeat a doc_id with another text are rows of their own.
+returned with a null component, kept. Rows that repeat a doc_id with another text have shingles of their own and count as one document for the links.
 An empty table gives an empty result; other columns are ignored.
 """
 
@@ -34,8 +36,8 @@ BANDS, ROWS, BITS = 32, 5, 512
 VALUES = BANDS * ROWS
 #: XOR bits of two sketches at most; 57 are expected at a similarity of 0.8, with a deviation of 9.5.
 MAX_ODD = 112
-#: Members of a bucket compared at a time.
-BLOCK = 2048
+#: Members of a bucket in a block.
+BLOCK = 1024
 SLICE_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(77)
@@ -105,24 +107,25 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, sketch array<long>, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int, name: str) -> DataFrame:
-    """(doc_id, set) of the documents whose doc_id is in `ids`, and of few others."""
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int, name: str, column: str) -> DataFrame:
+    """(name, column): the sets, if not empty, of the documents whose doc_id is in `ids`, and of few others."""
     bitmap = bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h", ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            keep = in_bitmap(bitmap, batch.column(2).to_numpy())
-            batch = batch.filter(pa.array(keep))
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=[name, f"set_{name}"])
+            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(2).to_numpy())))
+            sets = shingle_sets(batch.column(1), n) if batch.num_rows else []
+            some = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
+            if len(some):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([s.tobytes() for s in sets if len(s)], pa.binary())], names=[name, column])
 
-    return docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, f"{name} long, set_{name} binary")
+    return docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, f"{name} long, {column} binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = _sets(docs, pairs.select(F.col("a").alias("id")).distinct(), n, "a")
-    two = _sets(docs, pairs.select(F.col("b").alias("id")).distinct(), n, "b")
+    one = _sets_of(docs, pairs.select(F.col("a").alias("id")).distinct(), n, "a", "set_a")
+    two = _sets_of(docs, pairs.select(F.col("b").alias("id")).distinct(), n, "b", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,34 +150,69 @@ def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (odd <= MAX_ODD)).select("a", "b").distinct()
 
 
-def _rest(reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket and different components that pass the screen, by blocks of a bucket."""
+def _mixed(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, blocks, rep, c, band) of the members of buckets that hold several components."""
     named = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    keys = named.select("rep", "c", F.explode("bands").alias("h"))
+    keys = named.select("rep", "c", F.posexplode("bands").alias("band", "h"))
     mixed = keys.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    mixed = mixed.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = keys.join(mixed, "h").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "rep", "c")
-    members = members.join(reps.select("rep", "n", "sketch"), "rep")
+    return written(keys.join(mixed.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "h"), "mixed-buckets")
+
+
+def _between(members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components of buckets' members, by blocks of a bucket."""
+    some = members.select(F.col("rep").alias("id")).distinct()
+    sets = _sets_of(docs, some, n, "rep", "set").join(some, F.col("rep") == F.col("id"), "left_semi").dropDuplicates(["rep"])
+    facts = written(reps.join(sets, "rep").select("rep", "sketch", "bands", "set"), "members")
+    members = members.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "rep", "c")
+    members = members.join(facts, "rep")
 
     def run(table: pa.Table) -> pa.Table:
-        x, k, rep, c, size = (table.column(i).to_numpy() for i in ("x", "k", "rep", "c", "n"))
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        x, band, k, rep, c = (table.column(i).to_numpy() for i in ("x", "band", "k", "rep", "c"))
+        c = c.copy()
+        sketch, bands = (np.array(table.column(i).to_pylist(), np.int64).view(np.uint64) for i in ("sketch", "bands"))
+        held = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        size = np.array([len(s) for s in held])
+        flat, begin = np.concatenate(held), np.cumsum(size) - size
+        earlier = bands[:, : band[0]]
         own = x[0] == table.column("y").to_numpy()[0]
         one = np.flatnonzero(k == x[0])
         two = one if own else np.flatnonzero(k != x[0])
-        pairs = []
+        links = []
         for i in one:
-            with_ = two[two > i] if own else two
-            near = with_[(c[with_] != c[i]) & (100 * np.minimum(size[with_], size[i]) >= percent * np.maximum(size[with_], size[i]))]
+            near = two[two > i] if own else two
+            near = near[(c[near] != c[i]) & (100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i]))]
             near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MAX_ODD]
-            pairs.append(np.stack((np.maximum(rep[near], rep[i]), np.minimum(rep[near], rep[i]))))
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            near = near[~(earlier[near] == earlier[i]).any(axis=1)]
+            for at in range(0, len(near), 64):  # full sets, a few at a time
+                part = near[at : at + 64]
+                first = np.cumsum(size[part]) - size[part]
+                there = flat[np.repeat(begin[part] - first, size[part]) + np.arange(size[part].sum())]
+                own_set = held[i]
+                found = own_set[np.minimum(np.searchsorted(own_set, there), len(own_set) - 1)] == there
+                both = np.add.reduceat(found, first, dtype=np.int64)
+                for j in part[100 * both >= percent * (size[part] + size[i] - both)]:
+                    if c[j] != c[i]:
+                        links.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
+                        c[c == max(c[i], c[j])] = min(c[i], c[j])
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return members.groupBy("h", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links between documents."""
+    for k in ("a", "b"):
+        found = labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+        links = links.join(found, k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+    again = components(links, "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("c"))
+    every = labels.unionByName(again.select(F.col("component").alias("node"), "component")).distinct()
+    every = every.join(again, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    # a component's own name may stand both alone and inside the component that it joined
+    return written(every.groupBy("node").agg(F.min("component").alias("component")), "joined")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id reachable by links, and
     `kept` tells the document that has it."""
@@ -191,16 +229,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     pairs = written(_screened(pairs, reps, percent), "pairs")
     labels = components(confirmed(pairs, docs, n, percent))
 
-    rest = written(_rest(reps, labels, percent), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, n, percent)
-        for k in ("a", "b"):
-            found = labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-            more = more.join(found, k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
-        again = components(more, "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("c"))
-        every = labels.unionByName(labels.select(F.col("component").alias("node"), "component")).distinct()
-        alone = again.join(every, again["component"] == every["node"], "left_anti").select(F.col("component").alias("node"), "component")
-        labels = every.unionByName(alone).join(again, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    mixed = _mixed(reps, labels)
+    if not mixed.isEmpty():
+        labels = _joined(labels, written(_between(mixed, reps, docs, n, percent), "links"))
     groups = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n", "sig1", "sig2").join(groups, ["sig1", "sig2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
