@@ -22,6 +22,13 @@ def test_main_text_of_several_layouts():
     assert host_paths.Page(inside).extract(None) == WANT
 
 
+def test_marks_inside_a_line_and_about_the_page():
+    one = "<div class='with-sidebar no-comments'><article class='post has-comments'><p>A <span class=ad>Buy <span>now</span>!</span> line of <i class='x'>text</i>.</p><p>Next <span hidden>gone<p>Third one.</p></article></div>"
+    assert host_paths.Page(one).extract(None) == "A line of text.\nNext\nThird one."
+    readers = page("<article>{}</article>", "") .replace("</article>", "</article><article class='comment'><p>" + "A reader's very long remark. " * 60 + "</p></article>")
+    assert host_paths.Page(readers).extract(None) == WANT
+
+
 def test_broken_and_empty_markup():
     assert host_paths.Page("").extract(None) == ""
     assert host_paths.Page("just text & more").extract(None) == "just text & more"

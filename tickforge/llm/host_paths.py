@@ -48,6 +48,10 @@ MARKS = re.compile(
     r"sidebar\w*|sidenav|breadcrumb\w*|menu\w*|nav|navbar\w*|navigation|topbar|footer\w*|masthead|comment|comments|commentlist|disqus\w*|reply|replies|respond|discussion|widget\w*|toolbar|pagination|pager|login|signup|"
     r"search\w*|hidden|tags|byline|outbrain|taboola|skip"
 )
+#: Words that turn a mark into a statement about the page, as in has-sidebar.
+ABOUT = {"with", "without", "has", "no", "open", "closed", "enabled", "disabled"}
+#: Marks that count even on an article.
+READERS = {"comment", "comments", "reply", "replies", "teaser", "related"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WORD = re.compile(r"[a-z]+")
 GOOD = {"article": 1.5, "main": 1.4}
@@ -62,6 +66,7 @@ class Page:
         self.stack: list[tuple[str, int]] = []  # open block elements and the container in force inside them
         self.text: list[str] = []
         self.links = self.linked = 0
+        self.saved: list[list] = []  # what an unwanted inline element has interrupted: [tag, text, linked, depth]
         at, end = 0, len(source)
         while at < end:
             m = TOKEN.search(source, at)
@@ -94,6 +99,9 @@ class Page:
             self.linked += len(text.strip())
 
     def flush(self) -> None:
+        if self.saved:  # an unwanted inline element ends with its block
+            _, self.text, self.linked, _ = self.saved[0]
+            self.saved = []
         if self.text:
             block = " ".join(html.unescape("".join(self.text)).split())
             if block:
@@ -120,9 +128,12 @@ class Page:
             if rest.strip():
                 given = {a[0].lower() or a[4].lower(): html.unescape(a[1] or a[2] or a[3]).lower() for a in ATTRIBUTE.findall(rest)}
                 names = given.get("class", "").split()
-                words = [w for x in (*names, given.get("id", "")) for w in WORD.findall(x)]
-                main = tag in ("html", "body", "main", "article")
-                unwanted |= not main and (given.get("role") in ROLES or any(MARKS.fullmatch(w) for w in words))
+                split = [WORD.findall(x) for x in (*names, given.get("id", ""))]
+                words = [w for x in split if not ABOUT & set(x) for w in x]
+                if tag in ("html", "body", "main", "article"):
+                    unwanted |= tag == "article" and bool(READERS & set(words))
+                else:
+                    unwanted |= given.get("role") in ROLES or any(MARKS.fullmatch(w) for w in words)
                 unwanted |= "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search(given.get("style", "")))
                 if names:
                     name += "." + re.sub(r"\d+", "#", names[0])
@@ -130,25 +141,34 @@ class Page:
                     weight = max(weight, 1.2)
             if tag == "header" and not any(x in ("article", "main") for x, _ in self.stack):
                 unwanted = True
+            if tag not in BLOCKS:
+                if unwanted and not parent[2] and not self.saved:
+                    self.saved.append([tag, self.text, self.linked, 0])
+                    self.text, self.linked = [], 0
+                elif self.saved and tag == self.saved[0][0]:
+                    self.saved[0][3] += 1
+                return
             if tag in CONTAINERS or unwanted != parent[2]:
-                if tag not in BLOCKS:
-                    self.flush()
                 path = parent[1].split(">")[-PATH_LENGTH:]
                 self.containers.append((inside, ">".join([*path, name]), unwanted, weight))
                 inside = len(self.containers) - 1
-            if tag in BLOCKS or inside != self.here:
-                self.stack.append((tag, inside))
+            self.stack.append((tag, inside))
+        elif self.saved and tag == self.saved[0][0]:
+            self.saved[0][3] += 1
 
     def close(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in BLOCKS:
-            self.flush()
-            self.links = 0
+        if tag not in BLOCKS:
+            if self.saved and tag == self.saved[0][0]:
+                self.saved[0][3] -= 1
+                if self.saved[0][3] < 0:
+                    _, self.text, self.linked, _ = self.saved.pop()
+            return
+        self.flush()
+        self.links = 0
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                if tag not in BLOCKS:
-                    self.flush()
                 del self.stack[k:]
                 break
             if self.stack[k][0] in CONTAINERS and tag not in CONTAINERS:
