@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cached, texts_of, tune, written
+from .shared import cached, lean, texts_of, tune, written
 
 #: Bytes of text of a block at most, unless one text is longer.
 BLOCK_BYTES = 32 << 20
@@ -231,12 +231,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # in proportion to the input, so that a bucket's words stay as many at any size
     buckets = max(16, 2 * docs.rdd.getNumPartitions())
-    packs = written(docs.mapInArrow(_explode(pattern, "doc_id", "text", buckets), PACKS), "pretokens")
+    packs = written(docs.mapInArrow(lean(_explode(pattern, "doc_id", "text", buckets)), PACKS), "pretokens")
     words = packs.where("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    coded = words.mapInArrow(_encode_buckets(ranks_path, pattern), "kind int, block long, bucket int, payload binary")
+    coded = words.mapInArrow(lean(_encode_buckets(ranks_path, pattern)), "kind int, block long, bucket int, payload binary")
     back = packs.where("kind <> 1").unionByName(coded, allowMissingColumns=True)
     ordered = back.repartition(buckets, "block").sortWithinPartitions("block", F.col("kind").desc())
-    return ordered.mapInArrow(_assemble, "doc_id long, ids binary")
+    return ordered.mapInArrow(lean(_assemble), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -251,4 +251,4 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame
             out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(lean(run), schema)

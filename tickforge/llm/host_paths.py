@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_of, tune
+from .shared import lean, texts_of, tune
 
 DISCOUNT = 0.7
 #: Containers further out get nothing of a block's score; paths name as many elements at most.
@@ -221,7 +221,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                     votes.append(round(vote * 1000))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], names=["host", "path", "vote"])
 
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, vote long")
+    votes = pages.select("host", "html").mapInArrow(lean(run), "host string, path string, vote long")
     sums = votes.groupBy("host", "path").agg(F.sum("vote").alias("vote"))
     return sums.groupBy("host").agg(F.max_by("path", F.struct("vote", "path")).alias("path"))
 
@@ -240,4 +240,4 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
             texts = [Page(source).extract(path) for source, path in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return both.mapInArrow(run, "page_id long, url string, text string")
+    return both.mapInArrow(lean(run), "page_id long, url string, text string")

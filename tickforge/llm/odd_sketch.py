@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .shared import bitmap_of, by_bytes, in_bitmap, tune, written
+from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
 
 BANDS, ROWS, BITS = 32, 5, 512
 VALUES = BANDS * ROWS
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 names=["doc_id", "n", "sig1", "sig2", "sketch", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, sketch array<long>, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, sig1 long, sig2 long, sketch array<long>, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int, name: str, column: str) -> DataFrame:
@@ -119,7 +119,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int, name: str, column: str) ->
             if len(some):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([s.tobytes() for s in sets if len(s)], pa.binary())], names=[name, column])
 
-    return docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, f"{name} long, {column} binary")
+    return docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(lean(run), f"{name} long, {column} binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -139,7 +139,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .shared import by_bytes, tune
+from .shared import by_bytes, lean, tune
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machi
             parts = [slice(a, b) for a, b in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([j[p].astype("<i4").tobytes() for p in parts], pa.binary()), pa.array([x[p].astype("<f4").tobytes() for p in parts], pa.binary()), pa.array(list(stats), pa.list_(pa.float64())), batch.column(2)], names=["j", "x", "stats", "y"])
 
-    got = sample.mapInArrow(run, "j binary, x binary, stats array<double>, y double").toArrow()
+    got = sample.mapInArrow(lean(run), "j binary, x binary, stats array<double>, y double").toArrow()
     got = got.take(pc.sort_indices(got, [("y", "ascending"), ("j", "ascending"), ("x", "ascending")]))
     rows = [(np.frombuffer(j, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for j, x in zip(got.column("j").to_pylist(), got.column("x").to_pylist(), strict=True)]
     stats = np.array(got.column("stats").to_pylist(), float).reshape(len(rows), STATISTICS)
@@ -186,4 +186,4 @@ def classify(docs: DataFrame, model: Machine) -> DataFrame:
             score = model.scores(batch.column(len(columns)), batch.column(len(columns) + 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(score)], names=[*columns, "score"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cached, texts_of, tune, work_dir
+from .shared import cached, lean, texts_of, tune, work_dir
 
 SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes and a replacement saves 3.
@@ -258,7 +258,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None =
             yield row()
 
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, SHARDS).write.parquet(path)
+    ordered.mapInArrow(lean(run), SHARDS).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -281,7 +281,7 @@ def read(spark, path: str) -> DataFrame:
                 for k in range(0, len(ids), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 512], pa.int64()), pa.array(start[k : k + 512], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids[k : k + 512]], pa.binary())], names=["doc_id", "start", "ids"])
 
-    return shards.join(starts, ["part", "shard"]).select("first", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return shards.join(starts, ["part", "shard"]).select("first", "doc_ids", "payload").mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def crc32_of(ids: DataFrame, ids_col: str = "ids") -> DataFrame:

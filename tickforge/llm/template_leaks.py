@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import bitmap_of, by_bytes, in_bitmap, tune, written
+from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
 from .unit_dedup import capitalised, lowered
 
 WINDOW = 8
@@ -137,7 +137,7 @@ def windows_of(texts: DataFrame, sizes: list[int], items: bool, bitmap: np.ndarr
                     rows.append((ids[i], x, n, s - int(t.first[i]), int(t.first[i + 1] - t.first[i]), t.slots(s, n), int(t.chars[t.starts[s]]) - origin, int(t.chars[t.ends[s + n - 1]]) - origin))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
 
-    return texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text").mapInArrow(run, SCHEMA)
+    return texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, cached, texts_of, tune
+from .shared import by_bytes, cached, lean, texts_of, tune
 
 #: Bytes of text given to the library at a time, and characters of a part of a long text.
 BATCH_BYTES = 1 << 20
@@ -78,4 +78,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = np.add.reduceat(sizes, np.cumsum([0, *map(len, cut[:-1])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(column).fill_null(0).cast(pa.int64()), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .shared import bitmap_of, by_bytes, in_bitmap, tune, written
+from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
 
 LINE_WORDS = 6
 RUN_WORDS = 12
@@ -94,7 +94,7 @@ def units_of(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
                 ids, pos, one, two = ids[keep], pos[keep], one[keep], two[keep]
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids, pa.int64()), pa.array(pos.astype(np.int32))], names=["d1", "d2", "doc_id", "pos"])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "d1 long, d2 long, doc_id long, pos int")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(run), "d1 long, d2 long, doc_id long, pos int")
 
 
 def ranges_to_remove(u: Units, text: int, repeated: np.ndarray) -> list[tuple[int, int]]:
@@ -162,4 +162,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     at = "__doc" if "__doc" not in docs.columns else "__doc_"
     places = places.select(F.col("doc_id").alias(at), "repeated")
     both = docs.select(*columns).join(places.withColumnRenamed("repeated", f"{at}_repeated"), F.col(id_col).cast("long") == F.col(at), "left").drop(at)
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
