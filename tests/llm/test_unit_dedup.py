@@ -93,3 +93,26 @@ def test_odd_rows(spark):
     assert got[5, "e"].text == "" and got[6, "f"].text == "é\nü"
     assert [tuple(x) for x in got[6, "f"].removed] == [(2, 2 + len(long) + 1)]
     assert unit_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_units_that_never_stood_together_stay(spark):
+    names = "Anna Berta Carla Dora Emma Frida Gerda Hanna Irma Jana Karla Lena Mona Nora".split()
+    chain = " ".join(names)
+    pairs = [(k, f"{a} und {b} gehen") for k, (a, b) in enumerate(zip(names, names[::-1], strict=True))]
+    singles = [(100 + k, n) for k, n in enumerate(names)]
+    short = ["We met today.", "It rained there.", "All went home.", "Nobody saw it.", "Dogs ran off."]
+    lines = [(200 + k, x) for k, x in enumerate(short)]
+    rows = [*pairs, *singles, *lines, (500, chain), (501, " ".join(short)), (502, "Then " + chain.upper()), (503, " ".join(names[7:] + names[:7]))]
+    got = {g.doc_id: g for g in run(spark, rows)}
+    assert got[500].text == chain and got[501].text == " ".join(short)
+    assert got[502].text == "Then " and got[503].text == rows[-1][1]
+
+
+def test_a_run_goes_whole_and_its_first_occurrence_stays(spark):
+    r = random.Random(3)
+    passage = " ".join(sentence(r, n) for n in (8, 8, 3))
+    again = " ".join(["Buy"] * 30)
+    rows = [(1, f"{sentence(r, 5)} {passage} {sentence(r, 5)}"), (2, f"Left one. {passage} Right one."), (3, again), (4, "Other text.\n" + sentence(r, 20)), (4, passage)]
+    got = [(g.doc_id, g.text) for g in run(spark, rows)]
+    assert (2, "Left one. Right one.") in got and rows[0] in got and (4, "") in got
+    assert (3, " ".join(["Buy"] * 12) + " ") in got and rows[3] in got

@@ -1,16 +1,17 @@
 """Substring dedup by hashing normalised units of lines and paragraphs.
 
 A text's units begin at line breaks, after sentence ends and at capitalised words, so that a passage that was
-put into the middle of a line still falls into the same units as its source. Units are normalised (lower case
-in ASCII and Latin-1, white space ignored) and hashed to 128 bits; digests are grouped globally, and the
-occurrence of the lowest rank (doc_id, then position) is the one to keep. Other occurrences go where they
-make up a whole line of LINE_WORDS words or more, or a run of RUN_WORDS words or more of units that all have
-an earlier occurrence; shorter common phrases stay. The removed ranges are given as offsets in code points of
-the original text.
+put into the middle of a line still falls into the same units as its source. Words are normalised (lower case
+in ASCII and Latin-1, white space ignored). Hashed to 128 bits and grouped globally are windows of units, the
+shortest of RUN_WORDS words or more from each unit on and up to each unit's end, and whole lines of LINE_WORDS
+words or more that are shorter than a window. The occurrence of the lowest rank (doc_id, then position) is the
+one to keep; others go, unless they overlap it. So every run of units of RUN_WORDS words or more that stood
+together earlier goes whole, as the windows inside it cover it, and nothing goes only because its units occur
+one by one. The removed ranges are given as offsets in code points of the original text.
 
 Texts that are null are returned as they are, without removed ranges. Rows with a null doc_id have no rank:
-they stay whole and remove nothing. Rows that repeat a doc_id count as one document's. An empty table gives
-an empty result. Other columns are kept; a column named `removed` is replaced.
+they stay whole and remove nothing. Rows that repeat a doc_id count as one document's, and each loses only
+what its own text repeats. An empty table gives an empty result. Other columns are kept; a column named `removed` is replaced.
 """
 
 from collections.abc import Iterator
@@ -49,17 +50,26 @@ def capitalised(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return ((b >= 65) & (b <= 90)) | ((b == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97))
 
 
+def digests(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of the words begin to end of each window, from prefix sums over the words' hashes."""
+    powers, inverse = (np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(len(h), p)))) for p in (wordhash.PRIME, wordhash.INVERSE))
+    size, out = (end - begin).astype(np.uint64), []
+    for k in (np.uint64(1 << 40), np.uint64(3 << 50)):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(wordhash.mix(h ^ k) * powers[:-1])))
+        out.append(wordhash.mix(wordhash.mix((total[end] - total[begin]) * inverse[begin]) + size))
+    return out
+
+
 class Units:
-    """The units of a column of texts: `first` word of each (one more for the end), `line` numbers, digests,
-    and `begin`, the index of each text's first unit (one more for the end)."""
+    """The units of a column of texts: `first` word of each (one more for the end), `line` numbers, and `begin`,
+    the index of each text's first unit (one more for the end)."""
 
-    def __init__(self, column: pa.Array, digests: bool = True):
+    def __init__(self, column: pa.Array):
         self.data, self.at = wordhash.utf8(column)
         self.starts, self.ends, text_first = wordhash.words(self.data, self.at)
         m = len(self.starts)
         if not m:
             self.first, self.line, self.begin = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(self.at), np.int64)
-            self.one = self.two = np.zeros(0, np.uint64)
             return
         breaks = np.concatenate(([0], np.cumsum(self.data == 10)))
         new_line = np.ones(m, bool)
@@ -72,45 +82,54 @@ class Units:
         self.first = np.concatenate((np.flatnonzero(new), [m]))
         self.line = np.cumsum(new_line)[self.first[:-1]]
         self.begin = np.searchsorted(self.first[:-1], text_first)
-        if digests:
-            h = wordhash.hashes(lowered(self.data), self.starts, self.ends)
-            place = (np.arange(m) - np.repeat(self.first[:-1], np.diff(self.first))).astype(np.uint64)
-            size = np.diff(self.first).astype(np.uint64)
-            self.one, self.two = (wordhash.mix(np.add.reduceat(wordhash.mix(h ^ wordhash.mix(place + k)), self.first[:-1]) + size) for k in (np.uint64(1 << 40), np.uint64(3 << 50)))
 
-
-def units_of(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(d1, d2, doc_id, pos) of every unit, or of those whose d1 the bitmap has."""
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """(text, first unit, end unit, digests) of the windows and of the lines shorter than a window."""
+        text = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+        unit = np.arange(len(text))
+        to = np.searchsorted(self.first, self.first[:-1] + RUN_WORDS)
+        start = np.searchsorted(self.first, self.first[1:] - RUN_WORDS, side="right") - 1
+        ahead = to <= self.begin[1:][text]
+        back = start >= self.begin[:-1][text]
+        back[back] = to[start[back]] != unit[back] + 1  # not those that are windows ahead as well
+        line = np.flatnonzero(np.diff(self.line, prepend=-1))
+        line_end = np.append(line, len(unit))[1:]
+        n = self.first[line_end] - self.first[line]
+        short = (n >= LINE_WORDS) & (n < RUN_WORDS)
+        a = np.concatenate((unit[ahead], start[back], line[short]))
+        b = np.concatenate((to[ahead], unit[back] + 1, line_end[short]))
+        h = wordhash.hashes(lowered(self.data), self.starts, self.ends)
+        return text[a], a, b, *digests(h, self.first[a], self.first[b])
+
+
+def windows_of(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(d1, d2, doc_id, span, text_hash) of every window, or of those whose d1 the bitmap has.
+
+    A span is the window's first unit in its text, shifted by 32 bits, and the number of its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             u = Units(batch.column(1))
-            n = np.diff(u.begin)
-            ids = np.repeat(batch.column(0).to_numpy(), n)
-            pos = np.arange(len(ids)) - np.repeat(u.begin[:-1], n)
-            one, two = u.one.view(np.int64), u.two.view(np.int64)
+            text, a, b, one, two = u.windows()
+            one, two = one.view(np.int64), two.view(np.int64)
             if bitmap is not None:
                 keep = in_bitmap(bitmap, one)
-                ids, pos, one, two = ids[keep], pos[keep], one[keep], two[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids, pa.int64()), pa.array(pos.astype(np.int32))], names=["d1", "d2", "doc_id", "pos"])
+                text, a, b, one, two = text[keep], a[keep], b[keep], one[keep], two[keep]
+            span = a - u.begin[text] << 32 | b - a
+            ids, marks = (batch.column(k).to_numpy()[text] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one, two, ids, span, marks)], names=["d1", "d2", "doc_id", "span", "text_hash"])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(run), "d1 long, d2 long, doc_id long, pos int")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(run), "d1 long, d2 long, doc_id long, span long, text_hash long")
 
 
-def ranges_to_remove(u: Units, text: int, repeated: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of a text whose units at the positions `repeated` occur earlier."""
+def ranges_to_remove(u: Units, text: int, spans: np.ndarray) -> list[tuple[int, int]]:
+    """Byte ranges of a text of which the windows `spans` occur earlier."""
     a, b = u.begin[text], u.begin[text + 1]
-    again = np.zeros(b - a, bool)
-    again[repeated[repeated < b - a]] = True
-    words, line = np.diff(u.first[a : b + 1]), u.line[a:b]
-    drop = np.zeros(b - a, bool)
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], again.astype(np.int8), [0]))))
-    for i, j in zip(edges[::2], edges[1::2], strict=True):
-        if words[i:j].sum() >= RUN_WORDS:
-            drop[i:j] = True
-    lines, where = np.unique(line, return_inverse=True)
-    whole = (np.bincount(where, ~again, len(lines)) == 0) & (np.bincount(where, words, len(lines)) >= LINE_WORDS)
-    drop |= whole[where]
+    line = u.line[a:b]
+    step = np.zeros(b - a + 1, np.int64)
+    np.add.at(step, spans >> 32, 1)
+    np.add.at(step, (spans >> 32) + (spans & 0xFFFFFFFF), -1)
+    drop = np.cumsum(step)[:-1] > 0
     out = []
     edges = np.flatnonzero(np.diff(np.concatenate(([0], drop.astype(np.int8), [0]))))
     for i, j in zip(edges[::2], edges[1::2], strict=True):
@@ -129,12 +148,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The documents with repeated units taken out of their texts, and `removed`, the ranges taken out."""
     tune(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rank = F.struct("doc_id", "pos")
-    found = units_of(plain).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    several = written(found.where("first <> last").select("d1", "d2", "first"), "repeated-units")
+    rank = F.struct("doc_id", "span")
+    found = windows_of(plain).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    several = written(found.where("first <> last").select("d1", "d2", "first"), "repeated-windows")
     n = several.count()
-    later = units_of(plain, bitmap_of(several, "d1", n)).join(several, ["d1", "d2"]).where(F.struct("doc_id", "pos") != F.col("first"))
-    places = later.groupBy("doc_id").agg(F.collect_set("pos").alias("repeated"))
+    apart = "doc_id <> first.doc_id OR shiftright(span, 32) >= shiftright(first.span, 32) + (first.span & 4294967295)"
+    later = windows_of(plain, bitmap_of(several, "d1", n)).join(several, ["d1", "d2"]).where(apart)
+    places = later.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("repeated"))
     columns = [c for c in docs.columns if c != "removed"]
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("removed", REMOVED)])
 
@@ -144,8 +164,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out, removed = texts.to_pylist(), [[] if t.is_valid else None for t in texts]
             hit = [i for i in range(batch.num_rows) if where[i].is_valid and texts[i].is_valid]
             for i in hit:
-                u = Units(texts.slice(i, 1), digests=False)
-                cuts = ranges_to_remove(u, 0, np.array(sorted(where[i].as_py()), np.int64))
+                u = Units(texts.slice(i, 1))
+                cuts = ranges_to_remove(u, 0, where.slice(i, 1).flatten().to_numpy())
                 if cuts:
                     chars = np.concatenate(([0], np.cumsum((u.data & 0xC0) != 0x80)))
                     removed[i] = [{"start": int(chars[a]), "end": int(chars[b])} for a, b in cuts]
@@ -160,6 +180,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind)], names=[*columns, "removed"])
 
     at = "__doc" if "__doc" not in docs.columns else "__doc_"
-    places = places.select(F.col("doc_id").alias(at), "repeated")
-    both = docs.select(*columns).join(places.withColumnRenamed("repeated", f"{at}_repeated"), F.col(id_col).cast("long") == F.col(at), "left").drop(at)
+    places = places.select(F.col("doc_id").alias(at), F.col("text_hash").alias(f"{at}_text"), F.col("repeated").alias(f"{at}_repeated"))
+    same = (F.col(id_col).cast("long") == F.col(at)) & (F.xxhash64(text_col) == F.col(f"{at}_text"))
+    both = docs.select(*columns).join(places, same, "left").drop(at, f"{at}_text")
     return both.mapInArrow(lean(run), schema)
