@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -109,3 +110,20 @@ def test_queries(spark, tmp_path):
     assert nine[2].decoded_sha256 == hashlib.sha256("Été 12".encode()).hexdigest()
     five = {r.doc_id: r for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
     assert five[1].n_tokens == 0 and five[1].n_bytes == 0 and not five[2].over_limit
+
+
+def test_a_grammar_leaves_no_frequent_pair():
+    r = np.random.default_rng(5)
+    words = [r.integers(0, 300, r.integers(2, 30)) for _ in range(400)]
+    docs = [np.concatenate([words[k] for k in r.zipf(1.3, 60) % 400]).astype("<u4") for _ in range(40)]
+    docs += [np.full(1000, 7, "<u4"), np.zeros(0, "<u4"), *[np.array([500, 501], "<u4")] * 6, np.arange(2000, dtype="<u4") % 2]
+    shard = repair_store.Shard(repair_store.compress(docs))
+    assert all(np.array_equal(a, b) for a, b in zip(shard.documents(), docs, strict=True))
+    count, used = Counter(), {}
+    for k in range(len(docs)):
+        s = shard.symbols[shard.offsets[k] : shard.offsets[k + 1]].tolist()
+        for i, pair in enumerate(zip(s, s[1:])):
+            if used.get(pair) != (k, i - 1):
+                count[pair] += 1
+                used[pair] = k, i
+    assert max(count.values()) < repair_store.MIN_COUNT

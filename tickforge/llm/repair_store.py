@@ -2,9 +2,10 @@
 
 Documents are put in ascending doc_id order by range, cut into shards of about SHARD_TOKENS ids, and each
 shard gets a grammar of its own: frequent neighbouring pairs are replaced by nonterminals, round after round,
-until a round gains too little. Pairs never cross the end of a document. A round replaces all pairs that are
-the most frequent of their neighbourhood at once, which is Re-Pair's greedy order up to ties and counts
-updated once a round.
+until no pair stands MIN_COUNT times. Pairs never cross the end of a document. A round replaces all pairs that
+are the most frequent of their neighbourhood at once, which is Re-Pair's greedy order up to ties and counts
+updated once a round. The first rounds count pairs in hashed bins; where a round shortens the shard by less
+than EXACT_GAIN, the later ones count exactly, and only the pairs that may still be frequent.
 
 File format: Parquet rows (part, shard, n_tokens, doc_ids, payload). A payload is little-endian:
     "RPG1" | u32 documents, rules, symbols, first nonterminal
@@ -34,9 +35,8 @@ from .shared import cached, lean, texts_of, tune, work_dir
 SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes and a replacement saves 3.
 MIN_COUNT = 6
-#: A round that shortens the shard by less than this part is the last one.
-LEAST_GAIN = 0.06
-MAX_ROUNDS = 16
+#: A round that shortens the shard by less than this part is the last one that counts in bins.
+EXACT_GAIN = 0.06
 BINS = 18
 #: Distinct pieces and pre-tokens whose ids a worker remembers, of each.
 MAX_KNOWN = 800_000
@@ -136,6 +136,62 @@ class PieceEncoder:
         return out
 
 
+def binned(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of the pair at each position, and how many pairs each bin has."""
+    at = ((s[:-1] * np.uint32(0x9E3779B1) ^ s[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BINS)).astype(np.int64)
+    count = np.bincount(at, minlength=1 << BINS)
+    count -= np.bincount(at[last[:-1]], minlength=1 << BINS)
+    return at, count
+
+
+def round_by_bins(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions whose pairs to replace, the number of each one's pair, and the pairs; of a bin one pair at most."""
+    at, count = binned(s, last)
+    rank = (np.minimum(count, (1 << 32 - BINS) - 1) << BINS | np.arange(1 << BINS)).astype(np.uint32)[at]
+    rank[last[:-1]] = 0
+    pick = rank >= np.uint32(MIN_COUNT << BINS)
+    pick[1:] &= rank[1:] > rank[:-1]
+    pick[:-1] &= rank[:-1] >= rank[1:]
+    i = np.flatnonzero(pick)
+    bin_, key = at[i], s[i].astype(np.uint64) << np.uint64(32) | s[i + 1]
+    one = np.zeros(1 << BINS, np.uint64)
+    one[bin_] = key
+    same = one[bin_] == key  # the others of a bin wait for a later round
+    i, bin_ = i[same], bin_[same]
+    often = np.flatnonzero(np.bincount(bin_, minlength=1 << BINS) >= MIN_COUNT)
+    name = np.zeros(1 << BINS, np.int64)
+    name[often] = 1 + np.arange(len(often))
+    named = name[bin_]
+    return i[named > 0], named[named > 0] - 1, one[often]
+
+
+def round_exactly(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As round_by_bins, from the pairs at the positions `at` only; and those positions whose pairs are frequent.
+
+    A pair counts as often as it can be replaced. The most frequent one is replaced everywhere, so a round
+    without a rule means that no pair at these positions is frequent."""
+    pairs, pair = np.unique(s[at].astype(np.uint64) << np.uint64(32) | s[at + 1], return_inverse=True)
+    run = np.zeros(len(at), bool)  # a symbol three times in a row: the pair overlaps the one before
+    run[1:] = (at[1:] == at[:-1] + 1) & (pair[1:] == pair[:-1])
+    free = ~run
+    if run.any():
+        index = np.arange(len(at))
+        free = (index - np.maximum.accumulate(np.where(run, 0, index))) % 2 == 0
+    count = np.bincount(pair[free], minlength=len(pairs))
+    rank = np.empty(len(pairs), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(pairs))
+    frequent = count[pair] >= MIN_COUNT
+    at, pair, free = at[frequent], pair[frequent], free[frequent]
+    r, pick = rank[pair], free.copy()
+    beside = at[1:] == at[:-1] + 1
+    pick[1:] &= ~beside | (r[1:] >= r[:-1])
+    pick[:-1] &= ~beside | (r[:-1] >= r[1:])
+    i, pair = at[pick], pair[pick]
+    often = np.bincount(pair, minlength=len(pairs)) >= MIN_COUNT
+    i, pair = i[often[pair]], pair[often[pair]]
+    return i, (np.cumsum(often) - 1)[pair], pairs[often], at
+
+
 def compress(docs: list[np.ndarray]) -> bytes:
     """The payload of a shard."""
     sizes = np.array([len(x) for x in docs], np.int64)
@@ -144,38 +200,32 @@ def compress(docs: list[np.ndarray]) -> bytes:
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     first = int(s.max()) + 1 if len(s) else 0
     rules_left, rules_right, rules = [], [], 0
-    for _ in range(MAX_ROUNDS):
-        if len(s) < 2 * MIN_COUNT:
-            break
-        at = ((s[:-1] * np.uint32(0x9E3779B1) ^ s[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BINS)).astype(np.int64)
-        count = np.bincount(at, minlength=1 << BINS)
-        count -= np.bincount(at[last[:-1]], minlength=1 << BINS)
-        rank = (np.minimum(count, (1 << 32 - BINS) - 1) << BINS | np.arange(1 << BINS)).astype(np.uint32)[at]
-        rank[last[:-1]] = 0
-        pick = rank >= np.uint32(MIN_COUNT << BINS)
-        pick[1:] &= rank[1:] > rank[:-1]
-        pick[:-1] &= rank[:-1] >= rank[1:]
-        i = np.flatnonzero(pick)
-        bin_, key = at[i], s[i].astype(np.uint64) << np.uint64(32) | s[i + 1]
-        one = np.zeros(1 << BINS, np.uint64)
-        one[bin_] = key
-        same = one[bin_] == key  # the others of a bin wait for a later round
-        i, bin_ = i[same], bin_[same]
-        often = np.flatnonzero(np.bincount(bin_, minlength=1 << BINS) >= MIN_COUNT)
-        name = np.zeros(1 << BINS, np.uint32)
-        name[often] = first + rules + 1 + np.arange(len(often), dtype=np.uint32)
-        named = name[bin_]
-        i, named = i[named > 0], named[named > 0]
-        if len(i) < LEAST_GAIN * len(s):
-            break
-        rules_left.append((one[often] >> np.uint64(32)).astype(np.uint32))
-        rules_right.append(one[often].astype(np.uint32))
-        rules += len(often)
-        s[i] = named - np.uint32(1)
+    open_ = None  # from the first exact round on: whether the pair at a position may be frequent
+    while len(s) >= 2 * MIN_COUNT:
+        if open_ is None:
+            i, named, pairs = round_by_bins(s, last)
+            exact = len(i) < EXACT_GAIN * len(s)
+        else:
+            i, named, pairs, at = round_exactly(s, np.flatnonzero(open_ & ~last))
+            if not len(i):
+                break
+            # Counts of known pairs only fall, and new ones hold a new symbol.
+            open_[:] = False
+            open_[at] = open_[i] = True
+            open_[i[i > 0] - 1] = True
+        rules_left.append((pairs >> np.uint64(32)).astype(np.uint32))
+        rules_right.append(pairs.astype(np.uint32))
+        s[i] = (first + rules + named).astype(np.uint32)
+        rules += len(pairs)
         last[i] = last[i + 1]
         keep = np.ones(len(s), bool)
         keep[i + 1] = False
+        if open_ is not None:
+            open_ = open_[keep]
         s, last = s[keep], last[keep]
+        if open_ is None and exact and len(s) > 1:
+            bins, count = binned(s, last)
+            open_ = np.append(count[bins] >= MIN_COUNT, False)
     left, right = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (rules_left, rules_right))
     length = np.ones(first + rules, np.int64)
     done = 0
