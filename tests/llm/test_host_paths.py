@@ -53,3 +53,20 @@ def test_hosts_agree_on_a_path(spark):
     assert all(text[i] == WANT for i in range(8)) and text[8] == ""
     assert host_paths.Page(odd).extract(None) != WANT
     assert host_paths.extract(pages.where("page_id > 99")).count() == 0
+
+
+def test_text_beside_the_path_stays():
+    a, b = "forty characters of text in division a..", "Sixty characters of text in the sibling division, number b.."
+    page = host_paths.Page(f"<body><div class=wrap><div class=a>{a}</div><div class=b>{b}</div></div></body>")
+    assert page.extract(">body>div.wrap>div.a") == f"{a}\n{b}"
+    apart = host_paths.Page(f"<body><div class=a>{a}</div><div class=b>{b * 2}</div></body>")
+    assert apart.extract(">body>div.a") == f"{a}\n{b * 2}"
+
+
+def test_headings_of_the_article_stay():
+    lead, text = "A short lead.", "The body of the article. " * 20
+    source = f"<body><main><article><header><h1>Title</h1></header><p>{lead}</p><div class=entry-content><p>{text}</p></div><div class=share>Share</div></article></main></body>"
+    want = f"Title\n{lead}\n{text.strip()}"
+    page = host_paths.Page(source)
+    assert page.extract(None) == want
+    assert page.extract(">body>main>article>div.entry-content") == want

@@ -3,8 +3,11 @@
 Pass 1 parses every page into blocks of text inside containers, scores the containers (text less linked text,
 passed on to the containers around it at a discount) and votes with the generalised tag-class paths of the
 best. Spark sums the votes of a host; the path with the most wins. Pass 2 extracts every page again from the
-containers on the host's winning path, without the boilerplate inside them. A page where that path gives less
-than LEAST_SHARE of the page's own best container is taken from the latter.
+containers on the host's winning path, without the boilerplate inside them. A container inside an article stands
+for the whole article, with its headings and leads. Where the path misses text of the page's own best
+container, the page gets both, in page order. Only where the path leads into an article or main
+element and the own container stands outside of all of them, the path alone counts; if it gives less than
+LEAST_SHARE of the own container's text, the latter alone does.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by a line feed in page order. Null html counts as empty and gives an empty text; a null url, or one without a
@@ -194,18 +197,42 @@ class Page:
         best = sorted(by.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
         return [(p, s / best[0][1]) for p, s in best]
 
-    def inside(self, chosen: set[int]) -> str:
+    def article(self, k: int) -> int:
+        """The article around container k, the outermost one that isn't boilerplate; or k itself."""
+        out = k
+        while k >= 0:
+            if self.containers[k][3] == GOOD["article"]:
+                out = k
+            k = self.containers[k][0]
+        return out
+
+    def marked_up(self, k: int) -> bool:
+        """Whether container k is an article or main element, or stands in one."""
+        while k >= 0 and self.containers[k][3] < GOOD["main"]:
+            k = self.containers[k][0]
+        return k >= 0
+
+    def inside(self, chosen: set[int]) -> list[int]:
+        """The blocks in the chosen containers, boilerplate left out."""
         held = []
         for k, (parent, _, unwanted, _) in enumerate(self.containers):
             held.append(not unwanted and (k in chosen or parent >= 0 and held[parent]))
-        return "\n".join(text for text, k, _ in self.blocks if held[k])
+        return [i for i, (_, k, _) in enumerate(self.blocks) if held[k]]
 
     def extract(self, path: str | None) -> str:
+        def size(blocks) -> int:
+            return sum(len(self.blocks[i][0]) + 1 for i in blocks)
+
         scores = self.scores()
-        own = self.inside({max(scores, key=lambda k: (scores[k], -k))}) if scores else ""
-        chosen = {k for k, x in enumerate(self.containers) if path is not None and x[1] == path}
-        text = self.inside(chosen) if chosen else ""
-        return text if len(text) >= LEAST_SHARE * len(own) else own
+        best = self.article(max(scores, key=lambda k: (scores[k], -k))) if scores else -1
+        own = self.inside({best})
+        on_path = {self.article(k) for k, x in enumerate(self.containers) if path is not None and x[1] == path and not x[2]}
+        blocks = self.inside(on_path)
+        if not (blocks and all(map(self.marked_up, on_path)) and not self.marked_up(best)):
+            blocks = sorted({*own, *blocks})
+        elif size(blocks) < LEAST_SHARE * size(own):
+            blocks = own
+        return "\n".join(self.blocks[i][0] for i in blocks)
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
