@@ -116,3 +116,10 @@ def test_a_run_goes_whole_and_its_first_occurrence_stays(spark):
     got = [(g.doc_id, g.text) for g in run(spark, rows)]
     assert (2, "Left one. Right one.") in got and rows[0] in got and (4, "") in got
     assert (3, " ".join(["Buy"] * 12) + " ") in got and rows[3] in got
+
+
+def test_repeated_short_lines_go(spark):
+    rows = [(1, "Read more\nOne two three."), (2, "Any words.\nread  more\nFour five. Read more"), (3, "All rights\nreserved")]
+    got = {g.doc_id: g for g in run(spark, rows)}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    assert got[2].text == "Any words.\nFour five. Read more"

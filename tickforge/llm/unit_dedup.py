@@ -3,8 +3,8 @@
 A text's units begin at line breaks, after sentence ends and at capitalised words, so that a passage that was
 put into the middle of a line still falls into the same units as its source. Words are normalised (lower case
 in ASCII and Latin-1, white space ignored). Hashed to 128 bits and grouped globally are windows of units, the
-shortest of RUN_WORDS words or more from each unit on and up to each unit's end, and whole lines of LINE_WORDS
-words or more that are shorter than a window. The occurrence of the lowest rank (doc_id, then position) is the
+shortest of RUN_WORDS words or more from each unit on and up to each unit's end, and whole lines that are shorter
+than a window. The occurrence of the lowest rank (doc_id, then position) is the
 one to keep; others go, unless they overlap it. So every run of units of RUN_WORDS words or more that stood
 together earlier goes whole, as the windows inside it cover it, and nothing goes only because its units occur
 one by one. The removed ranges are given as offsets in code points of the original text.
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from . import wordhash
 from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
 
-LINE_WORDS = 6
+#: Of a line that goes when it is repeated as a whole: any line with a word.
+LINE_WORDS = 1
 RUN_WORDS = 12
 SLICE_BYTES = 1 << 20
 REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
