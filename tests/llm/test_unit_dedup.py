@@ -123,3 +123,24 @@ def test_repeated_short_lines_go(spark):
     got = {g.doc_id: g for g in run(spark, rows)}
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
     assert got[2].text == "Any words.\nFour five. Read more"
+
+
+def test_passages_of_any_script_inside_a_line(spark):
+    r = random.Random(6)
+    scripts = ["abcdefgh", "абвгдежз", "αβγδεζηθ", "ابتثجحخد"]
+    rows, passages = [], {}
+    for k, letters in enumerate([*scripts, "日月火水木金土山川田"]):
+        def some(n, letters=letters, space="" if k == 4 else " "):
+            return space.join("".join(r.choices(letters, k=1 if k == 4 else 6)) for _ in range(n))
+
+        gap = "" if k == 4 else " "
+        passages[k] = some(80)
+        rows += [(10 * k, gap.join([some(30), passages[k], some(30)])), (10 * k + 1, gap.join([some(30), passages[k], some(30)]))]
+    rows += [(90, "Он сказал: «да.» Потом ушёл. " + passages[1]), (91, "«" + passages[0] + ".» " + passages[3])]
+    texts = dict(rows)
+    got = {g.doc_id: g for g in run(spark, rows)}
+    for k, passage in passages.items():
+        assert got[10 * k].text == texts[10 * k]
+        (cut,) = got[10 * k + 1].removed
+        gone = texts[10 * k + 1][cut.start : cut.end].strip()
+        assert gone in passage and len(gone) > 0.5 * len(passage)

@@ -1,7 +1,9 @@
 """Substring dedup by hashing normalised units of lines and paragraphs.
 
-A text's units begin at line breaks, after sentence ends and at capitalised words, so that a passage that was
-put into the middle of a line still falls into the same units as its source. Words are normalised (lower case
+A text's units begin at line breaks, after sentence ends and at capitalised words; what is longer than LONG_WORDS
+words is cut before the words that their hash chooses. So a passage that was put into the middle of a line still
+falls into the same units as its source, whatever the script; where no sentence or capital bounds it, the words
+up to the next cut stay at its edges. Ideographs and kana count as words. Words are normalised (lower case
 in ASCII and Latin-1, white space ignored). Hashed to 128 bits and grouped globally are windows of units, the
 shortest of RUN_WORDS words or more from each unit on and up to each unit's end, and whole lines that are shorter
 than a window. The occurrence of the lowest rank (doc_id, then position) is the
@@ -28,11 +30,12 @@ from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
 #: Of a line that goes when it is repeated as a whole: any line with a word.
 LINE_WORDS = 1
 RUN_WORDS = 12
+#: A unit of more words is cut before each word that its hash chooses, one in CHOSEN.
+LONG_WORDS, CHOSEN = 16, 8
 SLICE_BYTES = 1 << 20
 REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
-SENTENCE_END = np.zeros(256, bool)
-SENTENCE_END[[ord(c) for c in ".!?"]] = True
+STOPS, CLOSERS = ".!?…。！？؟۔।", "\"')]”’»"
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -46,9 +49,42 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def capitalised(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether words begin with a Latin-1, Greek or Cyrillic capital."""
     b = data[starts]
     after = data[np.minimum(starts + 1, len(data) - 1)] if len(data) else b
-    return ((b >= 65) & (b <= 90)) | ((b == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97))
+    out = ((b >= 65) & (b <= 90)) | ((b == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97))
+    return out | ((b == 0xCE) & (after >= 0x86) & (after <= 0xAB)) | ((b == 0xD0) & (after >= 0x80) & (after <= 0xAF))
+
+
+def ends_with(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, characters: str) -> np.ndarray:
+    """The length in bytes of the one of the characters that each word ends with, or 0."""
+    out = np.zeros(len(ends), np.int64)
+    for c in map(str.encode, characters):
+        at = np.flatnonzero((data[ends - 1] == c[-1]) & (ends - starts >= len(c)))
+        for k in range(2, len(c) + 1):
+            at = at[data[ends[at] - k] == c[-k]]
+        out[at] = len(c)
+    return out
+
+
+def sentence_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether words end with a stop, or with a stop and a closing quote or bracket."""
+    out = ends_with(data, starts, ends, STOPS) > 0
+    closer = ends_with(data, starts, ends, CLOSERS)
+    at = np.flatnonzero((closer > 0) & (ends - closer > starts))
+    out[at] = ends_with(data, starts[at], ends[at] - closer[at], STOPS) > 0
+    return out
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As wordhash.words, with each ideograph and kana, written without spaces, as a word of its own."""
+    starts, ends, first = wordhash.words(data, at)
+    alone = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    if len(alone):
+        cuts = np.setdiff1d(np.concatenate((alone, alone + 3)), np.concatenate((starts, ends)))
+        starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+        first = np.searchsorted(starts, at)
+    return starts, ends, first
 
 
 def digests(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -67,8 +103,9 @@ class Units:
 
     def __init__(self, column: pa.Array):
         self.data, self.at = wordhash.utf8(column)
-        self.starts, self.ends, text_first = wordhash.words(self.data, self.at)
+        self.starts, self.ends, text_first = words(self.data, self.at)
         m = len(self.starts)
+        self.hashes = wordhash.hashes(lowered(self.data), self.starts, self.ends)
         if not m:
             self.first, self.line, self.begin = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(self.at), np.int64)
             return
@@ -79,7 +116,9 @@ class Units:
         new_text[text_first] = True
         new_line |= new_text[:m]
         new = new_line | capitalised(self.data, self.starts)
-        new[1:] |= SENTENCE_END[self.data[self.ends[:-1] - 1]]
+        new[1:] |= sentence_ends(self.data, self.starts[:-1], self.ends[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), m))
+        new |= np.repeat(size > LONG_WORDS, size) & (self.hashes % np.uint64(CHOSEN) == 0)
         self.first = np.concatenate((np.flatnonzero(new), [m]))
         self.line = np.cumsum(new_line)[self.first[:-1]]
         self.begin = np.searchsorted(self.first[:-1], text_first)
@@ -99,8 +138,7 @@ class Units:
         short = (n >= LINE_WORDS) & (n < RUN_WORDS)
         a = np.concatenate((unit[ahead], start[back], line[short]))
         b = np.concatenate((to[ahead], unit[back] + 1, line_end[short]))
-        h = wordhash.hashes(lowered(self.data), self.starts, self.ends)
-        return text[a], a, b, *digests(h, self.first[a], self.first[b])
+        return text[a], a, b, *digests(self.hashes, self.first[a], self.first[b])
 
 
 def windows_of(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
