@@ -1,13 +1,13 @@
 """Connected components by alternating large-star and small-star steps on DataFrames.
 
 (Kiveris et al., 2014.) Links stay in Spark; every step is cut off by a written table. The smallest member
-names a component.
+names a component. A node with a large share of all links is dealt to several tasks.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import spread_join, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -21,8 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         seen = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, low, ["u"], 2 * state.n, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, low, ["u"], state.n, "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), name)

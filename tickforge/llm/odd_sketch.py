@@ -6,12 +6,16 @@
 2. Equal sets are merged first; only one document of each goes on.
 3. In every bucket each member is held against one leader, the smallest doc_id. A pair within the size ratio
    and the sketch's bound is confirmed on full sets. Links give components.
-4. Buckets that still hold more than one component are searched in blocks, which carry full sets: pairs of
-   members of different components that pass the screen are confirmed in memory, and only links that join two
+4. Buckets that still hold more than one component are searched in blocks, bounded by members and by shingles:
+   pairs of members of different components are screened by sketches, and full sets are brought only to the
+   members with a pair that passes. Pairs are confirmed in memory, and only links that join two
    components come out, at most one less than a block pair's members. No pair of a bucket is left out, a pair is
    looked at in the first bucket that it shares, and pairs of one component, which can't change the result, are
    never looked at.
 
+A set is known by its document's id and a signature, so rows that repeat a doc_id don't mix. Rows of a hot bucket,
+leader or node of the graph are dealt to several tasks.
+
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6, and its sketches differ in
 more than MAX_ODD bits with less (5.8 standard deviations); both fall steeply above. Bands are set for
 similarities of 0.8 or more.
@@ -30,14 +34,14 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
+from .shared import MAX_MEMBERS, bitmap_of, by_bytes, in_bitmap, lean, spread_join, tune, written
 
 BANDS, ROWS, BITS = 32, 5, 512
 VALUES = BANDS * ROWS
 #: XOR bits of two sketches at most; 57 are expected at a similarity of 0.8, with a deviation of 9.5.
 MAX_ODD = 112
-#: Members of a bucket in a block.
-BLOCK = 1024
+#: Members and shingles of a bucket in a block, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SLICE_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(77)
@@ -78,6 +82,11 @@ def odd_sketches(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(values), BITS), axis=1).view(np.uint64)
 
 
+def first_signature(s: np.ndarray) -> int:
+    """Sum of a set's hashes; with the doc_id it names a set."""
+    return int(s.sum().view(np.int64))
+
+
 def similarity_of(odd_bits: int) -> float:
     """The similarity that `odd_bits` bits of the XOR of two sketches stand for."""
     return 1 - np.log(max(1 - 2 * odd_bits / BITS, 1e-9)) / np.log(1 - 2 / BITS) / (2 * VALUES)
@@ -97,7 +106,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             if some:
                 values = min_hashes(some)
                 for i, s, x, y in zip(full, some, odd_sketches(values).view(np.int64), band_keys(values).view(np.int64), strict=True):
-                    sig[0][i], sig[1][i] = int(s.sum().view(np.int64)), int(wordhash.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
+                    sig[0][i], sig[1][i] = first_signature(s), int(wordhash.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
                     sketch[i], bands[i] = x, y
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in sig), *(pa.array(x, pa.list_(pa.int64())) for x in (sketch, bands))],
@@ -107,25 +116,36 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, n long, sig1 long, sig2 long, sketch array<long>, bands array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, n: int, name: str, column: str) -> DataFrame:
-    """(name, column): the sets, if not empty, of the documents whose doc_id is in `ids`, and of few others."""
-    bitmap = bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h", ids.count())
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, sig, set) of the documents with a set whose doc_id is in `ids`, and of some others."""
+    count = ids.count()
+    if few := count <= MAX_MEMBERS:
+        bitmap = bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h", count)
+    else:
+        docs = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(2).to_numpy())))
+            if few:
+                batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(2).to_numpy())))
             sets = shingle_sets(batch.column(1), n) if batch.num_rows else []
             some = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
             if len(some):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([s.tobytes() for s in sets if len(s)], pa.binary())], names=[name, column])
+                sets = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([first_signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "set"])
 
-    return docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(lean(run), f"{name} long, {column} binary")
+    found = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(lean(run), "id long, sig long, set binary")
+    return found.dropDuplicates(["id", "sig"])  # equal rows
+
+
+def _named(df: DataFrame, k: str, **columns: str) -> DataFrame:
+    return df.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"), *(F.col(c).alias(f"{n}_{k}") for n, c in columns.items()))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = _sets_of(docs, pairs.select(F.col("a").alias("id")).distinct(), n, "a", "set_a")
-    two = _sets_of(docs, pairs.select(F.col("b").alias("id")).distinct(), n, "b", "set_b")
+    every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = written(_sets_of(docs, written(every, "ids"), n), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,51 +159,88 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long").distinct()
+    with_a = pairs.join(_named(sets, "a", set="set"), ["a", "sig_a"])
+    with_b = _to_leaders(with_a, _named(sets, "b", set="set"), pairs)
+    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def _to_leaders(pairs: DataFrame, facts: DataFrame, counted: DataFrame) -> DataFrame:
+    """Pairs with the facts of b; those of a leader of many are dealt to several tasks."""
+    return spread_join(pairs, facts, ["b", "sig_b"], counted.count(), "a", counted=counted)
 
 
 def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs within the size ratio whose sketches are near enough."""
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     odd = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(BITS // 64)), F.lit(0))
     sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (odd <= MAX_ODD)).select("a", "b").distinct()
-
-
-def _mixed(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, blocks, rep, c, band) of the members of buckets that hold several components."""
-    named = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    keys = named.select("rep", "c", F.posexplode("bands").alias("band", "h"))
-    mixed = keys.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    return written(keys.join(mixed.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "h"), "mixed-buckets")
+    both = _to_leaders(pairs.join(_named(reps, "a", n="n", s="sketch"), ["a", "sig_a"]), _named(reps, "b", n="n", s="sketch"), pairs)
+    return both.where(sizes & (odd <= MAX_ODD)).select("a", "sig_a", "b", "sig_b")
+
+
+def _mixed(reps: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """(h, blocks, id, sig, c, band) of the members of buckets that hold several components.
+
+    A block has about BLOCK members and BLOCK_SHINGLES shingles."""
+    named = reps.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    keys = named.select("id", "sig", "n", "c", F.posexplode("bands").alias("band", "h"))
+    mixed = keys.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    return written(spread_join(keys.drop("n"), mixed.select("h", blocks.alias("blocks")), ["h"], total, "id"), "mixed-buckets")
+
+
+def _pairs_of(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two blocks, or one: each member i, and those of the members it is held against that pass the size ratio
+    and the sketch's bound, share no earlier band with it, and are of another component. The components are
+    `c` of the moment, so what the caller unites while it iterates isn't looked at again."""
+    x, band, k, c, size = (table.column(i).to_numpy() for i in ("x", "band", "k", "c", "n"))
+    sketch, bands = (np.array(table.column(i).to_pylist(), np.int64).view(np.uint64) for i in ("sketch", "bands"))
+    earlier = bands[:, : band[0]]
+    own = x[0] == table.column("y").to_numpy()[0]
+    one = np.flatnonzero(k == x[0])
+    two = one if own else np.flatnonzero(k != x[0])
+    c = c.copy()
+    for i in one:
+        near = two[two > i] if own else two
+        near = near[(c[near] != c[i]) & (100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i]))]
+        near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MAX_ODD]
+        near = near[~(earlier[near] == earlier[i]).any(axis=1)]
+        if len(near):
+            for j in (yield i, near, c):
+                c[c == max(c[i], c[j])] = min(c[i], c[j])
 
 
 def _between(members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join the components of buckets' members, by blocks of a bucket."""
-    some = members.select(F.col("rep").alias("id")).distinct()
-    sets = _sets_of(docs, some, n, "rep", "set").join(some, F.col("rep") == F.col("id"), "left_semi").dropDuplicates(["rep"])
-    facts = written(reps.join(sets, "rep").select("rep", "sketch", "bands", "set"), "members")
-    members = members.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "rep", "c")
-    members = members.join(facts, "rep")
+    """Confirmed links (a, b) that join the components of buckets' members, by blocks of a bucket.
+
+    Sketches alone travel first; full sets go only to the blocks where a member has a pair that passes the screen."""
+    place = ["h", "x", "y"]
+    members = members.withColumn("k", F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int"))
+    members = members.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "id", "sig", "c")
+    facts = reps.select("id", "sig", "n", "sketch", "bands")
+    schema = "h long, band int, x int, y int, k int, id long, sig long, c long, n long, sketch array<long>, bands array<long>"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def screen(table: pa.Table) -> pa.Table:
+        hit = np.zeros(len(table), bool)
+        for i, near, _ in _steps(_pairs_of(table, percent)):
+            hit[i] = hit[near] = True
+        return table.filter(pa.array(hit)).select(columns)
+
+    near = written(members.join(facts, ["id", "sig"]).select(*columns).groupBy(*place).applyInArrow(screen, schema), "screened-members")
+    ids = written(near.select("id").distinct(), "ids")
+    with_sets = near.join(_sets_of(docs, ids, n), ["id", "sig"])
 
     def run(table: pa.Table) -> pa.Table:
-        x, band, k, rep, c = (table.column(i).to_numpy() for i in ("x", "band", "k", "rep", "c"))
-        c = c.copy()
-        sketch, bands = (np.array(table.column(i).to_pylist(), np.int64).view(np.uint64) for i in ("sketch", "bands"))
-        held = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
-        size = np.array([len(s) for s in held])
+        ids, size = table.column("id").to_numpy(), table.column("n").to_numpy()
+        held = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("set")]
         flat, begin = np.concatenate(held), np.cumsum(size) - size
-        earlier = bands[:, : band[0]]
-        own = x[0] == table.column("y").to_numpy()[0]
-        one = np.flatnonzero(k == x[0])
-        two = one if own else np.flatnonzero(k != x[0])
-        links = []
-        for i in one:
-            near = two[two > i] if own else two
-            near = near[(c[near] != c[i]) & (100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i]))]
-            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MAX_ODD]
-            near = near[~(earlier[near] == earlier[i]).any(axis=1)]
+        links, steps, joined = [], _pairs_of(table, percent), None
+        while True:
+            try:
+                i, near, c = steps.send(joined)
+            except StopIteration:
+                break
+            joined, root = [], {int(c[i])}
             for at in range(0, len(near), 64):  # full sets, a few at a time
                 part = near[at : at + 64]
                 first = np.cumsum(size[part]) - size[part]
@@ -192,23 +249,37 @@ def _between(members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perce
                 found = own_set[np.minimum(np.searchsorted(own_set, there), len(own_set) - 1)] == there
                 both = np.add.reduceat(found, first, dtype=np.int64)
                 for j in part[100 * both >= percent * (size[part] + size[i] - both)]:
-                    if c[j] != c[i]:
-                        links.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
-                        c[c == max(c[i], c[j])] = min(c[i], c[j])
+                    if int(c[j]) not in root:
+                        root.add(int(c[j]))
+                        joined.append(j)
+                        links.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("h", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return with_sets.groupBy(*place).applyInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _steps(pairs: Iterator) -> Iterator:
+    """The pairs of a generator that nothing is sent to."""
+    joined = None
+    while True:
+        try:
+            yield pairs.send(joined)
+        except StopIteration:
+            return
+        joined = []
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components after more links between documents."""
+    total = links.count()
     for k in ("a", "b"):
         found = labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-        links = links.join(found, k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+        links = spread_join(links, found, [k], total, "b" if k == "a" else "a", "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+        links = written(links, "links-between")
     again = components(links, "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("c"))
     every = labels.unionByName(again.select(F.col("component").alias("node"), "component")).distinct()
-    every = every.join(again, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    every = spread_join(every, again, ["component"], every.count(), "node", "left").select("node", F.coalesce("c", "component").alias("component"))
     # a component's own name may stand both alone and inside the component that it joined
     return written(every.groupBy("node").agg(F.min("component").alias("component")), "joined")
 
@@ -220,19 +291,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     all_ = written(signatures(docs, n), "signatures")
     some = all_.where("doc_id IS NOT NULL AND sig1 IS NOT NULL")
-    reps = some.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    reps = written(reps, "representatives")
-
-    keys = reps.select("rep", F.explode("bands").alias("h"))
-    leaders = keys.groupBy("h").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "b")
-    pairs = keys.join(leaders, "h").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    pairs = written(_screened(pairs, reps, percent), "pairs")
+    reps = some.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    reps = written(reps.withColumn("sig", F.col("sig1")), "representatives")
+
+    keys = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.explode("bands").alias("h"))
+    total = BANDS * reps.count()
+    leaders = keys.groupBy("h").agg(F.min(F.struct("a", "sig_a")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.col("l.a").alias("b"), F.col("l.sig_a").alias("sig_b"))
+    pairs = spread_join(keys, leaders, ["h"], total, "a").where("a <> b").select("a", "sig_a", "b", "sig_b").distinct()
+    pairs = written(_screened(written(pairs, "proposed"), reps, percent), "pairs")
     labels = components(confirmed(pairs, docs, n, percent))
 
-    mixed = _mixed(reps, labels)
+    mixed = _mixed(reps, labels, total)
     if not mixed.isEmpty():
         labels = _joined(labels, written(_between(mixed, reps, docs, n, percent), "links"))
-    groups = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n", F.coalesce("component", "rep").alias("component_id"))
+    groups = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("sig1", "sig2", "n", F.coalesce("component", "id").alias("component_id"))
     out = all_.select("doc_id", "n", "sig1", "sig2").join(groups, ["sig1", "sig2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts of a batch are held in memory together.
 ARROW_ROWS = 512
-#: Bits of a membership bitmap, at most (16 MB); more members mean more false positives, never a lost one.
+#: Bits of a membership bitmap, at most (16 MB).
 MAX_BITMAP_BITS = 1 << 27
+#: Members of a bitmap at most: with more, it would let most rows through, and a join does the work.
+MAX_MEMBERS = MAX_BITMAP_BITS // 4
+#: Rows of a key that a join keeps together, and keys of more rows than that, each at most.
+KEY_ROWS, HOT_KEYS = 256, 10_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -41,8 +45,12 @@ def _temporary() -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _temporary()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,6 +62,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, salt: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """`many` JOIN `one`, where `one` has a row a key. Rows of a hot key, one with more than `total` / HOT_KEYS of
+    the `total` rows, are dealt by the column `salt` to several tasks, and its row of `one` is copied to each.
+
+    Fewer than HOT_KEYS keys are hot, whatever the size of `many`, so their list can be broadcast. `counted`: a
+    table with the keys of `many` that is cheaper to read."""
+    limit = max(KEY_ROWS, total // HOT_KEYS)
+    hot = (many if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > limit)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("__m") / limit).cast("int").alias("__parts")))
+    many = many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(salt), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    one = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return many.join(one, [*keys, "__salt"], how).drop("__salt")
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker process, whatever the task."""
     name = "_tickforge_worker_cache"
