@@ -6,8 +6,8 @@
 2. Equal sets are merged first; only one document of each goes on.
 3. In every bucket each member is held against one leader, the smallest doc_id. A pair within the size ratio
    and the sketch's bound is confirmed on full sets. Links give components.
-4. Buckets that still hold more than one component are searched in blocks, bounded by members and by shingles:
-   pairs of members of different components are screened by sketches, and full sets are brought only to the
+4. Buckets that still hold more than one component are searched in blocks, bounded by members and by shingles, those
+   outside the bucket's largest component against all: pairs of members of different components are screened by sketches, and full sets are brought only to the
    members with a pair that passes. Pairs are confirmed in memory, and only links that join two
    components come out, at most one less than a block pair's members. No pair of a bucket is left out, a pair is
    looked at in the first bucket that it shares, and pairs of one component, which can't change the result, are
@@ -164,9 +164,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return with_b.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def _to_leaders(pairs: DataFrame, facts: DataFrame, counted: DataFrame) -> DataFrame:
-    """Pairs with the facts of b; those of a leader of many are dealt to several tasks."""
-    return spread_join(pairs, facts, ["b", "sig_b"], counted.count(), "a", counted=counted)
+def _to_leaders(pairs: DataFrame, facts: DataFrame, plain: DataFrame) -> DataFrame:
+    """Pairs with the facts of b; those of a leader of many are dealt to several tasks. `plain`: the same pairs."""
+    sizes = plain.groupBy("b", "sig_b").agg(F.count(F.lit(1)).alias("rows"))
+    return spread_join(pairs, facts, ["b", "sig_b"], plain.count(), "a", sizes=sizes)
 
 
 def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -178,30 +179,35 @@ def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(reps: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-    """(h, blocks, id, sig, c, band) of the members of buckets that hold several components.
+    """(h, rows, columns, minor, id, sig, c, band) of the members of buckets that hold several components.
 
-    A block has about BLOCK members and BLOCK_SHINGLES shingles."""
+    `minor`: not of the bucket's largest component. Pairs of two members of that one needn't be looked at, so a
+    bucket is searched in `rows` blocks of its minor members by `columns` blocks of all, and what travels grows
+    with the square of the minor members only. A block has about BLOCK members and BLOCK_SHINGLES shingles."""
     named = reps.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     keys = named.select("id", "sig", "n", "c", F.posexplode("bands").alias("band", "h"))
-    mixed = keys.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("lo <> hi")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
-    return written(spread_join(keys.drop("n"), mixed.select("h", blocks.alias("blocks")), ["h"], total, "id"), "mixed-buckets")
+    parts = keys.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    buckets = parts.groupBy("h").agg(F.max(F.struct("m", "c", "size")).alias("top"), F.sum("m").alias("m"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda m, size: F.greatest(F.ceil(m / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("h", "m", F.col("top.c").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("size") - F.col("top.size")).alias("rows"), blocks(F.col("m"), F.col("size")).alias("columns"))
+    buckets = written(buckets, "buckets")
+    both = spread_join(keys.drop("n"), buckets.drop("m"), ["h"], total, "id", sizes=buckets.select("h", F.col("m").alias("rows")))
+    return written(both.withColumn("minor", F.col("c") != F.col("major")).drop("major"), "mixed-buckets")
 
 
 def _pairs_of(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of two blocks, or one: each member i, and those of the members it is held against that pass the size ratio
-    and the sketch's bound, share no earlier band with it, and are of another component. The components are
-    `c` of the moment, so what the caller unites while it iterates isn't looked at again."""
-    x, band, k, c, size = (table.column(i).to_numpy() for i in ("x", "band", "k", "c", "n"))
+    """Of a block of minor members by one of all: each member i of the former, and those of the latter that pass the
+    size ratio and the sketch's bound, share no earlier band with it, and are of another component. The components
+    are `c` of the moment, so what the caller unites while it iterates isn't looked at again."""
+    band, ids, c, size = (table.column(i).to_numpy() for i in ("band", "id", "c", "n"))
+    row, minor = (table.column(i).to_numpy(zero_copy_only=False) for i in ("row", "minor"))
     sketch, bands = (np.array(table.column(i).to_pylist(), np.int64).view(np.uint64) for i in ("sketch", "bands"))
     earlier = bands[:, : band[0]]
-    own = x[0] == table.column("y").to_numpy()[0]
-    one = np.flatnonzero(k == x[0])
-    two = one if own else np.flatnonzero(k != x[0])
+    two = np.flatnonzero(~row)
     c = c.copy()
-    for i in one:
-        near = two[two > i] if own else two
-        near = near[(c[near] != c[i]) & (100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i]))]
+    for i in np.flatnonzero(row):
+        near = two[(c[two] != c[i]) & (~minor[two] | (ids[two] > ids[i]))]
+        near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
         near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MAX_ODD]
         near = near[~(earlier[near] == earlier[i]).any(axis=1)]
         if len(near):
@@ -214,10 +220,13 @@ def _between(members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perce
 
     Sketches alone travel first; full sets go only to the blocks where a member has a pair that passes the screen."""
     place = ["h", "x", "y"]
-    members = members.withColumn("k", F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int"))
-    members = members.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "id", "sig", "c")
+    cell = lambda n: F.pmod(F.xxhash64("id", "sig"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    kept = ("h", "band", "id", "sig", "c", "minor")
+    across = members.where("minor").select(*kept, F.lit(True).alias("row"), cell("rows").alias("x"), every("columns").alias("y"))
+    down = members.select(*kept, F.lit(False).alias("row"), every("rows").alias("x"), cell("columns").alias("y"))
     facts = reps.select("id", "sig", "n", "sketch", "bands")
-    schema = "h long, band int, x int, y int, k int, id long, sig long, c long, n long, sketch array<long>, bands array<long>"
+    schema = "h long, band int, x int, y int, row boolean, minor boolean, id long, sig long, c long, n long, sketch array<long>, bands array<long>"
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def screen(table: pa.Table) -> pa.Table:
@@ -226,7 +235,7 @@ def _between(members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perce
             hit[i] = hit[near] = True
         return table.filter(pa.array(hit)).select(columns)
 
-    near = written(members.join(facts, ["id", "sig"]).select(*columns).groupBy(*place).applyInArrow(screen, schema), "screened-members")
+    near = written(across.unionByName(down).join(facts, ["id", "sig"]).select(*columns).groupBy(*place).applyInArrow(screen, schema), "screened-members")
     ids = written(near.select("id").distinct(), "ids")
     with_sets = near.join(_sets_of(docs, ids, n), ["id", "sig"])
 
@@ -296,8 +305,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     keys = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.explode("bands").alias("h"))
     total = BANDS * reps.count()
-    leaders = keys.groupBy("h").agg(F.min(F.struct("a", "sig_a")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.col("l.a").alias("b"), F.col("l.sig_a").alias("sig_b"))
-    pairs = spread_join(keys, leaders, ["h"], total, "a").where("a <> b").select("a", "sig_a", "b", "sig_b").distinct()
+    leaders = keys.groupBy("h").agg(F.min(F.struct("a", "sig_a")).alias("l"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    leaders = written(leaders.select("h", F.col("l.a").alias("b"), F.col("l.sig_a").alias("sig_b"), "rows"), "leaders")
+    pairs = spread_join(keys, leaders.drop("rows"), ["h"], total, "a", sizes=leaders).where("a <> b").select("a", "sig_a", "b", "sig_b").distinct()
     pairs = written(_screened(written(pairs, "proposed"), reps, percent), "pairs")
     labels = components(confirmed(pairs, docs, n, percent))
 

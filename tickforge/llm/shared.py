@@ -62,16 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, salt: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, salt: str | list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """`many` JOIN `one`, where `one` has a row a key. Rows of a hot key, one with more than `total` / HOT_KEYS of
-    the `total` rows, are dealt by the column `salt` to several tasks, and its row of `one` is copied to each.
+    the `total` rows, are dealt by the columns `salt` to several tasks, and its row of `one` is copied to each.
 
-    Fewer than HOT_KEYS keys are hot, whatever the size of `many`, so their list can be broadcast. `counted`: a
-    table with the keys of `many` that is cheaper to read."""
+    Fewer than HOT_KEYS keys are hot, whatever the size of `many`, so their list can be broadcast. `sizes`: the
+    number `rows` of each key in `many`, or at least of the hot ones, where it is known."""
     limit = max(KEY_ROWS, total // HOT_KEYS)
-    hot = (many if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > limit)
-    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("__m") / limit).cast("int").alias("__parts")))
-    many = many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(salt), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")) if sizes is None else sizes
+    hot = F.broadcast(sizes.where(F.col("rows") > limit).select(*keys, F.ceil(F.col("rows") / limit).cast("int").alias("__parts")))
+    many = many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*([salt] if isinstance(salt, str) else salt)), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     one = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return many.join(one, [*keys, "__salt"], how).drop("__salt")
 
