@@ -4,8 +4,11 @@ from tickforge.llm import unit_dedup
 from texts import prose, sentence
 
 
-def run(spark, rows, schema="doc_id long, text string"):
-    return unit_dedup.dedup(spark.createDataFrame(rows, schema).repartition(4)).collect()
+RUN, LINE = 12, 1
+
+
+def run(spark, rows, schema="doc_id long, text string", run_words=RUN, line_words=LINE):
+    return unit_dedup.dedup(spark.createDataFrame(rows, schema).repartition(4), run_words, line_words).collect()
 
 
 def brute_units(text):
@@ -37,12 +40,12 @@ def brute(rows):
             j = i
             while j < len(units) and again[j]:
                 j += 1
-            if sum(len(u) for u, _ in units[i:j]) >= unit_dedup.RUN_WORDS:
+            if sum(len(u) for u, _ in units[i:j]) >= RUN:
                 drop |= set(range(i, j))
             i = max(j, i + 1)
         for n in {n for _, n in units}:
             own = [k for k, (_, m) in enumerate(units) if m == n]
-            if all(again[k] for k in own) and sum(len(units[k][0]) for k in own) >= unit_dedup.LINE_WORDS:
+            if all(again[k] for k in own) and sum(len(units[k][0]) for k in own) >= LINE:
                 drop |= set(own)
         out[doc] = [w for k, (u, _) in enumerate(units) if k not in drop for w in u]
     return out
@@ -144,3 +147,44 @@ def test_passages_of_any_script_inside_a_line(spark):
         (cut,) = got[10 * k + 1].removed
         gone = texts[10 * k + 1][cut.start : cut.end].strip()
         assert gone in passage and len(gone) > 0.5 * len(passage)
+
+
+def test_lines_alone_as_sql(spark):
+    """Whole lines of any length: the first by (doc_id, place) stays, as DuckDB says."""
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(12)
+    pool = [sentence(r, r.randint(1, 30)) for _ in range(40)]
+    rows = [(k, "\n".join(r.choice(pool) if r.random() < 0.5 else f"{prose(r, 9)}".replace("\n", " ") for _ in range(r.randint(1, 8)))) for k in range(60)]
+    docs = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    kept = duckdb.sql("""
+        WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM docs)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY lower(line) ORDER BY doc_id, i) AS n FROM l)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (n = 1), '') AS text FROM k GROUP BY doc_id""").fetchall()
+    got = {g.doc_id: g.text for g in run(spark, rows, run_words=None)}
+    assert {d: t.split("\n") for d, t in kept} == {d: t.strip("\n").split("\n") for d, t in got.items()}
+
+
+def test_long_passages_go_and_short_repeats_stay(spark):
+    """With the production parameters: passages of over 50 words are caught, a shared sentence is none."""
+    r = random.Random(21)
+    passages, common = [prose(r, 55).replace("\n", " ") for _ in range(8)], sentence(r, 11)
+    rows, clean = [], []
+    for k in range(120):
+        own = [prose(r, r.randint(30, 90)) for _ in range(3)]
+        if k % 3 == 0:
+            own.insert(r.randint(0, 3), passages[k % 8])
+        else:
+            own.insert(1, common + "\n" * (k % 2))
+            clean.append(k)
+        rows.append((k, " ".join(own)))
+    got = {g.doc_id: g for g in run(spark, rows, run_words=unit_dedup.RUN_WORDS, line_words=unit_dedup.LINE_WORDS)}
+    assert all(got[k].text == rows[k][1] for k in clean)
+    first = {}
+    for k in range(0, 120, 3):
+        if k % 8 in first:
+            assert len(set(passages[k % 8].split()) & set(got[k].text.split())) < 0.5 * len(set(passages[k % 8].split())) and got[k].removed
+        else:
+            first[k % 8] = k
+            assert got[k].text == rows[k][1]

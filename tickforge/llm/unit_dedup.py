@@ -5,9 +5,10 @@ words is cut before the words that their hash chooses. So a passage that was put
 falls into the same units as its source, whatever the script; where no sentence or capital bounds it, the words
 up to the next cut stay at its edges. Ideographs and kana count as words. Words are normalised (lower case
 in ASCII and Latin-1, white space ignored). Hashed to 128 bits and grouped globally are windows of units, the
-shortest of RUN_WORDS words or more from each unit on and up to each unit's end, and whole lines that are shorter
-than a window. The occurrence of the lowest rank (doc_id, then position) is the
-one to keep; others go, unless they overlap it. So every run of units of RUN_WORDS words or more that stood
+shortest of `run_words` words or more from each unit on and up to each unit's end, and whole lines of `line_words`
+words or more that are shorter than a window; without `run_words` (None), whole lines alone, of any length from
+`line_words` on. The occurrence of the lowest rank (doc_id, then position) is the
+one to keep; others go, unless they overlap it. So every run of units of `run_words` words or more that stood
 together earlier goes whole, as the windows inside it cover it, and nothing goes only because its units occur
 one by one. The removed ranges are given as offsets in code points of the original text.
 
@@ -25,11 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
+from .shared import MAX_MEMBERS, bitmap_of, by_bytes, in_bitmap, lean, tune, written
 
-#: Of a line that goes when it is repeated as a whole: any line with a word.
-LINE_WORDS = 1
-RUN_WORDS = 12
+#: Words of a repeated run, and of a repeated whole line, that go at least.
+RUN_WORDS = LINE_WORDS = 20
 #: A unit of more words is cut before each word that its hash chooses, one in CHOSEN.
 LONG_WORDS, CHOSEN = 16, 8
 SLICE_BYTES = 1 << 20
@@ -123,25 +123,29 @@ class Units:
         self.line = np.cumsum(new_line)[self.first[:-1]]
         self.begin = np.searchsorted(self.first[:-1], text_first)
 
-    def windows(self) -> tuple[np.ndarray, ...]:
+    def windows(self, run_words: int | None = RUN_WORDS, line_words: int = LINE_WORDS) -> tuple[np.ndarray, ...]:
         """(text, first unit, end unit, digests) of the windows and of the lines shorter than a window."""
         text = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
         unit = np.arange(len(text))
-        to = np.searchsorted(self.first, self.first[:-1] + RUN_WORDS)
-        start = np.searchsorted(self.first, self.first[1:] - RUN_WORDS, side="right") - 1
-        ahead = to <= self.begin[1:][text]
-        back = start >= self.begin[:-1][text]
-        back[back] = to[start[back]] != unit[back] + 1  # not those that are windows ahead as well
+        if run_words:
+            to = np.searchsorted(self.first, self.first[:-1] + run_words)
+            start = np.searchsorted(self.first, self.first[1:] - run_words, side="right") - 1
+            ahead = to <= self.begin[1:][text]
+            back = start >= self.begin[:-1][text]
+            back[back] = to[start[back]] != unit[back] + 1  # not those that are windows ahead as well
+        else:
+            to = start = unit
+            ahead = back = np.zeros(len(unit), bool)
         line = np.flatnonzero(np.diff(self.line, prepend=-1))
         line_end = np.append(line, len(unit))[1:]
         n = self.first[line_end] - self.first[line]
-        short = (n >= LINE_WORDS) & (n < RUN_WORDS)
+        short = (n >= line_words) & (n < (run_words or len(self.starts) + 1))
         a = np.concatenate((unit[ahead], start[back], line[short]))
         b = np.concatenate((to[ahead], unit[back] + 1, line_end[short]))
         return text[a], a, b, *digests(self.hashes, self.first[a], self.first[b])
 
 
-def windows_of(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+def windows_of(docs: DataFrame, run_words: int | None, line_words: int, bitmap: np.ndarray | None = None) -> DataFrame:
     """(d1, d2, doc_id, span, text_hash) of every window, or of those whose d1 the bitmap has.
 
     A span is the window's first unit in its text, shifted by 32 bits, and the number of its units."""
@@ -149,7 +153,7 @@ def windows_of(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             u = Units(batch.column(1))
-            text, a, b, one, two = u.windows()
+            text, a, b, one, two = u.windows(run_words, line_words)
             one, two = one.view(np.int64), two.view(np.int64)
             if bitmap is not None:
                 keep = in_bitmap(bitmap, one)
@@ -183,16 +187,17 @@ def ranges_to_remove(u: Units, text: int, spans: np.ndarray) -> list[tuple[int,
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, run_words: int | None = RUN_WORDS, line_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated units taken out of their texts, and `removed`, the ranges taken out."""
     tune(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rank = F.struct("doc_id", "span")
-    found = windows_of(plain).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    found = windows_of(plain, run_words, line_words).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
     several = written(found.where("first <> last").select("d1", "d2", "first"), "repeated-windows")
     n = several.count()
     apart = "doc_id <> first.doc_id OR shiftright(span, 32) >= shiftright(first.span, 32) + (first.span & 4294967295)"
-    later = windows_of(plain, bitmap_of(several, "d1", n)).join(several, ["d1", "d2"]).where(apart)
+    bitmap = bitmap_of(several, "d1", n) if n <= MAX_MEMBERS else None
+    later = windows_of(plain, run_words, line_words, bitmap).join(several, ["d1", "d2"]).where(apart)
     places = later.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("repeated"))
     columns = [c for c in docs.columns if c != "removed"]
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("removed", REMOVED)])
