@@ -6,6 +6,10 @@ is encoded once, its ids go back to every block that lists it, and the blocks pu
 together by position. What moves is a few bytes a word of a block, whatever its number of
 occurrences, so that a frequent word is no hot key.
 
+Decoding explodes the distinct ids of a pack of documents, joins them to the token-byte table, and puts the
+documents together by position. The table is broadcast up to MAX_TABLE bytes, so that neither ids nor tokens are
+shuffled; a larger one is joined by a shuffle of packs.
+
 A null text counts as an empty one and gives no ids. Rows with equal or null doc_id stay rows of
 their own. An empty table gives an empty result. Other columns are ignored.
 """
@@ -21,14 +25,17 @@ import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import cached, lean, texts_of, tune, written
 
 #: Bytes of text of a block at most, unless one text is longer.
 BLOCK_BYTES = 32 << 20
+#: Rows and bytes of a pack of decoding, about, and bytes of a token table that is broadcast at most.
+PACK_ROWS, PACK_BYTES, MAX_TABLE = 4096, 16 << 20, 16 << 20
 PACKS = "kind int, block long, bucket int, payload binary, doc_ids array<long>, counts array<long>"
 
 
@@ -230,7 +237,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # in proportion to the input, so that a bucket's words stay as many at any size
-    buckets = max(16, 2 * docs.rdd.getNumPartitions())
+    buckets = max(16, 2 * (1 + (docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0)))
     packs = written(docs.mapInArrow(lean(_explode(pattern, "doc_id", "text", buckets)), PACKS), "pretokens")
     words = packs.where("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     coded = words.mapInArrow(lean(_encode_buckets(ranks_path, pattern)), "kind int, block long, bucket int, payload binary")
@@ -239,16 +246,74 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return ordered.mapInArrow(lean(_assemble), "doc_id long, ids binary")
 
 
-def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds `decoded`, the bytes of the ids, looked up in the token-byte table: one entry a vocabulary token,
-    so its size is fixed by the tokenizer file, and each task joins it to its ids in memory."""
-    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())])
+def token_table(spark: SparkSession, ranks_path: str) -> tuple[DataFrame, int]:
+    """(id, token) of a vocabulary, and its size in bytes."""
+    ranks = read_ranks(ranks_path)
+    rows = pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())})
+    return spark.createDataFrame(rows), rows.nbytes
+
+
+def _packed(place: int, width: int, types: list):
+    """Rows of a pack: its distinct ids with kind 0, then its documents with kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = cached(("token bytes", ranks_path), lambda: {v: k for k, v in read_ranks(ranks_path).items()}).__getitem__
+        pack, names, held, rows, size = TaskContext.get().partitionId() << 32, ["pack", "kind", "id", *(f"c{k}" for k in range(width))], [], 0, 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            some = [np.frombuffer(x, "<u4") for part in held for x in part.column(place).to_pylist() if x]
+            ids = np.unique(np.concatenate(some)).astype(np.int32) if some else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), pack)), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), *(pa.nulls(len(ids), t) for t in types)], names=names)
+            for part in held:
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pack)), pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int32()), *part.columns], names=names)
+            held.clear()
+
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= PACK_ROWS or size >= PACK_BYTES:
+                yield from ended()
+                pack, rows, size = pack + 1, 0, 0
+        if held:
+            yield from ended()
+
+    return run
 
-    return coded.mapInArrow(lean(run), schema)
+
+def _unpacked(place: int, names: list[str]):
+    """Documents with their bytes, from the joined rows of packs in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, token = None, {}
+        for batch in batches:
+            packs, ids, tokens = (batch.column(k).to_pylist() for k in (0, 2, batch.num_columns - 1))
+            kinds, out = batch.column(1).to_numpy(), []
+            given = batch.column(3 + place).to_pylist()
+            for i in range(batch.num_rows):
+                if packs[i] != now:
+                    now, token = packs[i], {}
+                if not kinds[i]:
+                    token[ids[i]] = tokens[i]
+                else:  # an id that isn't in the vocabulary fails here
+                    out.append(None if given[i] is None else b"".join(map(token.__getitem__, np.frombuffer(given[i], "<u4").tolist())))
+            docs = batch.filter(pa.array(kinds == 1))
+            yield pa.RecordBatch.from_arrays([*docs.columns[3:-1], pa.array(out, pa.binary())], names=names)
+
+    return run
+
+
+def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
+    """Adds `decoded`, the bytes of the ids, by a join with the token-byte table."""
+    spark, columns = coded.sparkSession, [c for c in coded.columns if c != "decoded"]
+    tune(spark)
+    coded = coded.select(*columns)
+    place, fields = columns.index(ids_col), coded.schema.fields
+    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("id", T.IntegerType()), *(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields))])
+    packs = coded.toDF(*(f"c{k}" for k in range(len(columns)))).mapInArrow(lean(_packed(place, len(columns), [to_arrow_type(f.dataType) for f in fields])), schema)
+    table, size = token_table(spark, ranks_path)
+    if size <= MAX_TABLE:  # the rows of a task keep their order
+        joined = packs.join(F.broadcast(table), "id", "left")
+    else:
+        joined = packs.join(table, "id", "left").repartition("pack").sortWithinPartitions("pack", "kind")
+    joined = joined.select("pack", "kind", "id", *(f"c{k}" for k in range(len(columns))), "token")
+    return joined.mapInArrow(lean(_unpacked(place, [*columns, "decoded"])), T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))
