@@ -1,19 +1,22 @@
 """Benchmark decontamination by templates.
 
-Words become template tokens: numbers, units behind numbers, and names (capitalised words inside a sentence)
-turn into typed placeholders, all others into their lower-case form without punctuation at the ends. Windows of
-WINDOW tokens of documents and benchmark items are joined by hash. A window keeps the values of its
-placeholders, so that the matches of a document with an item can be checked for consistent slots: on one
-alignment, every value of the item has to stand for one value of the document. A re-parameterised question
-passes with other values, while text that only shares the template's frame does not.
-
-A document leaks an item when matches of one alignment cover LEAST_TOKENS of its tokens or LEAST_SHARE of
-them, and the slots are consistent. Items of fewer than WINDOW tokens are looked for as a whole; those of fewer
-than LEAST_ITEM tokens are not looked for. Windows with fewer than LEAST_WORDS words that aren't placeholders
-don't count.
-
-Documents' windows are screened by a bitmap of the benchmark's windows, whose size is capped; the join itself
-is exact, whatever the size of the benchmark. Null texts have no window; rows with a null doc_id or item_id
+Words become template tokens: numbers, units behind numbers (also those written against them), and names (runs of
+capitalised words inside a sentence) turn into typed placeholders, all others into their lower-case form without
+punctuation at the ends. Windows of WINDOW tokens of documents and benchmark items are joined by hash. A window
+keeps the values of its placeholders, so that the matches of a document with an item can be checked for consistent
+slots: on one alignment, every value of the item has to stand for one value of the document. A re-parameterised
+question passes with other values, while text that only shares the template's frame does not. Beside the templates,
+windows of the plain words in lower case are joined, so that copies in other case, and items of hardly anything
+but names and numbers, are found as well.
+
+A document leaks an item when matches of one alignment cover `least_tokens` of its tokens or `least_share` of
+them, and the slots of the widest such alignment are consistent. Items of fewer than WINDOW tokens are looked for as a whole; those of fewer
+than `least_item` tokens are not looked for, none with 1. Template windows with fewer than `least_words` words that
+aren't placeholders don't count.
+
+Documents' windows are screened by a bitmap of the benchmark's windows, or not at all where those are too many;
+the join itself is exact, whatever the size of the benchmark. Its windows are broadcast up to MAX_BROADCAST rows;
+beyond, frequent windows are dealt to several tasks. Null texts have no window; rows with a null doc_id or item_id
 are not reported; rows that repeat an id count as one. Empty tables give an empty result; other columns are
 ignored.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import bitmap_of, by_bytes, in_bitmap, lean, tune, written
+from .shared import MAX_MEMBERS, bitmap_of, by_bytes, in_bitmap, lean, spread_join, tune, written
 from .unit_dedup import capitalised, lowered
 
 WINDOW = 8
@@ -35,6 +38,10 @@ LEAST_SHARE = 0.5
 LEAST_ITEM = 5
 LEAST_WORDS = 3
 SLICE_BYTES = 1 << 20
+#: Windows of a benchmark that are broadcast at most.
+MAX_BROADCAST = 200_000
+#: The kinds of windows.
+TEMPLATE, PLAIN = 0, 1
 NUMBER, UNIT, NAME = (np.uint64(0x1000 + k) for k in range(3))
 
 #: Units of measure and currency that may follow a number.
@@ -49,6 +56,8 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[ord(c) for c in "!\"'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+DECIMAL = np.zeros(256, bool)
+DECIMAL[[ord(c) for c in ".,"]] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:"]] = True
 
@@ -70,41 +79,35 @@ def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return np.where(some, first, starts), np.where(some, last, ends)
 
 
+def with_units_apart(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, a unit that is written against a number as a word of its own."""
+    s, e = stripped(raw, starts, ends)
+    other = np.flatnonzero(~(DIGIT | DECIMAL)[raw])
+    cut = np.append(other, len(raw))[np.searchsorted(other, s)]
+    some = np.flatnonzero((cut > s) & (cut < e) & DIGIT[raw[s]])
+    some = some[np.isin(wordhash.hashes(lowered(raw), cut[some], e[some]), _hash_words(UNITS))]
+    return np.sort(np.concatenate((starts, cut[some]))), np.sort(np.concatenate((ends, cut[some])))
+
+
 class Tokens:
-    """Template tokens of a column of texts: `token` hashes, `value` hashes, `slot` flags, `first` token of each text."""
-
-    def __init__(self, column: pa.Array):
-        raw, self.at = wordhash.utf8(column)
-        self.starts, self.ends, self.first = wordhash.words(raw, self.at)
-        m = len(self.starts)
-        s, e = stripped(raw, self.starts, self.ends)
-        self.value = wordhash.hashes(lowered(raw), s, e)
-        if not m:
-            self.token, self.slot, self.chars = self.value, np.zeros(0, bool), np.zeros(1, np.int64)
-            return
-        digits, letters, breaks = (np.concatenate(([0], np.cumsum(x))) for x in (DIGIT[raw], LETTER[raw], raw == 10))
-        number = (digits[e] > digits[s]) & (letters[e] == letters[s])
-        opens = np.ones(m, bool)
-        opens[1:] = STOP[raw[self.ends[:-1] - 1]] | (breaks[self.starts[1:]] > breaks[self.ends[:-1]])
-        opens[self.first[:-1][self.first[:-1] < m]] = True
-        before = np.concatenate(([False], number[:-1])) & ~opens
-        unit = before & np.isin(self.value, _hash_words(UNITS))
-        name = capitalised(raw, s) & ~opens & ~number & ~unit
-        self.token = np.select([number, unit, name], [np.full(m, k, np.uint64) for k in (NUMBER, UNIT, NAME)], self.value)
-        self.slot = number | unit | name
-        self.chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-
-    def windows(self, n: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a column of texts: `token` hashes, `value` hashes, `slot` flags, first and last bytes, and the
+    `first` token of each text; of the kind TEMPLATE or PLAIN."""
+
+    def __init__(self, token, value, slot, starts, ends, first):
+        self.token, self.value, self.slot, self.starts, self.ends, self.first = token, value, slot, starts, ends, first
+
+    def windows(self, n: int, whole: bool, kind: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, text and first token of each window of n tokens; `whole`: only texts of just n tokens."""
         size = np.diff(self.first)
         count = np.where(size == n if whole else size >= n, size - n + 1, 0)
         begin = np.concatenate(([0], np.cumsum(count)))
         text = np.repeat(np.arange(len(size)), count)
         start = self.first[text] + np.arange(begin[-1]) - begin[text]
-        words = np.concatenate(([0], np.cumsum(~self.slot)))
-        good = words[start + n] - words[start] >= min(LEAST_WORDS, n)
-        text, start = text[good], start[good]
-        h = np.full(len(start), n, np.uint64)
+        if kind == TEMPLATE:
+            words = np.concatenate(([0], np.cumsum(~self.slot)))
+            good = words[start + n] - words[start] >= min(least_words, n)
+            text, start = text[good], start[good]
+        h = np.full(len(start), n + 1000 * kind, np.uint64)
         for k in range(n):
             h = wordhash.mix(h * np.uint64(3) + self.token[start + k])
         return h, text, start
@@ -114,52 +117,89 @@ class Tokens:
         return self.value.view(np.int64)[at].tolist()
 
 
-SCHEMA = "id long, h long, n int, pos int, size int, slots array<long>, begin long, end long"
-_ARROW = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.int64())), ("begin", pa.int64()), ("end", pa.int64())])
-
-
-def windows_of(texts: DataFrame, sizes: list[int], items: bool, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Windows with id, hash, place, the text's size in tokens, slot values and code point offsets.
+def tokens(column: pa.Array) -> tuple[dict[int, Tokens], np.ndarray, np.ndarray]:
+    """The template tokens and the plain words of a column of texts, where each text begins, and characters before each byte."""
+    raw, at = wordhash.utf8(column)
+    starts, ends, _ = wordhash.words(raw, at)
+    if len(starts):
+        starts, ends = with_units_apart(raw, starts, ends)
+    first, m = np.searchsorted(starts, at), len(starts)
+    s, e = stripped(raw, starts, ends)
+    value = wordhash.hashes(lowered(raw), s, e)
+    plain = Tokens(value, value, np.zeros(m, bool), starts, ends, first)
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    if not m:
+        return {TEMPLATE: plain, PLAIN: plain}, at, chars
+    digits, letters, breaks = (np.concatenate(([0], np.cumsum(x))) for x in (DIGIT[raw], LETTER[raw], raw == 10))
+    number = (digits[e] > digits[s]) & (letters[e] == letters[s])
+    opens = np.ones(m, bool)
+    opens[1:] = STOP[raw[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]])
+    opens[first[:-1][first[:-1] < m]] = True
+    before = np.concatenate(([False], number[:-1])) & ~opens
+    unit = before & np.isin(value, _hash_words(UNITS))
+    name = capitalised(raw, s) & ~opens & ~number & ~unit
+    goes_on = name & np.concatenate(([False], name[:-1]))
+    head = np.flatnonzero(~goes_on)
+    place = np.arange(m) - head[np.cumsum(~goes_on) - 1]
+    run = np.add.reduceat(wordhash.mix(value * np.uint64(3) + place.astype(np.uint64)), head)
+    token = np.select([number, unit, name], [np.full(m, k, np.uint64) for k in (NUMBER, UNIT, NAME)], value)[head]
+    template = Tokens(token, np.where(name[head], run, value[head]), (number | unit | name)[head], starts[head], ends[np.append(head[1:], m) - 1], np.searchsorted(head, first))
+    return {TEMPLATE: template, PLAIN: plain}, at, chars
+
+
+SCHEMA = "id long, kind int, h long, n int, pos int, size int, slots array<long>, begin long, end long"
+_ARROW = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.int64())), ("begin", pa.int64()), ("end", pa.int64())])
+
+
+def windows_of(texts: DataFrame, sizes: list[tuple[int, int]], items: bool, least_words: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """Windows of each (kind, number of tokens) with id, hash, place, the text's size in tokens, slot values and code
+    point offsets.
 
     `items`: windows of sizes below WINDOW only for texts of just that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
-            t = Tokens(batch.column(1))
+            both, at, chars = tokens(batch.column(1))
             ids, rows = batch.column(0).to_pylist(), []
-            for n in sizes:
-                h, text, start = t.windows(n, items and n < WINDOW)
+            for kind, n in sizes:
+                t = both[kind]
+                h, text, start = t.windows(n, items and n < WINDOW, kind, least_words)
                 if bitmap is not None:
                     keep = in_bitmap(bitmap, h)
                     h, text, start = h[keep], text[keep], start[keep]
                 for x, i, s in zip(h.view(np.int64).tolist(), text.tolist(), start.tolist(), strict=True):
-                    origin = int(t.chars[t.at[i]])
-                    rows.append((ids[i], x, n, s - int(t.first[i]), int(t.first[i + 1] - t.first[i]), t.slots(s, n), int(t.chars[t.starts[s]]) - origin, int(t.chars[t.ends[s + n - 1]]) - origin))
+                    origin = int(chars[at[i]])
+                    rows.append((ids[i], kind, x, n, s - int(t.first[i]), int(t.first[i + 1] - t.first[i]), t.slots(s, n), int(chars[t.starts[s]]) - origin, int(chars[t.ends[s + n - 1]]) - origin))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
 
     return texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text").mapInArrow(lean(run), SCHEMA)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least_tokens: int = LEAST_TOKENS, least_share: float = LEAST_SHARE, least_item: int = LEAST_ITEM, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, start, end, n_tokens, item_tokens, exact): the widest alignment of each document and
     item that leaks; offsets are code points of the document."""
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text"))
-    items = written(windows_of(items, list(range(LEAST_ITEM, WINDOW + 1)), True), "benchmark-windows")
+    every = [(kind, n) for kind in (TEMPLATE, PLAIN) for n in range(min(least_item, WINDOW), WINDOW + 1)]
+    items = written(windows_of(items, every, True, least_words), "benchmark-windows")
     n = items.count()
-    sizes = [r.n for r in items.select("n").distinct().collect()] if n else [WINDOW]  # four values at most
-    hits = windows_of(docs, sorted(sizes), False, bitmap_of(items, "h", n))
-    item = items.select("h", "n", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("size").alias("item_tokens"), F.col("slots").alias("item_slots"))
-    both = hits.join(item.distinct(), ["h", "n"])
-    lined = both.groupBy(F.col("id").alias("doc_id"), "item_id", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    sizes = sorted((r.kind, r.n) for r in items.select("kind", "n").distinct().collect())  # two for each size at most
+    hits = windows_of(docs, sizes, False, least_words, bitmap_of(items, "h", n) if n <= MAX_MEMBERS else None)
+    item = items.select("kind", "h", "n", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("size").alias("item_tokens"), F.col("slots").alias("item_slots")).distinct()
+    if n <= MAX_BROADCAST:
+        both = hits.join(F.broadcast(item), ["kind", "h", "n"])
+    else:
+        hits = written(hits, "benchmark-hits")
+        both = spread_join(hits, item, ["kind", "h", "n"], hits.count(), ["id", "pos"])
+    lined = both.groupBy(F.col("id").alias("doc_id"), "item_id", "kind", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("shift"))
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("n") - 1))))
     values = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
     lined = lined.agg(F.size(covered).alias("n_tokens"), values.alias("values"), F.min("begin").alias("start"), F.max("end").alias("end"))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda x: x["item_slots"])))
-    enough = (F.col("n_tokens") >= LEAST_TOKENS) | (F.col("n_tokens") >= LEAST_SHARE * F.col("item_tokens"))
+    enough = (F.col("n_tokens") >= least_tokens) | (F.col("n_tokens") >= least_share * F.col("item_tokens"))
     exact = ~F.exists("values", lambda x: x["item_slots"] != x["slots"])
-    kept = lined.where(consistent & enough).withColumn("exact", exact)
-    best = F.struct("n_tokens", "exact", (-F.col("start")).alias("s"), "end", "item_tokens")
-    out = kept.groupBy("doc_id", "item_id").agg(F.max(best).alias("x"))
+    kept = lined.where(enough).withColumns({"consistent": consistent, "exact": exact})
+    best = F.struct("n_tokens", "consistent", "exact", (-F.col("start")).alias("s"), "end", "item_tokens")
+    out = kept.groupBy("doc_id", "item_id").agg(F.max(best).alias("x")).where("x.consistent")
     return out.select("doc_id", "item_id", (-F.col("x.s")).alias("start"), "x.end", "x.n_tokens", "x.item_tokens", "x.exact")
