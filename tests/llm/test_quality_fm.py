@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tickforge.llm import queries, quality_fm
 from texts import prose
 
@@ -53,5 +54,17 @@ def test_odd_inputs(spark):
         got = quality_fm.classify(docs, model).collect()
         assert len(got) == 3 and all(0 <= r.score <= 1 for r in got) and got[0].quality in ("x", None)
         assert quality_fm.classify(docs.where("doc_id > 9"), model).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("__text", "__chars", "c0", "y", "label_id", "x")})
+    assert quality_fm.classify(clash, model).columns == [*(c for c in clash.columns if c != "score"), "score"]
+    assert quality_fm.classify(clash, quality_fm.fit(clash, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))).count() == 3
     j, x, begin, stats = quality_fm.features(pa.array(["", None, "w " * 200_000]), pa.array([0.0, None, 4e5]))
     assert begin.tolist() == [0, 0, 0, 1] and np.isfinite(stats).all()
+
+
+def test_a_repeated_document_is_one_row_of_the_fit(spark, monkeypatch):
+    docs, labels = rows(60)
+    many = spark.createDataFrame([(d, t, n) for d, t, _, _, n in docs] + [(0, f"copy {k}", 6) for k in range(500)], "doc_id long, text string, n_chars long").repartition(4)
+    seen = []
+    monkeypatch.setattr(quality_fm, "train", lambda given, stats, y: seen.append(len(y)))
+    quality_fm.fit(many, spark.createDataFrame([(d, q) for d, q, _ in labels] + [(0, 1), (0, 0)], "doc_id long, quality int"))
+    assert seen[0] <= 60

@@ -4,12 +4,12 @@
 
 so pairwise interactions of all features cost a sum over the features. Words are lower-cased in A-Z, hashed to
 2^BUCKET_BITS buckets, counted and scaled to unit length; statistics are standardised by the training rows.
-The model is fitted by Adam on at most `max_train` labelled rows, chosen by a hash of doc_id; its size is fixed
-by BUCKET_BITS and FACTORS, whatever the corpus.
+The model is fitted by Adam, with updates of the features of a batch only, on at most `max_train` labelled
+documents, chosen by a hash of doc_id, one text each; its size is fixed by BUCKET_BITS and FACTORS, whatever the corpus.
 
 Null or empty texts are scored from their statistics. A null n_chars counts as missing. Labels that are null
-are left out; without labels of both kinds the score is their mean, or 0.5. Rows that repeat a doc_id are rows
-of their own; an empty table gives an empty result. Other columns are kept by `classify`; one named `score`
+are left out, several of a document count as their mean; without labels of both kinds the score is their mean, or
+0.5. Of rows that repeat a doc_id, the fit takes the text with the lowest hash; scores are for each row. An empty table gives an empty result. Other columns are kept by `classify`; one named `score`
 is replaced.
 """
 
@@ -113,6 +113,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.nd
     z_all = model.standard(stats)
     both = np.concatenate([model.weights[:, None], model.factors], axis=1)
     first, second, bias_m, bias_v, step = np.zeros_like(both), np.zeros_like(both), 0.0, 0.0, 0
+    fixed = np.arange(BUCKETS, width)
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for i in range(0, len(y), BATCH):
@@ -126,14 +127,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.nd
             error = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[pick]) / len(pick)
             owner = np.repeat(np.arange(len(pick)), np.diff(begin))
             ex = error[owner] * x
-            grad = DECAY * both
-            np.add.at(grad[:, 0], j, ex)
-            np.add.at(grad[:, 1:], j, ex[:, None] * sums[owner] - (ex * x)[:, None] * model.factors[j])
-            grad[BUCKETS:, 0] += error @ z
-            grad[BUCKETS:, 1:] += (error[:, None] * z).T @ sums - ((error[:, None] * z * z).sum(axis=0))[:, None] * model.factors[BUCKETS:]
-            first = 0.9 * first + 0.1 * grad
-            second = 0.99 * second + 0.01 * grad * grad
-            both = both - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            used, place = np.unique(j, return_inverse=True)
+            own = ex[:, None] * sums[owner] - (ex * x)[:, None] * model.factors[j]
+            words = [np.bincount(place, v, len(used)) for v in (ex, *own.T)]
+            stats_v = (error[:, None] * z).T @ sums - ((error[:, None] * z * z).sum(axis=0))[:, None] * model.factors[BUCKETS:]
+            at = np.concatenate((used, fixed))
+            grad = DECAY * both[at] + np.concatenate((np.stack(words, axis=1), np.concatenate(((error @ z)[:, None], stats_v), axis=1)))
+            first[at] = 0.9 * first[at] + 0.1 * grad
+            second[at] = 0.99 * second[at] + 0.01 * grad * grad
+            both[at] -= RATE * (first[at] / (1 - 0.9**step)) / (np.sqrt(second[at] / (1 - 0.99**step)) + 1e-6)
             g = float(error.sum())
             bias_m, bias_v = 0.9 * bias_m + 0.1 * g, 0.99 * bias_v + 0.01 * g * g
             model.bias -= RATE * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_v / (1 - 0.99**step)) + 1e-6)
@@ -150,9 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machi
     """A model from at most `max_train` labelled rows that aren't held out; only their features reach the driver."""
     tune(docs.sparkSession)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    chosen = known.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_train)
-    sample = _plain(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "n_chars", "y")
+    chosen = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train)
+    sample = _plain(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    # one text of each label, so that an id that many rows repeat stays one row
+    sample = sample.groupBy("label_id", "y").agg(F.min_by(F.struct("text", "n_chars"), F.xxhash64("text", "n_chars")).alias("x")).select("x.text", "x.n_chars", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
@@ -176,13 +180,12 @@ def classify(docs: DataFrame, model: Machine) -> DataFrame:
     """The documents with `score`, the probability of label 1."""
     tune(docs.sparkSession)
     columns = [c for c in docs.columns if c != "score"]
-    text, chars = "__text", "__chars"
     n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    given = docs.select(*columns, F.col("text").alias(text), n_chars.alias(chars))
+    given = docs.select(*columns, F.col("text"), n_chars).toDF(*(f"c{k}" for k in range(len(columns))), "text", "n_chars")
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text, SLICE_BYTES):
+        for batch in by_bytes(batches, "text", SLICE_BYTES):
             score = model.scores(batch.column(len(columns)), batch.column(len(columns) + 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(score)], names=[*columns, "score"])
 
