@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_words, host_paths, merkle_audit, odd_sketch, quality_fm, repair_store, robust_outliers, template_leaks, token_counts, unit_dedup
-from .shared import table
+from . import bpe_words, host_paths, merkle_audit, odd_sketch, quality_fm, repair_store, robust_outliers, template_leaks, token_counts, unit_dedup, warc
+from .shared import table, work_dir
 
 
 def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,38 +56,52 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id, doc_id =
 
 
 def damaged(key: Column, record: Column) -> Column:
-    """A replica's record: of 101 keys one has another byte, one lacks its end, and one record is gone (null)."""
-    flipped = F.concat(F.substring(record, 1, 20), F.lit("#"), F.expr("substring(record, 22)"))
-    short = F.expr("substring(record, 1, length(record) - 9)")
+    """A replica's record: of 101 keys one has another byte, one lacks nine bytes of its body, and one record is gone (null)."""
+    flipped = F.concat(F.substring(record, 1, 20), F.lit("#"), record.substr(F.lit(22), F.length(record)))
+    short = F.concat(record.substr(F.lit(1), F.length(record) - 13), F.lit("\r\n\r\n"))
     rest = F.pmod(key, F.lit(101))
     return F.when(rest == 7, flipped).when(rest == 42, short).when(rest != 77, record)
 
 
+DATE = "2024-01-01T00:00:00Z"
+
+
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixity of every record against a replica with planted damage, and its place in the record file."""
-    pages = table(spark, sf_dir, "pages")
-    records = pages.select(F.col("page_id").alias("key"), merkle_audit.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    replica = records.withColumn("record", damaged(F.col("key"), F.col("record"))).where("record IS NOT NULL")
-    good, other = merkle_audit.Tree(records), merkle_audit.Tree(replica)
-    found = merkle_audit.audit(good, other)
-    out = merkle_audit.offsets(good).join(found, "key", "left")
-    return out.select(F.col("key").alias("page_id"), "start", "length", F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+    """Fixity of every record of WARC files against the files of a damaged replica: its place in key order, what was
+    found, and whether the descent came down to it."""
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
+    record_id = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))
+    record, files = warc.response(record_id, F.col("url"), F.col("html"), DATE), [work_dir(spark, x) for x in ("warc", "warc-replica")]
+    warc.write(record, pages, files[0])
+    warc.write(damaged(F.col("page_id"), record), pages, files[1])
+    key = F.regexp_extract("record_id", "^urn:page:(-?[0-9]+)$", 1).cast("long").alias("key")
+    good, other = (merkle_audit.Tree(warc.read(spark, x).select(key, "digest", "size"), digest=F.col("digest"), size=F.col("size")) for x in files)
+    segments, _ = merkle_audit.descend(good, other)
+    out = merkle_audit.offsets(good).withColumn("node", F.floor(F.col("key") / merkle_audit.SEGMENT))
+    out = out.join(merkle_audit.findings(good, other, segments), "key", "left").join(segments.withColumn("compared", F.lit(True)), "node", "left")
+    return out.select(F.col("key").alias("page_id"), "start", F.col("size").alias("length"), F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce("compared", F.lit(False)).alias("compared"))
 
 
 OP8_SQL = """
-WITH r AS (
+WITH h AS (
+  SELECT page_id, url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS http
+  FROM pages WHERE page_id IS NOT NULL),
+r AS (
   SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
-    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages WHERE page_id IS NOT NULL)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: DATE' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, 'urn:page:' || page_id) || chr(13) || chr(10)
+    || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(http) || chr(13) || chr(10) || chr(13) || chr(10)
+    || http || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+    CASE page_id % 101 WHEN 7 THEN 'corrupt' WHEN 42 THEN 'corrupt' WHEN 77 THEN 'missing' ELSE 'ok' END AS status
+  FROM h)
 SELECT page_id,
   CAST(sum(strlen(record)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS start,
-  CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
-  CASE page_id % 101 WHEN 7 THEN 'corrupt' WHEN 42 THEN 'corrupt' WHEN 77 THEN 'missing' ELSE 'ok' END AS status
+  CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, status,
+  bool_or(status <> 'ok') OVER (PARTITION BY page_id // 256) AS compared
 FROM r
-"""
+""".replace("DATE'", f"{DATE}'")
 
 
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
