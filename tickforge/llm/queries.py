@@ -67,15 +67,15 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixity of every record of WARC files against the files of a damaged replica: its place in key order, what was
-    found, and whether the descent came down to it."""
+    """Fixity of every record against the WARC files of a damaged replica: its place in key order, what was found, and
+    whether the descent came down to it."""
     pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
     record_id = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))
-    record, files = warc.response(record_id, F.col("url"), F.col("html"), DATE), [work_dir(spark, x) for x in ("warc", "warc-replica")]
-    warc.write(record, pages, files[0])
-    warc.write(damaged(F.col("page_id"), record), pages, files[1])
+    record, files = warc.response(record_id, F.col("url"), F.col("html"), DATE), work_dir(spark, "warc-replica")
+    warc.write(damaged(F.col("page_id"), record), pages, files)
+    good = merkle_audit.Tree(pages.select(F.col("page_id").alias("key"), record.alias("record")))
     key = F.regexp_extract("record_id", "^urn:page:(-?[0-9]+)$", 1).cast("long").alias("key")
-    good, other = (merkle_audit.Tree(warc.read(spark, x).select(key, "digest", "size"), digest=F.col("digest"), size=F.col("size")) for x in files)
+    other = merkle_audit.Tree(warc.read(spark, files).select(key, "digest", "size"), digest=F.col("digest"), size=F.col("size"))
     segments, _ = merkle_audit.descend(good, other)
     out = merkle_audit.offsets(good).withColumn("node", F.floor(F.col("key") / merkle_audit.SEGMENT))
     out = out.join(merkle_audit.findings(good, other, segments), "key", "left").join(segments.withColumn("compared", F.lit(True)), "node", "left")
