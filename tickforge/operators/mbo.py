@@ -1,7 +1,8 @@
 """Features over windows of the last messages, and the life of orders.
 
 Windows count messages. Counts and sums come from differences of running sums; order statistics, which need
-the window itself, are meant for sampled rows. Rates divide by the time since the day's first message
+the window itself, are given for sampled rows only. All operators add columns in one partitioning by `keys`, without
+joins; the windows of samples are cut out of blocks of messages. Rates divide by the time since the day's first message
 (`span=False`), or by the time that the window spans.
 """
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickforge.contract import DIVISION_GUARD, NANO, TICK
 from tickforge.functions import books
-from tickforge.functions.frames import DAY, last_rows, moving_count, ordered, running
+from tickforge.functions.frames import DAY, among, carried, gathered, last_rows, moving_count, moving_sums, ordered, running
 
 
 def system_filter(messages: DataFrame) -> DataFrame:
@@ -51,35 +52,24 @@ def flow_features(messages: DataFrame, medium: int = 1000, fast: int = 100, slow
     return m.drop(*(x for x in m.columns if x.startswith("__")))
 
 
-def windows(messages: DataFrame, window: int, at: Column | None = None, keys: tuple[str, ...] = DAY) -> DataFrame:
-    """Adds `window`, the (size, side, action) of the last messages; of the rows where `at` holds, if given.
-
-    A frame gathers its rows anew for every message. Where only sampled rows are wanted, messages are gathered
-    once, in blocks as long as the window, and a sample cuts its window out of its block and the one before."""
-    member = F.struct("size", "side", "action")
-    if at is None:
-        return messages.withColumn("window", F.collect_list(member).over(last_rows(window, keys=keys)))
-    by = [*keys, "__block"]
-    rows = messages.withColumn("__row", (F.row_number().over(ordered(keys=keys)) - 1).cast("long")).withColumn("__block", F.floor(F.col("__row") / window))
-    blocks = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__row", member.alias("m")))).alias("__m")).withColumn("__m", F.col("__m.m"))
-    before = F.coalesce(F.lag("__m").over(Window.partitionBy(*keys).orderBy("__block")), F.slice("__m", 1, 0))
-    blocks = blocks.withColumn("__b", before)
-    picked = rows.where(at).join(blocks, by)
-    upto = (F.col("__row") % window + 1).cast("int")
-    own = F.slice("__m", F.lit(1), upto)
-    rest = F.greatest(F.least(F.size("__b"), F.lit(window) - upto), F.lit(0))
-    old = F.slice("__b", F.size("__b") - rest + 1, rest)
-    return picked.withColumn("window", F.concat(F.when(rest > 0, old).otherwise(F.slice("__m", 1, 0)), own)).drop("__row", "__block", "__m", "__b")
+def windows(messages: DataFrame, window: int, at: Column, keys: tuple[str, ...] = DAY, drop: set[str] | frozenset = frozenset()) -> DataFrame:
+    """The rows where `at` holds, without the columns `drop`, with `window`, the (size, side, action) of the last
+    messages up to each."""
+    return gathered(messages, at, F.struct("size", "side", "action"), F.row_number().over(ordered(keys=keys)), window, "window", keys, drop)
 
 
 def _total(values: Column, of) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
 
 
-def size_features(messages: DataFrame, window: int = 1000, span: bool = False, at: Column | None = None, keys: tuple[str, ...] = DAY) -> DataFrame:
-    """Adds percentiles (sorted sizes at the floor index), moments, concentration and large orders of the window;
-    only rows where `at` holds, if given."""
-    m = windows(messages.withColumn("duration", duration(window, span, keys)), window, at, keys)
+def size_features(messages: DataFrame, window: int, at: Column, span: bool = False, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """The rows where `at` holds with percentiles (sorted sizes at the floor index), moments, concentration and large
+    orders of the window."""
+    return size_columns(windows(messages.withColumn("duration", duration(window, span, keys)), window, at, keys)).drop("window")
+
+
+def size_columns(m: DataFrame) -> DataFrame:
+    """Adds the size features to rows with `window` and `duration`."""
     n, size, z = F.col("__n"), F.col("size"), F.col("window")
     m = m.withColumns({"__s": F.array_sort(F.col("window.size")), "__n": F.size("window")})
     at_ = lambda num, den: F.element_at("__s", (F.floor(n * num / den) + 1).cast("int"))
@@ -97,14 +87,19 @@ def size_features(messages: DataFrame, window: int = 1000, span: bool = False, a
         "large_order_frequency": F.size("__large") / F.col("duration"),
         "large_order_imbalance": (volume("B") - volume("A")) / (volume("B") + volume("A") + DIVISION_GUARD),
     })
-    return m.drop("window", "__s", "__n", "__mean", "__std", "__large")
+    return m.drop("__s", "__n", "__mean", "__std", "__large")
 
 
-def flow_volatility(messages: DataFrame, window: int = 1000, chunks: int = 10, least: int = 50, at: Column | None = None, keys: tuple[str, ...] = DAY) -> DataFrame:
-    """Adds order_flow_volatility: deviation of the adds' imbalance over ten parts of the window, the last with
-    what remains; 0 for fewer than `least` messages."""
+def flow_volatility(messages: DataFrame, window: int, at: Column, chunks: int = 10, least: int = 50, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """The rows where `at` holds with order_flow_volatility: deviation of the adds' imbalance over ten parts of the
+    window, the last with what remains; 0 for fewer than `least` messages."""
+    return flow_volatility_column(windows(messages, window, at, keys), chunks, least).drop("window")
+
+
+def flow_volatility_column(m: DataFrame, chunks: int = 10, least: int = 50) -> DataFrame:
+    """Adds order_flow_volatility to rows with `window`."""
     sign = lambda x: F.when(x["action"] == "A", F.when(x["side"] == "B", 1).when(x["side"] == "A", -1).otherwise(0)).otherwise(0)
-    m = windows(messages, window, at, keys).withColumn("__g", F.transform("window", sign)).withColumn("__n", F.size("__g"))
+    m = m.withColumn("__g", F.transform("window", sign)).withColumn("__n", F.size("__g"))
     step = F.floor(F.col("__n") / chunks).cast("int")
     parts = []
     for k in range(chunks):
@@ -114,7 +109,7 @@ def flow_volatility(messages: DataFrame, window: int = 1000, chunks: int = 10, l
     m = m.withColumn("__x", F.when(F.col("__n") >= least, F.array(*parts)))
     m = m.withColumn("__mean", _total(F.col("__x"), lambda v: v) / chunks)
     var = _total(F.col("__x"), lambda v: (v - F.col("__mean")) * (v - F.col("__mean"))) / chunks
-    return m.withColumn("order_flow_volatility", F.when(F.col("__x").isNull(), 0.0).otherwise(F.sqrt(var))).drop("window", "__g", "__n", "__x", "__mean")
+    return m.withColumn("order_flow_volatility", F.when(F.col("__x").isNull(), 0.0).otherwise(F.sqrt(var))).drop("__g", "__n", "__x", "__mean")
 
 
 def _whole_ticks(best: Column, tick: int):
@@ -172,8 +167,29 @@ def lifecycles(messages: DataFrame, keys: tuple[str, ...] = DAY) -> DataFrame:
 def order_features(messages: DataFrame, kept: int = 1000, keys: tuple[str, ...] = DAY) -> DataFrame:
     """Adds active_order_count, avg_order_age, avg_time_to_first_fill, and the means over the last `kept`
     orders that ended: modification_score, avg_fill_ratio, median_order_lifetime, iceberg_proxy."""
-    start = F.first("ts_ns").over(ordered(keys=keys))
-    m = lifecycles(messages, keys).withColumn("__day", start)
+    m = order_columns(lifecycles(messages, keys), kept, keys)
+    lives = F.array_sort(F.collect_list("lifetime").over(among("ended", kept, keys)))
+    m = m.withColumn("__l", carried(F.when(F.col("ends"), middle(lives)), keys=keys))
+    return m.withColumn("median_order_lifetime", F.coalesce("__l", F.lit(0.0))).drop("__l", "ended", "lifetime")
+
+
+def median_lifetimes(m: DataFrame, at: Column, kept: int = 1000, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """(keys, seq, median_order_lifetime) of the rows of `order_columns` where `at` holds."""
+    rows = m.select(*keys, "seq", "ended", "lifetime", at.alias("__at"))
+    found = gathered(rows, F.col("__at"), F.col("lifetime"), F.col("ended"), kept, "__l", keys)
+    return found.select(*keys, "seq", F.coalesce(middle(F.array_sort("__l")), F.lit(0.0)).alias("median_order_lifetime"))
+
+
+def middle(values: Column) -> Column:
+    """The median of a sorted array; null if it is empty."""
+    n = F.size(values)
+    return F.when(n > 0, (F.element_at(values, (F.floor((n - 1) / 2) + 1).cast("int")) + F.element_at(values, (F.floor(n / 2) + 1).cast("int"))) / 2)
+
+
+def order_columns(m: DataFrame, kept: int = 1000, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """Adds the order features but the median to the rows of `lifecycles`, with `ended`, the number of orders that ended
+    so far, and `lifetime`, in seconds, of those that end here."""
+    m = m.withColumn("__day", F.first("ts_ns").over(ordered(keys=keys)))
     since = lambda c: F.col(c) - F.col("__day")
     lives, begins, ends = F.col("life").isNotNull(), F.col("begins"), F.col("ends")
     new = (begins & F.col("replaced").isNull()).cast("int")
@@ -186,14 +202,11 @@ def order_features(messages: DataFrame, kept: int = 1000, keys: tuple[str, ...]
         "__fn": filled_now.cast("int") - gone.cast("int") - F.col("replaced_ttf").isNotNull().cast("int"),
         "__ft": F.when(filled_now, ttf).otherwise(0) - F.when(gone, ttf).otherwise(0) - F.coalesce("replaced_ttf", F.lit(0)),
     })
-    m = m.withColumns({"active_order_count": running(F.col("__n"), keys=keys), "__cs": running(F.col("__c"), keys=keys), "__fns": running(F.col("__fn"), keys=keys), "__fts": running(F.col("__ft"), keys=keys)})
+    m = m.withColumns({"active_order_count": running(F.col("__n"), keys=keys), "__cs": running(F.col("__c"), keys=keys), "__fns": running(F.col("__fn"), keys=keys), "__fts": running(F.col("__ft"), keys=keys), "ended": running(ends.cast("int"), keys=keys)})
     n = F.col("active_order_count")
     m = m.withColumns({"avg_order_age": books.ratio(n * since("ts_ns") - F.col("__cs"), n) / 1e9, "avg_time_to_first_fill": books.ratio(F.col("__fts"), F.col("__fns")) / 1e9})
-    done = m.where("ends").select(*keys, "seq", F.col("mods").alias("__mods"), (F.col("filled") / F.col("original")).alias("__fill"), ((F.col("ts_ns") - F.col("created")) / 1e9).alias("__life"))
-    w = last_rows(kept, keys=keys)
-    done = done.select(*keys, "seq", F.avg("__mods").over(w).alias("__ms"), F.avg("__fill").over(w).alias("__fr"), F.percentile("__life", 0.5).over(w).alias("__ml"))
-    m = m.join(done, [*keys, "seq"], "left")
-    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(ordered(keys=keys).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    m = m.withColumns({"modification_score": last("__ms"), "avg_fill_ratio": last("__fr"), "median_order_lifetime": last("__ml")})
+    m = moving_sums(m, {"__mods": F.when(ends, F.col("mods")), "__fill": F.when(ends, F.col("filled") / F.col("original"))}, "ended", kept, "seq", keys)
+    done = F.least(F.col("ended"), F.lit(kept))
+    m = m.withColumns({"modification_score": books.ratio(F.col("__mods"), done), "avg_fill_ratio": books.ratio(F.greatest(F.col("__fill"), F.lit(0.0)), done), "lifetime": F.when(ends, (F.col("ts_ns") - F.col("created")) / 1e9)})
     m = m.withColumn("iceberg_proxy", F.when(n > 0, F.col("avg_fill_ratio") * F.least(F.col("modification_score") / 10, F.lit(1.0))).otherwise(0.0))
     return m.drop(*(c for c in m.columns if c.startswith("__")))

@@ -60,7 +60,7 @@ def window_weights(samples: DataFrame, window: int, stride: int, order: str = "s
 
 
 #: strategy: which columns share one mean and deviation, given (kind, level) of raw columns.
-def _pool(strategy: str, name: str, side: str, kind: str, level: str) -> str:
+def pool_of(strategy: str, name: str, side: str, kind: str, level: str) -> str:
     if strategy == "global":
         return kind
     if strategy == "market":
@@ -73,19 +73,20 @@ def statistics(weighted: DataFrame, columns: list[str], strategy: str = "z", key
 
     z: each column; market: ask and bid of a level and kind pooled; global: all prices, and all sizes, pooled."""
     w = F.col("weight")
-    sums = weighted.groupBy(*keys).agg(F.sum("weight").alias("__w"), *(F.sum(w * F.col(c)).alias(f"__s_{c}") for c in columns), *(F.sum(w * F.col(c) * F.col(c)).alias(f"__q_{c}") for c in columns))
     pools: dict[str, list[str]] = {}
     for c in columns:
         side, kind, level = c.split("_") if c.count("_") == 2 and c[:3] in ("ask", "bid") else ("", c, "")
-        pools.setdefault(_pool(strategy, c, side, kind, level) if level else c, []).append(c)
+        pools.setdefault(pool_of(strategy, c, side, kind, level) if level else c, []).append(c)
+    of = lambda x: [(sum((F.sum(w * x(k, c)) for c in ms), F.lit(0.0)) / (F.sum(w) * len(ms))).alias(f"__{k}") for k, ms in enumerate(pools.values())]
+    means = weighted.groupBy(*keys).agg(*of(lambda _, c: F.col(c))).withColumnsRenamed({f"__{k}": f"__m{k}" for k in range(len(pools))})
+    # the second moments about the means: prices vary by far less than they are
+    away = lambda k, c: (F.col(c) - F.col(f"__m{k}")) * (F.col(c) - F.col(f"__m{k}"))
+    both = weighted.join(means, [*keys]).groupBy(*keys).agg(*of(away), *(F.first(f"__m{k}").alias(f"__m{k}") for k in range(len(pools))))
     out = {}
-    for members in pools.values():
-        n = F.col("__w") * len(members)
-        mean = sum((F.col(f"__s_{c}") for c in members), F.lit(0.0)) / n
-        var = sum((F.col(f"__q_{c}") for c in members), F.lit(0.0)) / n - mean * mean
-        for c in members:
-            out[f"mean_{c}"], out[f"std_{c}"] = mean, F.when(var <= 1e-8, 1.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
-    return sums.select(*keys, *(x.alias(n) for n, x in out.items()))
+    for k, ms in enumerate(pools.values()):
+        for c in ms:
+            out[f"mean_{c}"], out[f"std_{c}"] = F.col(f"__m{k}"), F.when(F.col(f"__{k}") <= 1e-8, 1.0).otherwise(F.sqrt(f"__{k}"))
+    return both.select(*keys, *(x.alias(n) for n, x in out.items()))
 
 
 def apply(samples: DataFrame, stats: DataFrame, columns: list[str], keys: tuple[str, ...] = DAY) -> DataFrame:

@@ -1,20 +1,23 @@
 """Queries over the driver's tables, one for each operator, each with the SQL that states the same result.
 
-An entry has the result's key, whole-number and double columns; both sides round doubles to six places, moved by
-NUDGE so that exact ties round alike. Windows are sized for a few hundred events a day.
+An entry has the result's key, whole-number and double columns; both sides round doubles alike, smaller ones to more
+places, so that each keeps its leading digits: to six places from 0.1, to nine from 0.0001, to twelve below. A part of
+HALF over a half moves exact ties. Windows are sized for a few hundred events a day.
 """
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.sources import bridge
 
 FAST, MEDIUM, SLOW = 20, 100, 300
 EVERY, WINDOW, STRIDE = 10, 20, 5
-NUDGE = 3e-10
+HALF = 0.5003
+#: (least absolute value, scale)
+PLACES = ((0.1, 1e6), (1e-4, 1e9), (0.0, 1e12))
 
 E = """e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, user_id, event_type, value FROM events)"""
 MBO = E + """, mbo AS (SELECT day, seq, ts_ns,
@@ -39,6 +42,22 @@ MIDS = E + """, mids AS (SELECT day, seq, row_number() OVER (PARTITION BY day OR
   (100000000000 + CAST(round(value * 100) AS BIGINT) * 1000000) / 1e9 AS p FROM e)"""
 
 
+def rounded(c: Column, fine: bool = True) -> Column:
+    at = lambda scale: F.floor(c * scale + HALF) / scale
+    first, second, last = PLACES
+    if not fine:
+        return at(first[1])
+    return F.when(F.abs(c) >= first[0], at(first[1])).when(F.abs(c) >= second[0], at(second[1])).otherwise(at(last[1]))
+
+
+def rounded_sql(c: str, fine: bool = True) -> str:
+    at = lambda scale: f"floor({c} * {scale:.0e} + {HALF}) / {scale:.0e}"
+    first, second, last = PLACES
+    if not fine:
+        return at(first[1])
+    return f"CASE WHEN abs({c}) >= {first[0]:e} THEN {at(first[1])} WHEN abs({c}) >= {second[0]:e} THEN {at(second[1])} ELSE {at(last[1])} END"
+
+
 @dataclass
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
@@ -46,11 +65,12 @@ class Query:
     keys: list[str]
     longs: list[str]
     doubles: list[str]
+    fine: bool = True  # False: six places for all, where values are of order one and come out of differences
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = self.run(spark, sf_dir)
-        rounded = lambda c: F.when(F.round(c + NUDGE, 6) == 0, 0.0).otherwise(F.round(c + NUDGE, 6))
-        return out.select(*(F.col(k).cast("string").alias(k) for k in self.keys), *(F.col(c).cast("long").alias(c) for c in self.longs), *(rounded(F.col(c).cast("double")).alias(c) for c in self.doubles))
+        out = out.select(*self.keys, *self.longs, *(F.col(c).cast("double").alias(c) for c in self.doubles))
+        return out.select(*(F.col(k).cast("string").alias(k) for k in self.keys), *(F.col(c).cast("long").alias(c) for c in self.longs), *(rounded(F.col(c), self.fine).alias(c) for c in self.doubles))
 
     @property
     def oracle(self) -> str | None:
@@ -58,7 +78,7 @@ class Query:
             return None
         with_, _, body = self.sql.rpartition("\n---\n")
         cols = [f"CAST({k} AS VARCHAR) AS {k}" for k in self.keys] + [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in self.longs]
-        cols += [f"CASE WHEN round(CAST({c} AS DOUBLE) + {NUDGE}, 6) = 0 THEN 0e0 ELSE round(CAST({c} AS DOUBLE) + {NUDGE}, 6) END AS {c}" for c in self.doubles]
+        cols += [f"{rounded_sql(f'CAST({c} AS DOUBLE)', self.fine)} AS {c}" for c in self.doubles]
         return f"WITH RECURSIVE {with_}, result AS ({body}) SELECT {', '.join(cols)} FROM result"
 
 
@@ -73,4 +93,4 @@ def _view(make):
     return view
 
 
-mbo, lob, edge, mids = (_view(x) for x in (bridge.mbo, bridge.lob, bridge.lob_edge, bridge.mids))
+mbo, lob, edge, both, mids = (_view(x) for x in (bridge.mbo, bridge.lob, bridge.lob_edge, bridge.both, bridge.mids))

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tickforge.functions.tables import materialized
 from tickforge.operators import align, labels, normalize, sequences, tensors
-from tickforge.plans.catalog import EDGE, EVERY, MBO, MIDS, STRIDE, WINDOW, Query, edge, lob, mbo, mids
+from tickforge.plans.messages import QUEUES
+from tickforge.plans.catalog import EDGE, MBO, MIDS, STRIDE, WINDOW, Query, edge, lob, mbo, mids
 
 KEYS = ["day"]
 K, H, THETA = 5, 10, 0.001
@@ -142,12 +142,23 @@ BOOKS = LOB + f""", bs AS (SELECT day, row_number() OVER (PARTITION BY day ORDER
 wt AS (SELECT *, greatest(least(sample_idx // {STRIDE}, (max(sample_idx) OVER (PARTITION BY day) - {WINDOW - 1}) // {STRIDE}) - greatest(CAST(ceil((sample_idx - {WINDOW - 1}) / {STRIDE}e0) AS BIGINT), 0) + 1, 0) AS weight FROM bs)"""
 
 
+def moments_sql(table: str, pools: list[list[str]]) -> str:
+    """Tables `mo` and `st`: weighted means m<k> of each pool of columns by day, and second moments q<k> about them."""
+    of = lambda k, ms, x: f"({' + '.join(f'sum(weight * {x(k, m)})' for m in ms)}) / ({len(ms)} * sum(weight))"
+    means = ", ".join(f"{of(k, ms, lambda _, m: m)} AS m{k}" for k, ms in enumerate(pools))
+    away = ", ".join(f"{of(k, ms, lambda k, m: f'({m} - m{k}) * ({m} - m{k})')} AS q{k}, any_value(m{k}) AS m{k}" for k, ms in enumerate(pools))
+    return f"mo AS (SELECT day, {means} FROM {table} GROUP BY day), st AS (SELECT day, {away} FROM {table} JOIN mo USING (day) GROUP BY day)"
+
+
+def scaled_sql(column: str, k: int) -> str:
+    return f"({column} - m{k}) / (CASE WHEN q{k} <= 1e-8 THEN 1 ELSE sqrt(q{k}) END + 1e-8)"
+
+
 def normal_sql(pools: dict[str, list[str]]) -> str:
-    mean = {c: f"({' + '.join(f'sum(weight * {m})' for m in ms)}) / ({len(ms)} * sum(weight))" for ms in pools.values() for c in ms}
-    square = {c: f"({' + '.join(f'sum(weight * {m} * {m})' for m in ms)}) / ({len(ms)} * sum(weight))" for ms in pools.values() for c in ms}
-    return BOOKS + f""", st AS (SELECT day, {", ".join(f"{mean[c]} AS m_{c}, {square[c]} AS q_{c}" for c in TWO)} FROM wt GROUP BY day)
+    place = {c: k for k, ms in enumerate(pools.values()) for c in ms}
+    return BOOKS + f""", {moments_sql("wt", list(pools.values()))}
 ---
-SELECT day, sample_idx, weight, {", ".join(f"({c} - m_{c}) / (CASE WHEN q_{c} - m_{c} * m_{c} <= 1e-8 THEN 1 ELSE sqrt(q_{c} - m_{c} * m_{c}) END + 1e-8) AS {c}" for c in TWO)} FROM wt JOIN st USING (day)"""
+SELECT day, sample_idx, weight, {", ".join(f"{scaled_sql(c, place[c])} AS {c}" for c in TWO)} FROM wt JOIN st USING (day)"""
 
 
 POOLS = {
@@ -240,42 +251,14 @@ def _barrier(s, d, **more):
     return labels.triple_barrier(mids(s, d), BH, PT, SL, HOLD, **more)
 
 
-def _config():
-    from tickforge import config
-
-    c = config.Builder().with_trading_signals().with_experimental().mbo_window(100).event_sampling(EVERY).window(WINDOW, STRIDE).build()
-    c.features.fast_window, c.features.slow_window, c.sequences.window = 20, 300, 10
-    c.labels = config.Labels(horizons=[2, 4], smoothing=2, threshold=0.0001)
-    return c
-
-
-def _full(s, d):
-    """All 116 features of event samples, with the books of the bridge."""
-    from tickforge.plans import dataset
-
-    return dataset.samples(mbo(s, d), _config(), edge(s, d))
-
-
-def _dataset(s, d):
-    """Aligned, normalised sequences with labels: sizes and label columns of each."""
-    from tickforge.plans import dataset
-
-    x = dataset.aligned(materialized(_full(s, d), "samples"), _config())
-    return x.select("day", "seq_id", F.size("features").alias("steps"), F.size(F.col("features")[0]).alias("width"), "label_2", "label_4")
-
-
 def _queues(s, d):
     from tickforge.operators import queue
 
     return queue.queue_features(mbo(s, d))
 
 
-from tickforge import contract  # noqa: E402
-
 QUERIES = {
-    "samples116": Query(_full, None, KEYS, ["sample_idx", "seq"], contract.FEATURES),
-    "dataset_sequences": Query(_dataset, None, KEYS, ["seq_id", "steps", "width", "label_2", "label_4"], []),
-    "queue_positions": Query(_queues, None, KEYS, ["seq"], ["avg_queue_position", "queue_size_ahead"]),
+    "queue_positions": Query(_queues, QUEUES, KEYS, ["seq"], ["avg_queue_position", "queue_size_ahead"]),
     "label_tlob": Query(lambda s, d: labels.tlob(mids(s, d), K, H, THETA), TLOB + "\n---\nSELECT * FROM l", KEYS, ["t", "label"], ["pct"]),
     "tlob_counts": Query(lambda s, d: labels.tlob(mids(s, d), K, H, THETA).groupBy("day", "label").agg(F.count("t").alias("n")), TLOB + "\n---\nSELECT day, label, count(*) AS n FROM l GROUP BY day, label", KEYS, ["label", "n"], []),
     "label_deeplob_cur": Query(lambda s, d: labels.deeplob(mids(s, d), H, THETA), MIDS + f", c AS (SELECT day, t, n, (avg(p) OVER {rows(1, H)} - p) / p AS pct FROM mids)\n---\nSELECT day, t, pct, {CLASS('pct', THETA, THETA)} AS label FROM c WHERE t < n - {H}", KEYS, ["t", "label"], ["pct"]),
@@ -302,8 +285,8 @@ QUERIES = {
     "multiscale": Query(lambda s, d: sequences.multiscale(_samples(s, d), SCALES), MULTISCALE, [*KEYS, "scale"], ["seq_id", "end_idx", "duration_ns"], []),
     "horizon_intersect": Query(lambda s, d: align.intersect_horizons(labels.multi_horizon(mids(s, d), K, HORIZONS, value=THETA), [5, 10, 20]), INTERSECT + "\n---\nSELECT * FROM hz", KEYS, ["t", "label_5", "label_10", "label_20"], []),
     "align_join": Query(_aligned, INTERSECT + ", " + SEQ[SEQ.index("s AS (SELECT day, t AS sample_idx") :] + f"\n---\nSELECT q.day, seq_id, t, label_5, label_10, label_20 FROM q JOIN hz ON hz.day = q.day AND hz.t = seq_id * {STRIDE} + {WINDOW - 1}", KEYS, ["seq_id", "t", "label_5", "label_10", "label_20"], []),
-    "norm_zscore": Query(_z(), z_sql("UNBOUNDED PRECEDING"), KEYS, ["t"], ["p_z"]),
-    "norm_zscore_window": Query(_z(30), z_sql("29 PRECEDING"), KEYS, ["t"], ["p_z"]),
+    "norm_zscore": Query(_z(), z_sql("UNBOUNDED PRECEDING"), KEYS, ["t"], ["p_z"], fine=False),
+    "norm_zscore_window": Query(_z(30), z_sql("29 PRECEDING"), KEYS, ["t"], ["p_z"], fine=False),
     "norm_rolling_day": Query(lambda s, d: normalize.rolling_days(mids(s, d), "p", 3), ROLLING, KEYS, ["t"], ["p_z"]),
     "norm_simple": Query(_simple, MIDS + "\n---\nSELECT day, t, (p - 101) / 101 AS pct, (p - 101) / (2 * 0.01e0) AS bilinear, greatest(least((p - 100.5e0) / 2.5e0, 1e0), 0e0) AS unit, greatest(least((p - 100.5e0) / 2.5e0, 1e0), 0e0) * 2 - 1 AS signed FROM mids", KEYS, ["t"], ["pct", "bilinear", "unit", "signed"]),
     "norm_global_vector": Query(_global_vector, "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)\n---\nSELECT vec_id, unnest(range(0, len(x))) AS i, unnest(list_transform(x, lambda y: (y - list_avg(x)) / greatest(list_stddev_pop(x), 1e-10))) AS z FROM v", [], ["vec_id", "i"], ["z"]),

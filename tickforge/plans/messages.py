@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import book, experimental, flow, mbo as ops, sampling, signals
 from tickforge.plans.books import BV, AV, FLOW, RUN, W, _ratio
-from tickforge.plans.catalog import EDGE, EVERY, FAST, LOB, MBO, MEDIUM, MIDS, SLOW, Query, edge, lob, mbo, mids
+from tickforge.plans.catalog import EDGE, EVERY, FAST, LOB, MBO, MEDIUM, MIDS, SLOW, Query, both, edge, lob, mbo, mids
 
 KEYS = ["day"]
 ONLY_MBO = MBO.removeprefix(MBO[: MBO.index(", mbo AS")])
@@ -36,7 +36,7 @@ def _counted(columns: dict[str, str]) -> Query:
     return Query(_flow, f"{COUNTS}\n---\nSELECT day, seq, {', '.join(f'{x} AS {n}' for n, x in columns.items())} FROM c", KEYS, ["seq"], list(columns))
 
 
-SIZES = MBO + f""", z AS (SELECT *, list(size) OVER {frame(MEDIUM)} AS sz, list(side) OVER {frame(MEDIUM)} AS sd, avg(size) OVER {frame(MEDIUM)} AS mean, stddev_pop(size) OVER {frame(MEDIUM)} AS std, {DUR} AS duration FROM mbo),
+SIZES = MBO + f""", z AS (SELECT *, list(size) OVER {frame(MEDIUM)} AS sz, list(side) OVER {frame(MEDIUM)} AS sd, avg(size) OVER {frame(MEDIUM)} AS mean, stddev_pop(size) OVER {frame(MEDIUM)} AS std, {DUR} AS duration, row_number() OVER {W} AS rn FROM mbo),
 p AS (SELECT *, list_sort(sz) AS so, len(sz) AS n FROM z),
 q AS (SELECT *, so[CAST(floor(n * 1 / 4) AS INT) + 1] AS size_p25, so[CAST(floor(n * 2 / 4) AS INT) + 1] AS size_p50, so[CAST(floor(n * 3 / 4) AS INT) + 1] AS size_p75, so[CAST(floor(n * 9 / 10) AS INT) + 1] AS size_p90 FROM p),
 r AS (SELECT *, coalesce(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN sz[i] > size_p90 AND sd[i] = 'B' THEN sz[i] ELSE 0 END)), 0) AS lb, coalesce(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN sz[i] > size_p90 AND sd[i] = 'A' THEN sz[i] ELSE 0 END)), 0) AS la,
@@ -49,15 +49,30 @@ MOMENTS = {
 LARGE = {"large_order_ratio": "CAST(large AS DOUBLE) / n", "large_order_frequency": "large / duration", "large_order_imbalance": "(lb - la) / (lb + la + 1e-8)"}
 
 
+FIRED = f"rn % {EVERY} = 0"
+
+
+def _fires():
+    """Every EVERY-th message: order statistics are given where a sample is taken."""
+    from tickforge.functions.frames import ordered
+
+    return F.row_number().over(ordered()) % EVERY == 0
+
+
+def _at_samples(make):
+    """A query over the messages at which `make` gives what it gathers."""
+    return lambda s, d: make(mbo(s, d).withColumn("fires", _fires()), F.col("fires"))
+
+
 def _sized(columns: dict[str, str], longs: list[str]) -> Query:
-    return Query(lambda s, d: ops.size_features(mbo(s, d), MEDIUM), f"{SIZES}\n---\nSELECT day, seq, {', '.join(f'{x} AS {n}' for n, x in columns.items())} FROM r", KEYS, ["seq", *longs], [c for c in columns if c not in longs])
+    return Query(_at_samples(lambda m, at: ops.size_features(m, MEDIUM, at)), f"{SIZES}\n---\nSELECT day, seq, {', '.join(f'{x} AS {n}' for n, x in columns.items())} FROM r WHERE {FIRED}", KEYS, ["seq", *longs], [c for c in columns if c not in longs])
 
 
-FLOWVOL = MBO + f""", g AS (SELECT *, list(CASE WHEN action = 'A' THEN CASE WHEN side = 'B' THEN 1 ELSE -1 END ELSE 0 END) OVER {frame(MEDIUM)} AS g FROM mbo),
+FLOWVOL = MBO + f""", g AS (SELECT *, list(CASE WHEN action = 'A' THEN CASE WHEN side = 'B' THEN 1 ELSE -1 END ELSE 0 END) OVER {frame(MEDIUM)} AS g, row_number() OVER {W} AS rn FROM mbo),
 h AS (SELECT *, len(g) AS n, len(g) // 10 AS k FROM g),
 x AS (SELECT *, list_transform(range(0, 10), lambda i: list_sum(CASE WHEN i < 9 THEN g[k * i + 1 : k * i + k] ELSE g[k * 9 + 1 : n] END) / (len(list_filter(CASE WHEN i < 9 THEN g[k * i + 1 : k * i + k] ELSE g[k * 9 + 1 : n] END, lambda v: v <> 0)) + 1e-8)) AS x FROM h WHERE n >= 50)
 ---
-SELECT h.day, h.seq, CASE WHEN h.n < 50 THEN 0 ELSE list_stddev_pop(x.x) END AS order_flow_volatility FROM h LEFT JOIN x USING (day, seq)"""
+SELECT h.day, h.seq, CASE WHEN h.n < 50 THEN 0 ELSE list_stddev_pop(x.x) END AS order_flow_volatility FROM h LEFT JOIN x USING (day, seq) WHERE h.{FIRED}"""
 
 HHI = f"{_ratio('list_sum(list_transform(list_concat(bid_sz, ask_sz), lambda x: CAST(x AS DOUBLE) * x))', f'pow(CAST({BV} + {AV} AS DOUBLE), 2)')}"
 TICKS = {f"depth_ticks_{s}": f"CASE WHEN best_{s} IS NULL THEN 0 ELSE {_ratio(f'list_sum(list_transform(range(1, 11), lambda i: CASE WHEN {s}_px[i] > 0 THEN (abs(best_{s} - {s}_px[i]) // 10000000) * {s}_sz[i] ELSE 0 END))', f'list_sum(list_transform(range(1, 11), lambda i: CASE WHEN {s}_px[i] > 0 THEN {s}_sz[i] ELSE 0 END))')} END" for s in ("bid", "ask")}
@@ -66,7 +81,8 @@ TICKS = {f"depth_ticks_{s}": f"CASE WHEN best_{s} IS NULL THEN 0 ELSE {_ratio(f'
 ONE = "(PARTITION BY day, order_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
 LIFE = "(PARTITION BY day, order_id, life ORDER BY seq ROWS UNBOUNDED PRECEDING)"
 NEXT = "(PARTITION BY day, order_id, life ORDER BY seq)"
-LIVES = MBO + f""", a AS (SELECT *, sum(CASE WHEN action = 'A' THEN 1 ELSE 0 END) OVER {ONE} AS life FROM mbo),
+def lives_sql(kept: int = MEDIUM) -> str:
+    return MBO + f""", a AS (SELECT *, sum(CASE WHEN action = 'A' THEN 1 ELSE 0 END) OVER {ONE} AS life FROM mbo),
 b AS (SELECT *, first(ts_ns) OVER {LIFE} AS created, first(size) OVER {LIFE} AS original, sum(CASE WHEN action = 'T' THEN size ELSE 0 END) OVER {LIFE} AS sold, least(sum(CASE WHEN action = 'M' THEN 1 ELSE 0 END) OVER {LIFE}, 255) AS mods,
   max(CASE WHEN action = 'C' THEN 1 ELSE 0 END) OVER {LIFE} AS cancelled, sum(CASE WHEN action = 'T' THEN 1 ELSE 0 END) OVER {LIFE} AS trades, min(CASE WHEN action = 'T' THEN ts_ns END) OVER {LIFE} AS first_fill FROM a),
 c AS (SELECT *, life > 0 AND (cancelled = 1 OR sold >= original) AS over FROM b),
@@ -77,18 +93,30 @@ spans AS (SELECT *, least(coalesce(end_seq, 9000000000000000), coalesce(lead(beg
 act AS (SELECT m.day, m.seq, m.ts_ns, count(s.order_id) AS active_order_count, coalesce(avg((m.ts_ns - s.created) / 1e9), 0) AS avg_order_age,
   coalesce(avg(CASE WHEN s.fill_seq <= m.seq THEN (s.fill_ts - s.created) / 1e9 END), 0) AS avg_time_to_first_fill
   FROM mbo m LEFT JOIN spans s ON s.day = m.day AND s.begin_seq <= m.seq AND s.stop_seq > m.seq GROUP BY m.day, m.seq, m.ts_ns),
-done AS (SELECT day, seq, avg(mods) OVER w AS ms, avg(CAST(least(sold, original) AS DOUBLE) / original) OVER w AS fr, quantile_cont((ts_ns - created) / 1e9, 0.5) OVER w AS ml FROM lives WHERE ends WINDOW w AS (PARTITION BY day ORDER BY seq ROWS BETWEEN {MEDIUM - 1} PRECEDING AND CURRENT ROW)),
+done AS (SELECT day, seq, avg(mods) OVER w AS ms, avg(CAST(least(sold, original) AS DOUBLE) / original) OVER w AS fr, quantile_cont((ts_ns - created) / 1e9, 0.5) OVER w AS ml FROM lives WHERE ends WINDOW w AS (PARTITION BY day ORDER BY seq ROWS BETWEEN {kept - 1} PRECEDING AND CURRENT ROW)),
 j AS (SELECT act.*, coalesce(last(ms IGNORE NULLS) OVER {RUN}, 0) AS modification_score, coalesce(last(fr IGNORE NULLS) OVER {RUN}, 0) AS avg_fill_ratio, coalesce(last(ml IGNORE NULLS) OVER {RUN}, 0) AS median_order_lifetime FROM act LEFT JOIN done USING (day, seq))"""
-LIFECYCLE = LIVES + """
+
+
+def lifecycle_sql(kept: int = MEDIUM) -> str:
+    return lives_sql(kept) + """
 ---
 SELECT *, CASE WHEN active_order_count > 0 THEN avg_fill_ratio * least(modification_score / 10, 1) ELSE 0 END AS iceberg_proxy FROM j"""
 
+
+LIVES, LIFECYCLE = lives_sql(), lifecycle_sql()
+
+
 # -- signals
-INTERVAL = EDGE + ONLY_MBO + FLOW + f""", n AS (SELECT *, row_number() OVER {W} AS rn FROM f),
+def interval_sql(books: str = EDGE + ONLY_MBO) -> str:
+    """`books`: tables `mbo`, and `edge` with the book behind each message."""
+    return books + FLOW + f""", n AS (SELECT *, row_number() OVER {W} AS rn FROM f),
 em AS (SELECT *, CASE WHEN rn % {EVERY} = 0 AND best_bid IS NOT NULL AND best_ask IS NOT NULL THEN 1 ELSE 0 END AS em FROM n),
 iv AS (SELECT *, sum(em) OVER {RUN} - em AS sample_idx, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER {RUN} AS warm FROM em),
 sums AS (SELECT day, sample_idx, sum(CASE WHEN quoted THEN e_bid - e_ask ELSE 0 END) AS true_ofi, avg(depth) AS ad, sum(CASE WHEN best_bid >= best_ask THEN 1 ELSE 0 END) AS invalidity_delta FROM iv GROUP BY day, sample_idx),
 sam AS (SELECT iv.*, true_ofi, ad, invalidity_delta FROM iv JOIN sums USING (day, sample_idx) WHERE em = 1)"""
+
+
+INTERVAL = interval_sql()
 FLOWSIG = {"true_ofi": "true_ofi", "depth_norm_ofi": "CASE WHEN ad <= 1e-10 THEN 0 ELSE true_ofi / ad END", "mbo_ready": "CASE WHEN warm >= 100 THEN 1 ELSE 0 END", "dt_seconds": f"coalesce((ts_ns - lag(ts_ns) OVER {W}) / 1e9, 0)", "invalidity_delta": "invalidity_delta"}
 
 
@@ -100,9 +128,9 @@ def _emitted(spark, sf_dir):
 def _signals14(spark, sf_dir):
     from tickforge.operators import lob as book_ops
 
-    x = _emitted(spark, sf_dir).withColumns(book_ops.derived() | ops.book_features())
-    rates = _flow(spark, sf_dir).select("day", "seq", *RATES)
-    return x.join(rates, ["day", "seq"]).withColumns(signals.combined())
+    rows = flow.contributions(ops.flow_features(both(spark, sf_dir), MEDIUM, FAST, SLOW))
+    x = signals.flow_signals(rows, _fires() & F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull())
+    return x.withColumns(book_ops.derived() | ops.book_features()).withColumns(signals.combined())
 
 
 def regime_sql(ts: str) -> str:
@@ -113,14 +141,18 @@ def regime_sql(ts: str) -> str:
 from tickforge.plans.books import derived as _derived  # noqa: E402
 
 _part = lambda x, y: f"CASE WHEN abs({x} + {y}) <= 1e-10 THEN 0 ELSE ({x} - {y}) / ({x} + {y}) END"
-SIG14 = INTERVAL + COUNTS.removeprefix(COUNTS[: COUNTS.index(", c AS")]) + f""", full_ AS (SELECT sam.*, {", ".join(f"{x} AS {n}" for n, x in FLOWSIG.items() if n not in ("true_ofi", "invalidity_delta"))},
+def signals_sql(books: str = EDGE + ONLY_MBO) -> str:
+    out = interval_sql(books) + COUNTS.removeprefix(COUNTS[: COUNTS.index(", c AS")]) + f""", full_ AS (SELECT sam.*, {", ".join(f"{x} AS {n}" for n, x in FLOWSIG.items() if n not in ("true_ofi", "invalidity_delta"))},
   {", ".join(f"{x} AS {n}" for n, x in _derived.items() if n in ("mid_price", "weighted_mid_price", "total_bid_volume", "total_ask_volume"))}, {HHI} AS hhi, {", ".join(f"{x} AS {n}" for n, x in TICKS.items())} FROM sam),
 k AS (SELECT full_.*, {", ".join(f"{x} AS {n}" for n, x in RATES.items())} FROM full_ JOIN c USING (day, seq) ) 
 ---
 SELECT day, seq, sample_idx, true_ofi, depth_norm_ofi, trade_rate_ask - trade_rate_bid AS executed_pressure, (weighted_mid_price - mid_price) / mid_price * 1e4 AS signed_mp_delta_bps, {_part("trade_rate_ask", "trade_rate_bid")} AS trade_asymmetry,
   {_part("cancel_rate_ask", "cancel_rate_bid")} AS cancel_asymmetry, CASE WHEN (total_bid_volume + total_ask_volume) / 2e0 <= 1 THEN hhi ELSE hhi / ln((total_bid_volume + total_ask_volume) / 2e0) END AS fragility_score,
   {_part("depth_ticks_bid", "depth_ticks_ask")} AS depth_asymmetry, CASE WHEN best_bid < best_ask THEN 1 ELSE 0 END AS book_valid, {regime_sql("ts_ns")} AS time_regime, mbo_ready, dt_seconds, invalidity_delta, 2.2e0 AS schema_version FROM k"""
-SIG14 = SIG14.replace("(SELECT full_.*, ", "(SELECT full_.*, ").replace("FROM full_ JOIN c USING (day, seq) ) ", "FROM full_ JOIN (SELECT day, seq, duration, AB, AA, CB, CA, TB, TA FROM c) USING (day, seq))")
+    return out.replace("FROM full_ JOIN c USING (day, seq) ) ", "FROM full_ JOIN (SELECT day, seq, duration, AB, AA, CB, CA, TB, TA FROM c) USING (day, seq))")
+
+
+SIG14 = signals_sql()
 SEASON = """(ts_ns % 86400000000000) / 60e9 - CASE WHEN (ts_ns // 86400000000000) % 365 BETWEEN 70 AND 307 THEN 810 ELSE 870 END"""
 
 
@@ -191,6 +223,26 @@ def _reconstruct(spark, sf_dir):
     return x.withColumns({"bid_size": x.bid_sz[0], "ask_size": x.ask_sz[0]})
 
 
+# -- the book behind each message, from the state that each order has until its next message
+STATES = MBO + """, am AS (SELECT *, sum(CASE WHEN action IN ('A', 'M') THEN 1 ELSE 0 END) OVER (PARTITION BY day, order_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM mbo WHERE action IN ('A', 'M', 'C', 'T')),
+os AS (SELECT day, seq, first(side) OVER p AS side, first(price) OVER p AS price, first(seq) OVER p AS entry, greatest(first(size) OVER p - sum(CASE WHEN action IN ('C', 'T') THEN size ELSE 0 END) OVER p, 0) AS rest,
+  lead(seq) OVER (PARTITION BY day, order_id ORDER BY seq) AS until_ FROM am WHERE g > 0 WINDOW p AS (PARTITION BY day, order_id, g ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+REBUILT = STATES + """, lv AS (SELECT day, side, price, seq, sum(d) OVER (PARTITION BY day, side, price ORDER BY seq) AS sz, lead(seq) OVER (PARTITION BY day, side, price ORDER BY seq) AS nx
+  FROM (SELECT day, seq, side, price, sum(d) AS d FROM (SELECT day, seq, side, price, rest AS d FROM os UNION ALL SELECT day, until_, side, price, -rest FROM os WHERE until_ IS NOT NULL) GROUP BY ALL)),
+bk AS (SELECT m.day, m.seq, m.ts_ns, list(l.price ORDER BY l.price DESC) FILTER (WHERE l.side = 'B') AS bp, list(l.sz ORDER BY l.price DESC) FILTER (WHERE l.side = 'B') AS bs, list(l.price ORDER BY l.price) FILTER (WHERE l.side = 'A') AS ap, list(l.sz ORDER BY l.price) FILTER (WHERE l.side = 'A') AS az
+  FROM mbo m LEFT JOIN lv l ON l.day = m.day AND l.seq <= m.seq AND (l.nx IS NULL OR l.nx > m.seq) AND l.sz > 0 GROUP BY m.day, m.seq, m.ts_ns),
+edge AS (SELECT day, seq, ts_ns, """ + ", ".join(f"list_transform(range(1, 11), lambda i: CAST(coalesce({x}[i], 0) AS BIGINT)) AS {n}" for n, x in (("bid_px", "bp"), ("bid_sz", "bs"), ("ask_px", "ap"), ("ask_sz", "az"))) + """, bp[1] AS best_bid, ap[1] AS best_ask FROM bk)"""
+QUEUES = STATES + """, al AS (SELECT m.day, m.seq, o.side, o.price, o.entry, o.rest FROM mbo m JOIN os o ON o.day = m.day AND o.seq <= m.seq AND (o.until_ IS NULL OR o.until_ > m.seq) WHERE o.rest > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY day, seq, side, price ORDER BY entry) - 1 AS place, coalesce(sum(rest) OVER (PARTITION BY day, seq, side, price ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM al),
+sd AS (SELECT day, seq, side, avg(place) AS place, sum(ahead) AS ahead, count(*) AS n FROM rk GROUP BY day, seq, side)
+---
+SELECT m.day, m.seq, coalesce(avg(sd.place), 0) AS avg_queue_position, coalesce(CAST(sum(sd.ahead) AS DOUBLE) / sum(sd.n), 0) AS queue_size_ahead FROM mbo m LEFT JOIN sd USING (day, seq) GROUP BY m.day, m.seq"""
+# a count that never falls below 0 is its running sum less the least running sum so far
+CLUSTERING = MBO + """, ps AS (SELECT day, price, seq, sum(CASE action WHEN 'A' THEN 1 ELSE -1 END) OVER (PARTITION BY day, price ORDER BY seq) AS s FROM mbo WHERE action IN ('A', 'C')),
+pc AS (SELECT day, price, seq, s - least(0, min(s) OVER (PARTITION BY day, price ORDER BY seq)) AS c, lead(seq) OVER (PARTITION BY day, price ORDER BY seq) AS nx FROM ps)
+---
+SELECT m.day, m.seq, CASE WHEN coalesce(sum(c), 0) = 0 THEN 0 ELSE CAST(max(c) AS DOUBLE) / sum(c) END AS price_clustering FROM mbo m LEFT JOIN pc ON pc.day = m.day AND pc.seq <= m.seq AND (pc.nx IS NULL OR pc.nx > m.seq) GROUP BY m.day, m.seq"""
+
 _exp = lambda f, *names: Query(lambda s, d: f(mbo(s, d)), None, KEYS, ["seq"], list(names))
 
 
@@ -207,7 +259,7 @@ QUERIES = {
     "mbo_size_pct": _sized({f"size_p{p}": f"size_p{p}" for p in (25, 50, 75, 90)}, []),
     "mbo_size_moments": _sized(MOMENTS, []),
     "mbo_large": _sized(LARGE, []),
-    "mbo_flow_vol": Query(lambda s, d: ops.flow_volatility(mbo(s, d), MEDIUM), FLOWVOL, KEYS, ["seq"], ["order_flow_volatility"]),
+    "mbo_flow_vol": Query(_at_samples(lambda m, at: ops.flow_volatility(m, MEDIUM, at)), FLOWVOL, KEYS, ["seq"], ["order_flow_volatility"]),
     "mbo_hhi": Query(lambda s, d: edge(s, d).withColumns(ops.book_features()), f"{EDGE}\n---\nSELECT day, seq, {HHI} AS level_concentration FROM edge", KEYS, ["seq"], ["level_concentration"]),
     "mbo_depth_ticks": Query(lambda s, d: edge(s, d).withColumns(ops.book_features()), f"{EDGE}\n---\nSELECT day, seq, {', '.join(f'{x} AS {n}' for n, x in TICKS.items())} FROM edge", KEYS, ["seq"], list(TICKS)),
     "mbo_lifecycle": Query(lambda s, d: ops.order_features(mbo(s, d), MEDIUM), LIFECYCLE, KEYS, ["seq"], ["modification_score", "iceberg_proxy", "median_order_lifetime", "avg_fill_ratio"]),
@@ -221,12 +273,12 @@ QUERIES = {
     "exp_sweep": _with(_exp(experimental.sweeps, "sweep_ratio"), SWEEP),
     "exp_mod_cancel": _with(_exp(experimental.mod_before_cancel, "mod_before_cancel"), MODCANCEL),
     "exp_fill_patience": _with(_exp(experimental.fill_patience, "fill_patience_bid", "fill_patience_ask"), PATIENCE),
-    "exp_price_clustering": _exp(experimental.price_clustering, "price_clustering"),
+    "exp_price_clustering": _with(_exp(experimental.price_clustering, "price_clustering"), CLUSTERING),
     "exp_vol": Query(lambda s, d: experimental.volatility(mids(s, d).withColumnsRenamed({"t": "sample_idx", "p": "mid"})), MIDS + VOL, KEYS, ["sample_idx"], ["realized_vol_fast", "realized_vol_slow", "vol_ratio", "vol_momentum", "return_autocorr", "vol_of_vol"]),
     "sample_event": Query(lambda s, d: sampling.every(mbo(s, d), EVERY).where("fires"), f"{MBO}\n---\nSELECT day, seq, size FROM (SELECT *, row_number() OVER {W} AS rn FROM mbo) WHERE rn % {EVERY} = 0", KEYS, ["seq", "size"], []),
     "sample_volume": Query(lambda s, d: _volume(s, d).where("fires"), VOLUME + "\n---\nSELECT n.day, n.seq, n.size FROM v JOIN n ON n.day = v.day AND n.rn = v.rn WHERE fires", KEYS, ["seq", "size"], []),
     "sample_volume_stats": Query(lambda s, d: sampling.volume_statistics(_volume(s, d)), VOLUME + "\n---\nSELECT n.day, sum(CASE WHEN fires THEN 1 ELSE 0 END) AS samples, sum(n.size) AS volume, CAST(sum(n.size) AS DOUBLE) / nullif(sum(CASE WHEN fires THEN 1 ELSE 0 END), 0) AS avg_volume FROM v JOIN n ON n.day = v.day AND n.rn = v.rn GROUP BY n.day", KEYS, ["samples", "volume"], ["avg_volume"]),
     "rolling_vol": Query(lambda s, d: sampling.rolling_volatility(mids(s, d), 50), MIDS + ROLL + "\n---\nSELECT * FROM rv", KEYS, ["t", "n_returns"], ["mean_return", "volatility"]),
     "sample_adaptive": Query(lambda s, d: sampling.adaptive_threshold(mids(s, d), 50), ADAPT, KEYS, ["t", "threshold"], []),
-    "book_reconstruct": Query(_reconstruct, None, KEYS, ["seq", "best_bid", "best_ask", "bid_size", "ask_size"], []),
+    "book_reconstruct": Query(_reconstruct, REBUILT + "\n---\nSELECT day, seq, best_bid, best_ask, bid_sz[1] AS bid_size, ask_sz[1] AS ask_size FROM edge", KEYS, ["seq", "best_bid", "best_ask", "bid_size", "ask_size"], []),
 }

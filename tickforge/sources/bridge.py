@@ -17,22 +17,26 @@ def _events(events: DataFrame, text_day: bool) -> DataFrame:
 
 def mbo(events: DataFrame, text_day: bool = False) -> DataFrame:
     """(day, seq, ts_ns, action, side, order_id, price, size)."""
-    e = _events(events, text_day)
+    return _events(events, text_day).select("day", "seq", "ts_ns", *_message())
+
+
+def _message() -> "list[F.Column]":
     action = F.when(F.col("event_type").isin("view", "signup"), "A").when(F.col("event_type") == "click", "M").when(F.col("event_type") == "error", "C").when(F.col("event_type") == "purchase", "T").otherwise("N")
     step = (1 + (F.col("seq") * 37) % 10) * TICK
     bid = F.col("user_id") % 2 == 0
-    return e.select("day", "seq", "ts_ns", action.alias("action"), F.when(bid, "B").otherwise("A").alias("side"), (F.col("user_id") + 1).alias("order_id"), F.when(bid, BASE - step).otherwise(BASE + step).cast("long").alias("price"), (1 + F.floor("value")).cast("long").alias("size"))
+    return [action.alias("action"), F.when(bid, "B").otherwise("A").alias("side"), (F.col("user_id") + 1).alias("order_id"), F.when(bid, BASE - step).otherwise(BASE + step).cast("long").alias("price"), (1 + F.floor("value")).cast("long").alias("size")]
 
 
 def _levels(make) -> "F.Column":
     return F.array(*(make(i).cast("long") for i in range(LEVELS)))
 
 
-def lob(events: DataFrame, text_day: bool = False) -> DataFrame:
-    """(day, seq, ts_ns, bid_px, bid_sz, ask_px, ask_sz, best_bid, best_ask): ten levels each side."""
+def lob(events: DataFrame, text_day: bool = False, messages: bool = False) -> DataFrame:
+    """(day, seq, ts_ns, bid_px, bid_sz, ask_px, ask_sz, best_bid, best_ask): ten levels each side, with
+    the columns of `mbo` if wanted."""
     s, off = F.col("seq"), (F.col("seq") % 20 - 10) * TICK
     out = _events(events, text_day).select(
-        "day", "seq", "ts_ns",
+        "day", "seq", "ts_ns", *(_message() if messages else ()),
         _levels(lambda i: BASE + off - (i + 1) * TICK).alias("bid_px"),
         _levels(lambda i: (100 + 7 * s + 50 * i) % 500 + 100).alias("bid_sz"),
         _levels(lambda i: BASE + off + (i + 1) * TICK).alias("ask_px"),
@@ -41,9 +45,9 @@ def lob(events: DataFrame, text_day: bool = False) -> DataFrame:
     return out.withColumn("best_bid", F.col("bid_px")[0]).withColumn("best_ask", F.col("ask_px")[0])
 
 
-def lob_edge(events: DataFrame, text_day: bool = False) -> DataFrame:
+def lob_edge(events: DataFrame, text_day: bool = False, messages: bool = False) -> DataFrame:
     """The book with empty ask sides, locked and crossed quotes, and emptied deep levels."""
-    s, b = F.col("seq"), lob(events, text_day)
+    s, b = F.col("seq"), lob(events, text_day, messages)
     bid0 = F.col("bid_px")[0]
     ask = F.when(s % 97 == 0, _levels(lambda i: F.lit(0))).when(s % 89 == 0, _levels(lambda i: bid0 + i * TICK)).when(s % 83 == 0, _levels(lambda i: bid0 + (i - 1) * TICK)).otherwise(F.col("ask_px"))
     b = b.withColumn("ask_px", ask).withColumn("ask_sz", F.when(s % 97 == 0, _levels(lambda i: F.lit(0))).otherwise(F.col("ask_sz")))
@@ -52,6 +56,11 @@ def lob_edge(events: DataFrame, text_day: bool = False) -> DataFrame:
     return b.withColumn("best_bid", F.nullif(F.col("bid_px")[0], F.lit(0))).withColumn("best_ask", F.nullif(F.col("ask_px")[0], F.lit(0)))
 
 
+def both(events: DataFrame, text_day: bool = False) -> DataFrame:
+    """The messages and the book of `lob_edge` behind each."""
+    return lob_edge(events, text_day, messages=True)
+
+
 def mids(events: DataFrame, text_day: bool = False) -> DataFrame:
     """(day, t, p_nanos, p): a price a row, t counted from 0 in each day."""
     e = _events(events, text_day)
