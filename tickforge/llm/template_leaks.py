@@ -21,6 +21,7 @@ are not reported; rows that repeat an id count as one. Empty tables give an empt
 ignored.
 """
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,10 +51,13 @@ liters litre litres gallon gallons s sec second seconds min minute minutes h hr
 month months year years $ € £ usd eur gbp dollar dollars cent cents euro euros pound pounds °c °f degrees kmh
 km/h mph w kw kwh v a hz khz mhz ghz b kb mb gb tb""".split()
 
+UNIT_SET = frozenset(UNITS)
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+LETTER_OR_SIGN = LETTER.copy()
+LETTER_OR_SIGN[[ord(c) for c in "%$"]] = True
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[ord(c) for c in "!\"'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 DECIMAL = np.zeros(256, bool)
@@ -62,31 +66,38 @@ STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:"]] = True
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
-    data, at = wordhash.utf8(pa.array(words))
+@functools.cache
+def _unit_hashes() -> np.ndarray:
+    data, at = wordhash.utf8(pa.array(UNITS))
     return np.unique(wordhash.hashes(data, *wordhash.words(data, at)[:2]))
 
 
 def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words without punctuation at the ends; a word of nothing else stays as it is."""
-    kept = np.concatenate(([0], np.cumsum(~PUNCTUATION[data])))
-    some = kept[ends] > kept[starts]
-    where = np.flatnonzero(~PUNCTUATION[data])
-    if not len(where):
-        return starts, ends
-    first = where[np.minimum(kept[starts], len(where) - 1)]
-    last = where[np.maximum(kept[ends] - 1, 0)] + 1
-    return np.where(some, first, starts), np.where(some, last, ends)
+    s, e = starts.copy(), ends.copy()
+    for edge, step, byte in ((s, 1, 0), (e, -1, -1)):
+        open_ = np.flatnonzero(PUNCTUATION[data[edge + byte]])
+        while len(open_):
+            edge[open_] += step
+            open_ = open_[(s[open_] < e[open_]) & (PUNCTUATION[data[np.clip(edge[open_] + byte, 0, len(data) - 1)]])]
+    none = s >= e
+    return np.where(none, starts, s), np.where(none, ends, e)
 
 
 def with_units_apart(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words, a unit that is written against a number as a word of its own."""
-    s, e = stripped(raw, starts, ends)
-    other = np.flatnonzero(~(DIGIT | DECIMAL)[raw])
-    cut = np.append(other, len(raw))[np.searchsorted(other, s)]
-    some = np.flatnonzero((cut > s) & (cut < e) & DIGIT[raw[s]])
-    some = some[np.isin(wordhash.hashes(lowered(raw), cut[some], e[some]), _hash_words(UNITS))]
-    return np.sort(np.concatenate((starts, cut[some]))), np.sort(np.concatenate((ends, cut[some])))
+    some = np.flatnonzero(DIGIT[raw[starts]] & LETTER_OR_SIGN[raw[ends - 1]] | PUNCTUATION[raw[starts]] | PUNCTUATION[raw[ends - 1]] & DIGIT[raw[starts]])
+    s, e = stripped(raw, starts[some], ends[some])
+    keep = DIGIT[raw[s]] & LETTER_OR_SIGN[raw[e - 1]] & (e - s <= 40)
+    cuts = []
+    for a, b in zip(s[keep].tolist(), e[keep].tolist(), strict=True):
+        word = raw[a:b].tobytes()
+        rest = word.lstrip(b"0123456789.,")
+        if rest.lower().decode(errors="replace").lower() in UNIT_SET:
+            cuts.append(b - len(rest))
+    if not cuts:
+        return starts, ends
+    return np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
 
 
 class Tokens:
@@ -96,6 +107,12 @@ class Tokens:
     def __init__(self, token, value, slot, starts, ends, first):
         self.token, self.value, self.slot, self.starts, self.ends, self.first = token, value, slot, starts, ends, first
 
+    @functools.cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the tokens times powers, from which any window's hash comes, and the inverse powers."""
+        powers, inverse = wordhash.powers(len(self.token) + 1)
+        return np.concatenate(([np.uint64(0)], np.cumsum(wordhash.mix(self.token) * powers[:-1]))), inverse
+
     def windows(self, n: int, whole: bool, kind: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, text and first token of each window of n tokens; `whole`: only texts of just n tokens."""
         size = np.diff(self.first)
@@ -107,9 +124,8 @@ class Tokens:
             words = np.concatenate(([0], np.cumsum(~self.slot)))
             good = words[start + n] - words[start] >= min(least_words, n)
             text, start = text[good], start[good]
-        h = np.full(len(start), n + 1000 * kind, np.uint64)
-        for k in range(n):
-            h = wordhash.mix(h * np.uint64(3) + self.token[start + k])
+        total, inverse = self.sums
+        h = wordhash.mix((total[start + n] - total[start]) * inverse[start] + np.uint64(n + 1000 * kind))
         return h, text, start
 
     def slots(self, start: int, n: int) -> list[int]:
@@ -136,7 +152,7 @@ def tokens(column: pa.Array) -> tuple[dict[int, Tokens], np.ndarray, np.ndarray]
     opens[1:] = STOP[raw[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]])
     opens[first[:-1][first[:-1] < m]] = True
     before = np.concatenate(([False], number[:-1])) & ~opens
-    unit = before & np.isin(value, _hash_words(UNITS))
+    unit = before & np.isin(value, _unit_hashes())
     name = capitalised(raw, s) & ~opens & ~number & ~unit
     goes_on = name & np.concatenate(([False], name[:-1]))
     head = np.flatnonzero(~goes_on)

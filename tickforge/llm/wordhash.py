@@ -12,6 +12,7 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at a time; bounds the memory for one very long text.
 SEGMENT = 1 << 20
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -26,6 +27,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of PRIME and of its inverse."""
+    held = _POWERS
+    if len(held[0]) < n:
+        held[:] = [np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 16), p)))) for p in (PRIME, INVERSE)]
+    return held[0][:n], held[1][:n]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other, and where each begins (one more for the end). Null: empty."""
     if isinstance(column, pa.ChunkedArray):
