@@ -6,9 +6,8 @@ is encoded once, its ids go back to every block that lists it, and the blocks pu
 together by position. What moves is a few bytes a word of a block, whatever its number of
 occurrences, so that a frequent word is no hot key.
 
-Decoding explodes the distinct ids of a pack of documents, joins them to the token-byte table, and puts the
-documents together by position. The table is broadcast up to MAX_TABLE bytes, so that neither ids nor tokens are
-shuffled; a larger one is joined by a shuffle of packs.
+Decoding joins the token-byte table, which is broadcast up to MAX_TABLE bytes, so that neither ids nor tokens are
+shuffled; with a larger one, the ids are exploded with their positions and joined by a shuffle.
 
 A null text counts as an empty one and gives no ids. Rows with equal or null doc_id stay rows of
 their own. An empty table gives an empty result. Other columns are ignored.
@@ -27,15 +26,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import cached, lean, texts_of, tune, written
 
 #: Bytes of text of a block at most, unless one text is longer.
 BLOCK_BYTES = 32 << 20
-#: Rows and bytes of a pack of decoding, about, and bytes of a token table that is broadcast at most.
-PACK_ROWS, PACK_BYTES, MAX_TABLE = 4096, 16 << 20, 16 << 20
+#: Bytes of a token table that is broadcast at most.
+MAX_TABLE = 16 << 20
 PACKS = "kind int, block long, bucket int, payload binary, doc_ids array<long>, counts array<long>"
 
 
@@ -210,7 +207,7 @@ class _Block:
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts by position, block by block; a block's bucket list and ids come before its texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("token_ids", pa.list_(pa.int32()))])
     now, order, parts, block = None, np.zeros(0, np.uint32), {}, None
     for batch in batches:
         for i in range(batch.num_rows):
@@ -228,12 +225,14 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for n in row["counts"]:
                     out.append(block.ids(numbers[at : at + n]))
                     at += n
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary())], schema=schema)
+                ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary()), lists], schema=schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, as the BPE of `ranks_path` gives them for
-    each match of `pattern`."""
+    """(doc_id, ids, token_ids): ids as little-endian unsigned 32-bit integers and as an array, as the BPE of
+    `ranks_path` gives them for each match of `pattern`."""
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # in proportion to the input, so that a bucket's words stay as many at any size
@@ -243,7 +242,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     coded = words.mapInArrow(lean(_encode_buckets(ranks_path, pattern)), "kind int, block long, bucket int, payload binary")
     back = packs.where("kind <> 1").unionByName(coded, allowMissingColumns=True)
     ordered = back.repartition(buckets, "block").sortWithinPartitions("block", F.col("kind").desc())
-    return ordered.mapInArrow(lean(_assemble), "doc_id long, ids binary")
+    return ordered.mapInArrow(lean(_assemble), "doc_id long, ids binary, token_ids array<int>")
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> tuple[DataFrame, int]:
@@ -253,67 +252,30 @@ def token_table(spark: SparkSession, ranks_path: str) -> tuple[DataFrame, int]:
     return spark.createDataFrame(rows), rows.nbytes
 
 
-def _packed(place: int, width: int, types: list):
-    """Rows of a pack: its distinct ids with kind 0, then its documents with kind 1."""
+def decode(coded: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
+    """Adds `decoded`, the bytes of the ids (an array), by a join with the token-byte table; an id that isn't in it
+    is an error. Null ids give null bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, names, held, rows, size = TaskContext.get().partitionId() << 32, ["pack", "kind", "id", *(f"c{k}" for k in range(width))], [], 0, 0
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            some = [np.frombuffer(x, "<u4") for part in held for x in part.column(place).to_pylist() if x]
-            ids = np.unique(np.concatenate(some)).astype(np.int32) if some else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), pack)), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), *(pa.nulls(len(ids), t) for t in types)], names=names)
-            for part in held:
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pack)), pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int32()), *part.columns], names=names)
-            held.clear()
-
-        for batch in batches:
-            held.append(batch)
-            rows, size = rows + batch.num_rows, size + batch.nbytes
-            if rows >= PACK_ROWS or size >= PACK_BYTES:
-                yield from ended()
-                pack, rows, size = pack + 1, 0, 0
-        if held:
-            yield from ended()
-
-    return run
-
-
-def _unpacked(place: int, names: list[str]):
-    """Documents with their bytes, from the joined rows of packs in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, token = None, {}
-        for batch in batches:
-            packs, ids, tokens = (batch.column(k).to_pylist() for k in (0, 2, batch.num_columns - 1))
-            kinds, out = batch.column(1).to_numpy(), []
-            given = batch.column(3 + place).to_pylist()
-            for i in range(batch.num_rows):
-                if packs[i] != now:
-                    now, token = packs[i], {}
-                if not kinds[i]:
-                    token[ids[i]] = tokens[i]
-                else:  # an id that isn't in the vocabulary fails here
-                    out.append(None if given[i] is None else b"".join(map(token.__getitem__, np.frombuffer(given[i], "<u4").tolist())))
-            docs = batch.filter(pa.array(kinds == 1))
-            yield pa.RecordBatch.from_arrays([*docs.columns[3:-1], pa.array(out, pa.binary())], names=names)
-
-    return run
-
-
-def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds `decoded`, the bytes of the ids, by a join with the token-byte table."""
+    Up to MAX_TABLE bytes the table is broadcast as one row, the array of its tokens by id, so that a document's ids
+    are looked up where they are. A larger one is joined with the exploded ids, put together again by position."""
     spark, columns = coded.sparkSession, [c for c in coded.columns if c != "decoded"]
-    tune(spark)
-    coded = coded.select(*columns)
-    place, fields = columns.index(ids_col), coded.schema.fields
-    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("id", T.IntegerType()), *(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields))])
-    packs = coded.toDF(*(f"c{k}" for k in range(len(columns)))).mapInArrow(lean(_packed(place, len(columns), [to_arrow_type(f.dataType) for f in fields])), schema)
     table, size = token_table(spark, ranks_path)
-    if size <= MAX_TABLE:  # the rows of a task keep their order
-        joined = packs.join(F.broadcast(table), "id", "left")
+    # bytes travel as a string, which neither join nor cast looks into
+    text = F.col("token").cast("string")
+    unknown = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
+    names = {c: f"c{k}" for k, c in enumerate(columns)}
+    given, ids = coded.select(*(F.col(c).alias(n) for c, n in names.items())), names[ids_col]
+    if size <= MAX_TABLE:
+        last = table.agg(F.max("id")).first()[0]
+        every = spark.range(last + 1).select(F.col("id").cast("int").alias("i")).join(table, F.col("i") == F.col("id"), "left")
+        row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda x: x["t"]).alias("tokens")).withColumn("one", F.lit(0))
+        row = written(row, "tokens")
+        joined = given.withColumn("one", F.pmod(F.size(ids), F.lit(1))).join(F.broadcast(row), "one", "left")
+        token = lambda i: F.coalesce(F.when((i >= 0) & (i <= last), F.col("tokens")[i]), unknown)
+        out = joined.withColumn("decoded", F.array_join(F.transform(ids, token), "").cast("binary"))
     else:
-        joined = packs.join(table, "id", "left").repartition("pack").sortWithinPartitions("pack", "kind")
-    joined = joined.select("pack", "kind", "id", *(f"c{k}" for k in range(len(columns))), "token")
-    return joined.mapInArrow(lean(_unpacked(place, [*columns, "decoded"])), T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))
+        rows = written(given.withColumn("row", F.monotonically_increasing_id()), "coded")
+        each = rows.select("row", F.posexplode(ids).alias("at", "id")).join(table, "id", "left").select("row", "at", F.coalesce(text, unknown).alias("t"))
+        whole = each.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").cast("binary").alias("b"))
+        out = rows.join(whole, "row", "left").withColumn("decoded", F.when(F.col(ids).isNotNull(), F.coalesce("b", F.lit(b""))))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "decoded")
