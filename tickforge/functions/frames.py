@@ -64,9 +64,9 @@ def gathered(rows, at: Column, item: Column, place: Column, n: int, name: str, k
     blocks = blocks.agg(F.array_sort(F.collect_list(F.when(item.isNotNull(), own))).alias("__m"), F.collect_list(wanted).alias("__w"))
     none = F.slice("__m", 1, 0)
     blocks = blocks.withColumn("__b", F.coalesce(F.lag("__m").over(Window.partitionBy(*keys).orderBy("__block")), none)).where(F.size("__w") > 0)
-    out = blocks.select("__m", "__b", F.explode("__w").alias("__w"))
+    out = blocks.select(*keys, "__m", "__b", F.explode("__w").alias("__w"))
     upto = (F.col("__w.__i") % n + 1).cast("int")
     rest = F.greatest(F.least(F.size("__b"), F.lit(n) - upto), F.lit(0))
     old = F.when(rest > 0, F.slice("__b", F.size("__b") - rest + 1, rest)).otherwise(none)
     found = F.when(F.col("__w.__i") >= 0, F.concat(old, F.slice("__m", F.lit(1), upto))).otherwise(none)
-    return out.select(*(F.col(f"__w.{c}").alias(c) for c in left if c != "__i"), found["m"].alias(name))
+    return out.select(*(F.col(c) if c in keys else F.col(f"__w.{c}").alias(c) for c in left if c != "__i"), found["m"].alias(name))

@@ -175,7 +175,7 @@ def order_features(messages: DataFrame, kept: int = 1000, keys: tuple[str, ...]
 
 def median_lifetimes(m: DataFrame, at: Column, kept: int = 1000, keys: tuple[str, ...] = DAY) -> DataFrame:
     """(keys, seq, median_order_lifetime) of the rows of `order_columns` where `at` holds."""
-    rows = m.select(*keys, "seq", "ended", "lifetime", at.alias("__at"))
+    rows = m.select(*keys, "seq", "ended", "lifetime", at.alias("__at")).repartition(*keys)
     found = gathered(rows, F.col("__at"), F.col("lifetime"), F.col("ended"), kept, "__l", keys)
     return found.select(*keys, "seq", F.coalesce(middle(F.array_sort("__l")), F.lit(0.0)).alias("median_order_lifetime"))
 
