@@ -1,9 +1,12 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Every text gets base counts and a vector of transformed statistics. For each language and source a
-minimum-covariance-determinant estimate is made by concentration steps: from medians and absolute deviations,
-the COVERAGE share of rows with the smallest distances gives a mean and covariance, which give new distances,
-and so on. Distances are then scaled so that their median is that of a chi-square variable, and rows beyond its
+minimum-covariance-determinant estimate is made by concentration steps: the COVERAGE share of rows with the
+smallest distances gives a mean and covariance, which give new distances, and so on. Three deterministic starts
+(medians and absolute deviations; all rows; the half of the rows that is nearest to the medians) make FIRST_STEPS
+steps; the one with the least determinant goes on until the determinant falls by less than TOLERANCE of itself, in
+no group, and the least one stays. That is the usual fast search: it finds a local minimum, the least of those that
+the starts lead to. Distances are then scaled so that their median is that of a chi-square variable, and rows beyond its
 1 - TAIL quantile are rejected. Sums, cross products and quantile sketches are aggregated before the shuffle,
 so a source with a third of all rows is no hot key.
 
@@ -25,13 +28,17 @@ from .shared import written
 
 WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 COVERAGE = 0.75
-STEPS = 4
+FIRST_STEPS = 2
+#: Of the logarithm of the determinant; MAX_STEPS only guards against a cycle by rounding.
+TOLERANCE, MAX_STEPS = 1e-6, 60
 TAIL = 1e-6
 LEAST_ROWS = 50
 #: Groups joined by broadcast at most; more go by a salted shuffle.
 MAX_BROADCAST_GROUPS = 20_000
 SALTS = 64
 
+#: A group and one of the starts.
+GROUP = ["g_lang", "g_source", "start"]
 SPACE = " \t\n\x0b\f\r"
 #: name: (statistic, floor of its deviation)
 VECTOR = {
@@ -100,12 +107,13 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group of rows that carry their shift s_i; floors are in the diagonal."""
+    """Mean, Cholesky factor and half the logarithm of the determinant for each group and start of rows that carry
+    their shift s_i; floors are in the diagonal."""
     names, floors = list(VECTOR), [f for _, f in VECTOR.values()]
     k = range(len(names))
     x = [F.col(v) - F.col(f"s_{i}") for i, v in enumerate(names)]
     sums = [F.avg(x[i]).alias(f"a_{i}") for i in k] + [F.avg(x[i] * x[j]).alias(f"p_{i}_{j}") for i in k for j in range(i + 1)]
-    g = rows.groupBy("g_lang", "g_source").agg(*sums, *(F.first(f"s_{i}").alias(f"s_{i}") for i in k))
+    g = rows.groupBy(*GROUP).agg(*sums, *(F.first(f"s_{i}").alias(f"s_{i}") for i in k))
     for i in k:
         for j in range(i + 1):
             c = F.col(f"p_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
@@ -113,11 +121,19 @@ def _estimate(rows: DataFrame) -> DataFrame:
                 c = c - F.col(f"l_{i}_{n}") * F.col(f"l_{j}_{n}")
             g = g.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"l_{j}_{j}"))
     means = [(F.col(f"s_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in k]
-    return g.select("g_lang", "g_source", *means, *(F.col(f"s_{i}") for i in k), *(f"l_{i}_{j}" for i in k for j in range(i + 1)))
+    size = sum((F.log(f"l_{i}_{i}") for i in k), F.lit(0.0)).alias("half_log")
+    return g.select(*GROUP, size, *means, *(F.col(f"s_{i}") for i in k), *(f"l_{i}_{j}" for i in k for j in range(i + 1)))
 
 
 def _quantile(rows: DataFrame, share: float, name: str) -> DataFrame:
-    return rows.groupBy("g_lang", "g_source").agg(F.percentile_approx("d2", share, F.lit(2000)).alias(name))
+    return rows.groupBy(*GROUP).agg(F.percentile_approx("d2", share, F.lit(2000)).alias(name))
+
+
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates from the COVERAGE share of each group's rows that is nearest to the estimates `now`."""
+    near = written(_quantile(_distance(_with_groups(rows, now)), COVERAGE, "q"), "mcd-quantile")
+    inner = _distance(_with_groups(rows, now.join(near, GROUP))).where("d2 <= q")
+    return written(_estimate(inner), "mcd-step")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -129,17 +145,33 @@ def estimates(rows: DataFrame) -> DataFrame:
     apart = [F.percentile_approx(F.abs(F.col(v) - F.col(f"s_{i}")), 0.5, F.lit(2000)).alias(f"b_{i}") for i, v in enumerate(names)]
     spread = _with_groups(rows, start).groupBy("g_lang", "g_source").agg(*apart, *(F.first(f"s_{i}").alias(f"s_{i}") for i in range(len(names))))
     diagonal = [F.lit(0.0).alias(f"l_{i}_{j}") if i != j else F.sqrt((F.col(f"b_{i}") * 1.4826) ** 2 + floors[i] ** 2).alias(f"l_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-    now = spread.select("g_lang", "g_source", *(f"s_{i}" for i in range(len(names))), *(F.col(f"s_{i}").alias(f"m_{i}") for i in range(len(names))), *diagonal)
+    now = spread.select("g_lang", "g_source", F.lit(0).alias("start"), *(f"s_{i}" for i in range(len(names))), *(F.col(f"s_{i}").alias(f"m_{i}") for i in range(len(names))), *diagonal)
     now = written(now, "mcd-start")
-    for _ in range(STEPS):
-        near = written(_quantile(_distance(_with_groups(rows, now)), COVERAGE, "q"), "mcd-quantile")
-        inner = _distance(_with_groups(rows, now.join(near, ["g_lang", "g_source"]))).where("d2 <= q")
-        now = written(_estimate(inner), "mcd-step")
+    with_start = _with_groups(rows, now)
+    gap = sum((F.abs(F.col(v) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}") for i, v in enumerate(names)), F.lit(0.0))
+    half = written(_quantile(with_start.withColumn("d2", gap), 0.5, "q"), "mcd-quantile")
+    nearest = _with_groups(rows, now.join(half, GROUP)).withColumn("d2", gap).where("d2 <= q")
+    first = _estimate(with_start.withColumn("start", F.lit(1))).unionByName(_estimate(nearest.withColumn("start", F.lit(2))))
+    now = written(now.unionByName(first.drop("half_log")), "mcd-starts")
+    for _ in range(FIRST_STEPS):
+        now = _step(rows, now)
+    others = [c for c in now.columns if c not in ("g_lang", "g_source", "half_log")]
+    least = now.groupBy("g_lang", "g_source").agg(F.min(F.struct("half_log", *others)).alias("x"))
+    now = written(least.select("g_lang", "g_source", "x.*"), "mcd-least")
+    for _ in range(MAX_STEPS):
+        then = _step(rows, now)
+        pair = now.alias("a").join(then.alias("b"), GROUP)
+        fall = F.col("a.half_log") - F.col("b.half_log")
+        pick = lambda c, fall=fall: F.when(fall > 0, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+        most = pair.agg(F.max(fall)).first()[0]
+        now = written(pair.select(*GROUP, *(pick(c) for c in now.columns if c not in GROUP)), "mcd-least")
+        if most is None or most <= TOLERANCE:
+            break
     middle = _quantile(_distance(_with_groups(rows, now)), 0.5, "half")
-    half = chi_square_quantile(0.5, len(names))
+    chi = chi_square_quantile(0.5, len(names))
     # never below 1: floors already widen the groups that hardly vary
-    scaled = now.join(middle, ["g_lang", "g_source"]).withColumn("scale", F.greatest(F.col("half") / half, F.lit(1.0)))
-    return written(scaled.drop("half", *(f"s_{i}" for i in range(len(names)))), "mcd")
+    scaled = now.join(middle, GROUP).withColumn("scale", F.greatest(F.col("half") / chi, F.lit(1.0)))
+    return written(scaled.drop("half", "start", "half_log", *(f"s_{i}" for i in range(len(names)))), "mcd")
 
 
 def _pooled(rows: DataFrame) -> DataFrame:
