@@ -10,20 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm import bpe_words, odd_sketch, quality_fm, template_leaks, unit_dedup
-from tickforge.llm.shared import table, written
+from tickforge.llm.shared import spread_join, table, written
 
 #: Not expressible in SQL: a fitted model decides the first stage.
 ORACLE_SQL = None
 
 
+#: Dropped ids that are broadcast at most; with more, documents are joined by doc_id, those of a hot one dealt to several tasks.
+MAX_BROADCAST = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
+    if ids.count() <= MAX_BROADCAST:
+        return docs.join(F.broadcast(ids), "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id IS NOT NULL")
+    rest = spread_join(named, ids, ["doc_id"], named.count(), "text", "left_anti")
+    return rest.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the factorisation machine scores below 0.5."""
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_fm.classify(docs, model).where("score >= 0.5").select(*docs.columns)
+    score = _free(docs, "score")
+    return quality_fm.classify(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +50,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines and passages that an earlier document has; n_chars follows the text."""
-    out = unit_dedup.dedup(docs)
+    removed = _free(docs, "removed")
+    out = unit_dedup.dedup(docs, into=removed)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
