@@ -81,3 +81,17 @@ def test_queries_as_their_sql(spark, name):
     got = queries.QUERIES[name](spark, sf)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark, made, monkeypatch):
+    path, every, _ = made
+    names = ["score", "removed", "removed_", "component_id", "kept", "h", "c0", "a", "b", "id", "sig", "__doc", "__doc_text", "__salt", "rows", "n_tokens", "item_id"]
+    rows = [(i, every[i], "en", "s", len(every[i]), *(f"{n} {i}" for n in names)) for i in [*range(40), 400, 500, 501, 600]]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in names)).repartition(2)
+    for limit in (corpus_pipeline.MAX_BROADCAST, 0):
+        monkeypatch.setattr(corpus_pipeline, "MAX_BROADCAST", limit)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert out.columns == docs.columns and out.schema == docs.schema, name
+            assert all(r[n] == f"{n} {r.doc_id}" for r in out.collect() for n in names), name
+    assert corpus_pipeline.tokenize(spark, docs, path).count() == len(rows)

@@ -144,3 +144,36 @@ def test_a_grammar_leaves_no_frequent_pair():
                 count[pair] += 1
                 used[pair] = k, i
     assert max(count.values()) < repair_store.MIN_COUNT
+
+
+def plain_repair(docs):
+    """Symbols and rules left by replacing the most frequent pair, one at a time."""
+    docs, fresh, rules = [list(map(int, d)) for d in docs], 10**6, 0
+    while True:
+        count = Counter()
+        for d in docs:
+            i = 0
+            while i < len(d) - 1:
+                count[d[i], d[i + 1]] += 1
+                i += 2 if i + 2 < len(d) and d[i] == d[i + 1] == d[i + 2] else 1
+        if not count or count.most_common(1)[0][1] < repair_store.MIN_COUNT:
+            return sum(map(len, docs)), rules
+        pair = count.most_common(1)[0][0]
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                both = i + 1 < len(d) and (d[i], d[i + 1]) == pair
+                out.append(fresh if both else d[i])
+                i += 2 if both else 1
+            docs[k] = out
+        fresh, rules = fresh + 1, rules + 1
+
+
+def test_grammar_is_as_small_as_a_plain_one():
+    r = np.random.default_rng(8)
+    words = [r.integers(0, 200, r.integers(1, 9)) for _ in range(300)]
+    docs = [np.concatenate([words[k] for k in r.zipf(1.4, 60) % 300]).astype("<u4") for _ in range(40)]
+    symbols, rules = plain_repair(docs)
+    shard = repair_store.Shard(repair_store.compress(docs))
+    ours, plain = (3 * s + 12 * n for s, n in ((len(shard.symbols), len(shard.length)), (symbols, rules)))
+    assert ours <= 1.03 * plain, (len(shard.symbols), len(shard.length), symbols, rules)

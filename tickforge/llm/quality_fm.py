@@ -176,17 +176,17 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text"), chars.alias("n_chars"))
 
 
-def classify(docs: DataFrame, model: Machine) -> DataFrame:
-    """The documents with `score`, the probability of label 1."""
+def classify(docs: DataFrame, model: Machine, into: str = "score") -> DataFrame:
+    """The documents with `score`, or a column named otherwise, the probability of label 1."""
     tune(docs.sparkSession)
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c != into]
     n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     given = docs.select(*columns, F.col("text"), n_chars).toDF(*(f"c{k}" for k in range(len(columns))), "text", "n_chars")
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             score = model.scores(batch.column(len(columns)), batch.column(len(columns) + 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(score)], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(score)], names=[*columns, into])
 
     return given.mapInArrow(lean(run), schema)

@@ -14,8 +14,8 @@ File format: Parquet rows (part, shard, n_tokens, doc_ids, payload). A payload i
     u8 plane[3][symbols]
 Expansion lengths let a reader find position i of a document without expanding what stands before it.
 
-Null texts count as empty: the end id only. Equal doc_ids are ordered by a hash of their text; null ones come
-first. An empty table gives no shards and an empty result. Other columns are ignored.
+Null texts count as empty: the end id only. Equal doc_ids are ordered by a hash of their text, and so dealt to
+several tasks; null ones come first. An empty table gives no shards and an empty result. Other columns are ignored.
 """
 
 import json
@@ -281,7 +281,17 @@ class Shard:
         return self.expand(s[a:b])[skip : skip + max(0, end - begin)]
 
     def documents(self) -> list[np.ndarray]:
-        return np.split(self.expand(self.symbols), np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+        """All documents: every rule is expanded once, and its ids are copied to where it stands."""
+        if not len(self.sizes):
+            return []
+        rules = self.expand(np.arange(self.first, self.first + len(self.length), dtype=np.uint32))
+        flat = np.concatenate((np.arange(self.first, dtype=np.uint32), rules))
+        size = np.concatenate((np.ones(self.first, np.int64), self.length))
+        begin = np.cumsum(size) - size
+        n = size[self.symbols]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((begin[self.symbols] - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        return np.split(ids, np.cumsum(self.sizes)[:-1])
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -307,7 +317,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None =
         if names:
             yield row()
 
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(lean(run), SHARDS).write.parquet(path)
 
 

@@ -187,8 +187,9 @@ def ranges_to_remove(u: Units, text: int, spans: np.ndarray) -> list[tuple[int,
     return out
 
 
-def dedup(docs: DataFrame, run_words: int | None = RUN_WORDS, line_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated units taken out of their texts, and `removed`, the ranges taken out."""
+def dedup(docs: DataFrame, run_words: int | None = RUN_WORDS, line_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text", into: str = "removed") -> DataFrame:
+    """The documents with repeated units taken out of their texts, and `removed`, or a column named otherwise, the
+    ranges taken out."""
     tune(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rank = F.struct("doc_id", "span")
@@ -199,8 +200,8 @@ def dedup(docs: DataFrame, run_words: int | None = RUN_WORDS, line_words: int =
     bitmap = bitmap_of(several, "d1", n) if n <= MAX_MEMBERS else None
     later = windows_of(plain, run_words, line_words, bitmap).join(several, ["d1", "d2"]).where(apart)
     places = later.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("repeated"))
-    columns = [c for c in docs.columns if c != "removed"]
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("removed", REMOVED)])
+    columns = [c for c in docs.columns if c != into]
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(into, REMOVED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +222,7 @@ def dedup(docs: DataFrame, run_words: int | None = RUN_WORDS, line_words: int =
             arrays = [batch.column(k) for k in range(len(columns))]
             arrays[columns.index(text_col)] = pa.array(out, pa.string())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind)], names=[*columns, "removed"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind)], names=[*columns, into])
 
     at = "__doc" if "__doc" not in docs.columns else "__doc_"
     places = places.select(F.col("doc_id").alias(at), F.col("text_hash").alias(f"{at}_text"), F.col("repeated").alias(f"{at}_repeated"))
