@@ -24,9 +24,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
     if ids.count() <= MAX_BROADCAST:
         return docs.join(F.broadcast(ids), "doc_id", "left_anti").select(*docs.columns)
-    named = docs.where("doc_id IS NOT NULL")
-    rest = spread_join(named, ids, ["doc_id"], named.count(), "text", "left_anti")
-    return rest.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("row"))
+    rest = spread_join(named, ids, ["doc_id"], named.count(), "mark", "left_anti")
+    return rest.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def _free(docs: DataFrame, name: str) -> str:
