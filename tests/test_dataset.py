@@ -158,7 +158,132 @@ def test_command_line(spark, stream, tmp_path):
         stream.where(F.col("day") == d).write.parquet(str(tmp_path / "in" / "T" / (d.replace("-", "") + ".parquet")))
     c = made(data=config.Data("T", str(tmp_path / "in"), dates=["2024-10-04", "2024-10-05", "2024-10-06"]), output=str(tmp_path / "out"), split=config.Split(0.5, 0.5))
     c.save(str(tmp_path / "c.toml"))
+    with pytest.raises(dataset.Invalid, match="level spreads"):  # prices at random cross
+        main(["--config", str(tmp_path / "c.toml")])
+    c.least_spreads = 0.1
+    c.save(str(tmp_path / "c.toml"))
     assert main(["--config", str(tmp_path / "c.toml")]) == 0
+    facts = json.loads((tmp_path / "out" / "2024-10-05_normalization.json").read_text())
+    assert facts["std_ask_price_0"] > 0 and facts["mean_ask_price_0"] == facts["mean_bid_price_0"]
+    assert json.loads((tmp_path / "out" / "2024-10-05_horizons.json").read_text())["horizons"] == [3, 5]
     got = json.loads((tmp_path / "out" / "manifest.json").read_text())
     assert set(got["splits"]) == {"train", "val"} and (tmp_path / "out" / "2024-10-05_sequences.npy").exists()
     assert main([]) == 2
+
+
+def test_returns_are_written_as_they_are(spark, stream, tmp_path):
+    c = made(labels=config.Labels(strategy="magnitude", horizons=[3, 5]))
+    s = materialized(dataset.samples(stream, c), "samples")
+    x = materialized(dataset.aligned(s, c), "aligned")
+    got = export.numpy_days(x, str(tmp_path / "out"), ["label_3", "label_5"], c).collect()
+    for r in got:
+        want = np.array([[a.label_3, a.label_5] for a in x.where(F.col("day") == r.day).orderBy("seq_id").collect()], np.float32)
+        written = np.load(tmp_path / "out" / f"{r.day}_labels.npy")
+        assert written.dtype == np.float32 and np.array_equal(written, want) and np.abs(written).max() > 0
+    with pytest.raises(ValueError, match="one byte"):
+        export.label_array([np.array([0.5, 1.0])], False)
+    with pytest.raises(ValueError, match="one byte"):
+        export.label_array([np.array([300])], False)
+
+
+def test_symbols_of_a_day_are_apart(spark, stream):
+    c = made()
+    both = stream.withColumn("symbol", F.lit("X")).unionByName(stream.withColumn("symbol", F.lit("Y")).withColumn("price", F.col("price") * 2))
+    keys = ("symbol", "day")
+    s = materialized(dataset.samples(both, c, keys=keys), "samples")
+    one = dataset.samples(stream, c).drop("day").orderBy("seq").collect()
+    assert s.where("symbol = 'X'").drop("symbol", "day").orderBy("seq").collect() == one
+    assert s.where("symbol = 'Y'").count() == len(one)
+    x = dataset.aligned(s, c, keys)
+    assert x.groupBy("symbol", "day").count().count() == 4
+
+
+def test_scales_replace_the_sequences(spark, stream):
+    c = made(sequences=config.Sequences(10, 5, {"fast": [1, 8], "slow": [3, 6]}), normalization=config.Normalization(*["none"] * 4))
+    s = materialized(dataset.samples(stream, c), "samples")
+    wanted = {(r.day, r.t) for r in dataset.label_rows(s, c).collect()}
+    values = {(r.day, r.sample_idx): r.mid_price for r in s.collect()}
+    got = dataset.aligned(s, c).collect()
+    want = {(n, day, (t // d) - (w - 1)) for n, (d, w) in c.sequences.scales.items() for day, t in wanted if t % d == 0 and t // d >= w - 1}
+    assert {(r.scale, r.day, r.seq_id) for r in got} == want and len(got) == len(want)
+    for r in got[:50]:
+        d, w = c.sequences.scales[r.scale]
+        assert [v[40] for v in r.features] == [values[r.day, (r.seq_id + k) * d] for k in range(w)]
+
+
+def test_stale_orders_are_evicted(spark):
+    """Against a plain tracker: the oldest ids of those that are too old go at every n-th message."""
+    from tickforge.operators import mbo
+
+    r = random.Random(3)
+    data, t = [], 0
+    for i in range(600):
+        t += r.randint(1, 100)
+        data.append(("d", i, t, r.choice("AAAACTM"), "B", r.randint(1, 150), 100, r.randint(1, 9)))
+    messages = spark.createDataFrame(data, "day string, seq long, ts_ns long, action string, side string, order_id long, price long, size long")
+    limit, batch, age, every = 20, 5, 2000, 10
+    active, want, gone = {}, {}, 0
+    for day, seq, ts, action, _, order, _, size in data:
+        if action == "A":
+            active[order] = [ts, size]
+        elif action == "C":
+            active.pop(order, None)
+        elif action == "T" and order in active:
+            active[order][1] -= size
+            if active[order][1] <= 0:
+                del active[order]
+        if (seq + 1) % every == 0 and len(active) > limit:
+            for o in sorted(o for o, (made_at, _) in active.items() if made_at < ts - age)[:batch]:
+                del active[o]
+                gone += 1
+        want[seq] = len(active)
+    from tickforge.functions.folds import fold
+
+    rows = mbo.with_evictions(fold(messages, [mbo.evictions(limit, batch, age, every)]))
+    got = mbo.without_evictions(mbo.order_columns(mbo.lifecycles(rows)))
+    counted = {x.seq: x.active_order_count for x in got.collect()}
+    assert gone > 20 and set(counted) == set(want)
+    late = {s: n for s, n in counted.items() if (s + 1) % every}  # an eviction counts from the next message on
+    assert all(want[s] == n for s, n in late.items())
+
+
+def test_normalisation_strategies(spark):
+    from tickforge.operators import normalize
+
+    data = [("d", i, float(1 + i % 7), float(2 + i % 5), float(i % 3), 1) for i in range(60)]
+    rows = spark.createDataFrame(data, "day string, sample_idx long, ask_price_0 double, bid_price_0 double, x double, weight long")
+    columns = ["ask_price_0", "bid_price_0", "x"]
+    a, b, x = (np.array([r[k] for r in data]) for k in (2, 3, 4))
+    want = {
+        "percentage": lambda v: (v - v.mean()) / v.mean(), "min_max": lambda v: (v - v.min()) / (v.max() - v.min()), "min_max_signed": lambda v: 2 * (v - v.min()) / (v.max() - v.min()) - 1,
+        "bilinear": lambda v: (v - v.mean()) / 0.5, "z": lambda v: (v - v.mean()) / (v.std() + 1e-8),
+    }
+    for name, f in want.items():
+        got = normalize.apply(rows, normalize.statistics(rows, columns, name), columns, strategy=name).orderBy("sample_idx").collect()
+        for c, v in zip(columns, (a, b, x), strict=True):
+            assert np.allclose([r[c] for r in got], f(v)), (name, c)
+    mixed = {"ask_price_0": "z", "bid_price_0": "z", "x": "min_max"}
+    got = normalize.apply(rows, normalize.statistics(rows, columns, mixed, ask_side=True), columns, strategy=mixed).orderBy("sample_idx").collect()
+    assert np.allclose([r.bid_price_0 for r in got], (b - a.mean()) / (a.std() + 1e-8)) and np.allclose([r.x for r in got], want["min_max"](x))
+    for name in config.NORMALIZATIONS:
+        c = config.Dataset(normalization=name).validate()
+        assert config.Dataset.from_dict(c.to_dict()) == c and c.normalization.applied == (name not in ("none", "raw", "tlob_paper"))
+
+
+def test_sequence_facts(spark):
+    from tickforge.operators import sequences
+
+    rows = spark.createDataFrame([("d", i, i * 2_000_000_000) for i in range(25)], "day string, sample_idx long, ts_ns long")
+    assert tuple(sequences.statistics(rows, 10, 5, 20).first()) == ("d", 25, 4, 20, 1.0)
+    one = sequences.ends(rows, 10, 5).select(sequences.duration_seconds().alias("s"), sequences.average_interval().alias("i")).first()
+    assert (one.s, one.i) == (18.0, 2.0)
+    with pytest.raises(ValueError, match="missing"):
+        sequences.materialize(rows, ["nothing"], 10, 5)
+
+
+def test_tensors_are_written(spark, stream, tmp_path):
+    for layout, shape in (("deeplob", (10, 4, 10)), ("image", (10, 3, 4, 10))):
+        c = made(tensor=layout)
+        x = dataset.aligned(materialized(dataset.samples(stream, c), "samples"), c)
+        export.numpy_days(x, str(tmp_path / layout), ["label_3", "label_5"], c).collect()
+        assert np.load(tmp_path / layout / "2024-10-04_sequences.npy").shape[1:] == shape

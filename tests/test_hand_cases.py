@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from tickforge.functions.frames import last_rows
 from tickforge.operators import align, book, experimental, flow, labels, lob, mbo, normalize, queue, sampling, sequences
 
 DAY = "2025-01-06"
@@ -50,7 +51,7 @@ def test_order_flow_imbalance(spark):
 
 
 def test_size_percentiles_use_the_floor_index(spark):
-    got = mbo.size_features(sizes(spark, range(1, 11)), 100).where("seq = 9").first()
+    got = mbo.size_features(sizes(spark, range(1, 11)), 100, F.lit(True)).where("seq = 9").first()
     assert (got.size_p25, got.size_p50, got.size_p75, got.size_p90) == (3, 6, 8, 10)
 
 
@@ -196,6 +197,8 @@ def test_windows_of_sampled_rows_as_frames(spark):
     x = x.unionByName(x.where("seq < 30").withColumn("day", F.lit("2025-01-07")))
     for window in (1, 7, 60, 400):
         at = F.col("seq") % 13 == 4
-        for op in (mbo.size_features, mbo.flow_volatility):
-            a = op(x, window).where(at).orderBy("day", "seq").collect()
-            assert a == op(x, window, at=at).select(*op(x, window).columns).orderBy("day", "seq").collect()
+        frame = F.collect_list(F.struct("size", "side", "action")).over(last_rows(window))
+        framed = x.withColumns({"duration": mbo.duration(window), "window": frame})
+        for op, columns in ((mbo.size_features, mbo.size_columns), (mbo.flow_volatility, mbo.flow_volatility_column)):
+            got = op(x, window, at)
+            assert columns(framed).where(at).select(*got.columns).orderBy("day", "seq").collect() == got.orderBy("day", "seq").collect()

@@ -8,7 +8,7 @@ from tickforge.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-ONE_EXCHANGE = ["orderflow_cum", "mlofi", "fi2010_ts", "mbo_rates", "mbo_size_pct", "label_tlob", "label_barrier", "label_magnitude", "rolling_vol", "seq_index", "norm_zscore", "exp_mod_cancel"]
+ONE_EXCHANGE = ["orderflow_cum", "mlofi", "fi2010_ts", "mbo_rates", "mbo_size_pct", "label_tlob", "label_barrier", "label_magnitude", "rolling_vol", "seq_index", "norm_zscore", "exp_mod_cancel", "signals14", "mbo_flow_vol", "exp_lots", "exp_sweep", "exp_vol"]
 
 
 def plan_of(spark, name):
@@ -28,6 +28,14 @@ def test_one_exchange(spark, name):
     assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
+@pytest.mark.parametrize("name", ["samples116", "samples116_rebuilt"])
+def test_samples_come_from_few_exchanges(spark, name):
+    """All windows from one partitioning by day, and one more for the blocks of ended orders."""
+    plan = plan_of(spark, name)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 3, re.findall(r"Exchange [^,]*,", plan)
+    assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
 def test_scans_are_pruned(spark):
     plan = plan_of(spark, "label_tlob")
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
@@ -35,7 +43,7 @@ def test_scans_are_pruned(spark):
 
 
 def test_folds_are_the_only_python(spark):
-    folds = {"sample_volume", "sample_volume_stats", "exp_price_clustering", "book_reconstruct", "queue_positions", "samples116", "dataset_sequences"}
+    folds = {"sample_volume", "sample_volume_stats", "exp_price_clustering", "book_reconstruct", "queue_positions", "samples116", "samples116_rebuilt", "dataset_sequences"}
     for name in QUERIES:
         if name not in folds:
             assert not re.search(r"PythonUDF|InPandas|InArrow", plan_of(spark, name)), name

@@ -1,8 +1,12 @@
 """python -m tickforge --config FILE | --generate-config FILE: export a dataset, or write a configuration to start from."""
 
 import argparse
+import functools
 import json
-from pathlib import Path
+import re
+
+
+from tickforge.config import to_toml
 
 
 def main(args: list[str] | None = None) -> int:
@@ -29,22 +33,42 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+def messages(spark, config):
+    """The messages of the configured days that there are files of: Parquet, or DBN by the template's ending. With
+    a column `symbol`, symbols of a day are kept apart."""
+    from tickforge.operators import export as sinks
+    from tickforge.sources.messages import DbnSource
+
+    files = [f for f in map(config.data.file, config.data.days()) if sinks.exists(f)]
+    if not files:
+        raise FileNotFoundError("no file of the configured days")
+    if not re.search(r"\.dbn(\.zst)?$", files[0]):
+        return spark.read.parquet(*files)
+    spark.dataSource.register(DbnSource)
+    parts = [spark.read.format("dbn").load(f) for f in files]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def export(spark, config) -> dict:
-    """Write the configured days as NumPy files below the output folder, by split, with a manifest."""
+    """Check and write the configured days as NumPy files below the output folder, by split, with a manifest."""
     from tickforge.functions.tables import materialized
     from tickforge.operators import align, export as sinks
     from tickforge.plans import dataset
 
-    files = [f for f in map(config.data.file, config.data.days()) if Path(f).exists()]
-    if not files:
-        raise FileNotFoundError("no file of the configured days")
-    rows = materialized(dataset.samples(spark.read.parquet(*files), config), "samples")
+    given = messages(spark, config)
+    keys = ("symbol", "day") if "symbol" in given.columns else ("day",)
+    rows = materialized(dataset.samples(given, config, keys=keys), "samples")
+    warnings = dataset.check(rows, config, dataset.label_rows(rows, config, keys))
     splits = {str(r.day): r.split for r in align.split_days(rows.select("day").distinct(), config.split.train, config.split.val).collect()}
-    sequences = dataset.aligned(rows, config)
+    sequences = dataset.aligned(rows, config, keys)
+    stats = None
+    if config.normalization.applied and not config.sequences.scales:
+        stats = dataset.day_statistics(rows, config, config.sequences.window, config.sequences.stride, keys)[1]
     labels = [c for c in sequences.columns if c.startswith("label_")]
-    out = sinks.manifest(config, sinks.numpy_days(sequences, config.output, labels, config), splits)
-    Path(config.output, "manifest.json").write_text(json.dumps(out, indent=2))
-    config.save(str(Path(config.output, "config.toml")))
+    out = sinks.manifest(config, sinks.numpy_days(sequences, config.output, labels, config, keys, stats), splits)
+    out["warnings"] = warnings
+    sinks.save(f"{config.output}/manifest.json", json.dumps(out, indent=2).encode())
+    sinks.save(f"{config.output}/config.toml", to_toml(config.to_dict()).encode())
     return out
 
 

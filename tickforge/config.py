@@ -34,6 +34,8 @@ class Features:
     mbo_window: int = 1000
     fast_window: int = 100
     slow_window: int = 5000
+    #: Active orders above which stale ones are evicted from the order statistics; 0: never.
+    max_orders: int = 50_000
     tick: int = contract.TICK
 
     @property
@@ -46,6 +48,7 @@ class Features:
 
     def validate(self) -> None:
         _need(1 <= self.levels <= 50, "levels must be 1 to 50")
+        _need(self.max_orders >= 0, "max_orders must not be below 0")
         _need(self.tick > 0, "tick must be above 0")
         _need(not self.signals or (self.derived and self.mbo and self.levels == 10), "signals need derived and mbo features and 10 levels")
         _need(not self.queue or self.mbo, "queue tracking needs mbo features")
@@ -93,6 +96,8 @@ class Labels:
     threshold_window: int = 1000
     profit: float = 0.005
     stop: float = 0.003
+    profits: list[float] = field(default_factory=list)
+    stops: list[float] = field(default_factory=list)
     min_hold: int = 0
     timeout: str = "timeout"
     conflict: str = "larger"
@@ -108,7 +113,14 @@ class Labels:
     def all_horizons(self) -> list[int]:
         return sorted({h for h in (self.horizons or [self.horizon]) if h > 0})
 
+    def barriers(self, horizon: int) -> tuple[float, float]:
+        """Profit and stop of a horizon."""
+        at = self.all_horizons.index(horizon)
+        return self.profits[at] if self.profits else self.profit, self.stops[at] if self.stops else self.stop
+
     def validate(self) -> None:
+        for given in (self.profits, self.stops):
+            _need(not given or len(given) == len(self.all_horizons) and min(given) > 0, "per-horizon barriers need one value above 0 for each horizon")
         _need(self.strategy in ("tlob", "deeplob", "opportunity", "triple_barrier", "magnitude"), f"unknown labels {self.strategy}")
         _need(bool(self.all_horizons), "a horizon above 0 is needed")
         _need(self.threshold_kind in ("fixed", "spread", "quantile", "dynamic"), f"unknown threshold {self.threshold_kind}")
@@ -157,6 +169,51 @@ class Data:
         _need(days == sorted(days), "dates must be in order")
 
 
+@dataclass
+class Normalization:
+    """The strategy of each group of columns; signals and experimental features always stay as they are."""
+
+    prices: str = "market"
+    sizes: str = "market"
+    derived: str = "z"
+    mbo: str = "z"
+    bilinear_scale: float = 50.0
+    #: Statistics of price and size levels from the ask side only, applied to both sides; else each column's own.
+    ask_side: bool = False
+
+    @property
+    def applied(self) -> bool:
+        return {self.prices, self.sizes, self.derived, self.mbo} != {"none"}
+
+    def strategies(self) -> dict[str, str]:
+        """The strategy of each column of the contract that has one."""
+        out = {n: self.prices if "_price_" in n else self.sizes for n in contract.RAW}
+        out |= dict.fromkeys(contract.DERIVED, self.derived) | dict.fromkeys(contract.MBO, self.mbo)
+        return {n: s for n, s in out.items() if s != "none"}
+
+    def validate(self) -> None:
+        for part in (self.prices, self.sizes, self.derived, self.mbo):
+            _need(part in NORMALIZERS, f"unknown normalisation {part}")
+        _need(self.derived not in ("market",) and self.mbo not in ("market",), "only price and size levels can be pooled by level")
+        _need(self.bilinear_scale > 0, "the bilinear scale must be above 0")
+
+
+NORMALIZERS = ("none", "z", "market", "global", "percentage", "min_max", "min_max_signed", "bilinear")
+#: Named combinations of strategies for prices, sizes, derived and message features.
+NORMALIZATIONS = {
+    "none": ("none", "none", "none", "none"),
+    "z": ("z", "z", "z", "z"),
+    "market": ("market", "market", "z", "z"),
+    "global": ("global", "global", "z", "z"),
+    "raw": ("none", "none", "none", "none"),
+    "tlob_paper": ("none", "none", "none", "none"),
+    "tlob_repo": ("global", "global", "none", "none"),
+    "deeplob": ("z", "z", "none", "none"),
+    "lobench": ("global", "global", "global", "global"),
+    "fi2010": ("z", "z", "z", "none"),
+}
+
+
 @dataclass
 class Dataset:
     name: str = "dataset"
@@ -166,15 +223,23 @@ class Dataset:
     sequences: Sequences = field(default_factory=Sequences)
     labels: Labels = field(default_factory=Labels)
     split: Split = field(default_factory=Split)
-    normalization: str = "market"
+    normalization: Normalization = field(default_factory=Normalization)
+    tensor: str = "flat"
+    #: Share of level spreads above 0 without which an export stops.
+    least_spreads: float = 0.99
     output: str = ""
 
+    def __post_init__(self):
+        if isinstance(self.normalization, str):
+            _need(self.normalization in NORMALIZATIONS, f"unknown normalisation {self.normalization}")
+            self.normalization = Normalization(*NORMALIZATIONS[self.normalization])
+
     def validate(self) -> "Dataset":
         for f in dataclasses.fields(self):
             part = getattr(self, f.name)
             if hasattr(part, "validate"):
                 part.validate()
-        _need(self.normalization in ("none", "z", "market", "global"), f"unknown normalisation {self.normalization}")
+        _need(self.tensor in ("flat", "deeplob", "hlob", "image"), f"unknown tensor layout {self.tensor}")
         return self
 
     def to_dict(self) -> dict:
@@ -227,8 +292,21 @@ PRESETS = {
 }
 LABEL_PRESETS = {
     "default": lambda: Labels(horizon=10, smoothing=5, threshold=0.002),
+    "hft": lambda: Labels(horizon=10, smoothing=5, threshold=0.0002),
+    "short": lambda: Labels(horizon=50, smoothing=10, threshold=0.002),
+    "medium": lambda: Labels(horizon=100, smoothing=20, threshold=0.005),
+    "fi2010": lambda: Labels(horizon=10, smoothing=10, threshold=0.002),
+    "multi_tlob": lambda: Labels(horizons=[1, 3, 5, 10, 30, 50], smoothing=5, threshold=0.002),
+    "multi_hft": lambda: Labels(horizons=[5, 10, 20], smoothing=3, threshold=0.0002),
+    "opportunity_medium": lambda: Labels(strategy="opportunity", horizon=50, threshold=0.005),
+    "opportunity_whale": lambda: Labels(strategy="opportunity", horizon=100, threshold=0.01),
+    "opportunity_extreme": lambda: Labels(strategy="opportunity", horizon=200, threshold=0.02),
+    "barrier_scalping": lambda: Labels(strategy="triple_barrier", horizon=20, profit=0.002, stop=0.0015),
+    "barrier_intraday": lambda: Labels(strategy="triple_barrier", horizon=100, profit=0.005, stop=0.003),
+    "barrier_swing": lambda: Labels(strategy="triple_barrier", horizon=500, profit=0.01, stop=0.005),
+    "barrier_per_horizon": lambda: Labels(strategy="triple_barrier", horizons=[20, 100, 500], profits=[0.002, 0.005, 0.01], stops=[0.0015, 0.003, 0.005]),
     "multi_fi2010": lambda: Labels(horizons=[10, 20, 30, 50, 100], smoothing=5, threshold=0.002),
-    "multi_deeplob": lambda: Labels(strategy="deeplob", horizons=[10, 20, 50, 100], threshold=0.002),
+    "multi_deeplob": lambda: Labels(horizons=[10, 20, 50, 100], smoothing=5, threshold=0.002),
     "spread_adaptive": lambda: Labels(threshold_kind="spread", threshold=1.0, threshold_window=1000),
     "balanced": lambda: Labels(threshold_kind="quantile", threshold=0.33),
     "dynamic": lambda: Labels(threshold_kind="dynamic", threshold=2.0),
@@ -289,6 +367,18 @@ class Builder:
     def with_multiscale(self, scales: dict[str, list[int]] | None = None) -> "Builder":
         return self._set("sequences", scales=scales or {"fast": [1, 100], "medium": [2, 500], "slow": [4, 1000]})
 
+    def with_normalization(self, preset: str) -> "Builder":
+        self.config.normalization = Normalization(*NORMALIZATIONS[preset])
+        return self
+
+    def with_labels(self, preset: str) -> "Builder":
+        self.config.labels = LABEL_PRESETS[preset]()
+        return self
+
+    def tensor(self, layout: str) -> "Builder":
+        self.config.tensor = layout
+        return self
+
     def experiment(self, name: str) -> "Builder":
         self.config.name = name
         return self

@@ -21,7 +21,11 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder named by spark.checkpoint.dir (a temporary one where it is unset) and read again,
     so that branches don't repeat the work and a lost executor loses none of it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _temporary()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,8 +6,10 @@ joins; the windows of samples are cut out of blocks of messages. Rates divide by
 (`span=False`), or by the time that the window spans.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickforge.contract import DIVISION_GUARD, NANO, TICK
 from tickforge.functions import books
@@ -133,7 +135,7 @@ def book_features(levels: int = 10, tick: int = TICK) -> dict[str, Column]:
 def lifecycles(messages: DataFrame, keys: tuple[str, ...] = DAY) -> DataFrame:
     """Adds the state of each message's order to the messages of known orders, by windows over each order.
 
-    An Add begins a life, and replaces one that is under way; a Cancel ends it, and so does a Trade that takes
+    An Add begins a life, and replaces one that is under way; a Cancel ends it, and so does an eviction, or a Trade that takes
     the rest of its size. A Modify is counted, up to 255, and leaves the size alone. Messages of orders that
     aren't alive stay without a life. Columns: life (its number, null outside), created, original, filled,
     mods, fills_before, begins, ends, replaced (the creation of a life that this Add replaces)."""
@@ -142,7 +144,7 @@ def lifecycles(messages: DataFrame, keys: tuple[str, ...] = DAY) -> DataFrame:
     m = messages.withColumn("life", F.sum((F.col("action") == "A").cast("int")).over(w))
     one = Window.partitionBy(*by, "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     trade = F.when(F.col("action") == "T", F.col("size")).otherwise(0)
-    m = m.withColumns({"created": F.first("ts_ns").over(one), "original": F.first("size").over(one), "__sold": F.sum(trade).over(one), "mods": F.least(F.sum((F.col("action") == "M").cast("int")).over(one), F.lit(255)), "__cancelled": F.max((F.col("action") == "C").cast("int")).over(one), "__trades": F.sum((F.col("action") == "T").cast("int")).over(one)})
+    m = m.withColumns({"created": F.first("ts_ns").over(one), "original": F.first("size").over(one), "__sold": F.sum(trade).over(one), "mods": F.least(F.sum((F.col("action") == "M").cast("int")).over(one), F.lit(255)), "__cancelled": F.max(F.col("action").isin("C", EVICT).cast("int")).over(one), "__trades": F.sum((F.col("action") == "T").cast("int")).over(one)})
     m = m.withColumn("__over", (F.col("life") > 0) & ((F.col("__cancelled") == 1) | (F.col("__sold") >= F.col("original"))))
     was = Window.partitionBy(*by, "life").orderBy("seq")
     m = m.withColumn("__dead", F.coalesce(F.lag("__over").over(was), F.lit(False)) | (F.col("life") == 0))
@@ -164,6 +166,57 @@ def lifecycles(messages: DataFrame, keys: tuple[str, ...] = DAY) -> DataFrame:
     return m.withColumn("life", F.when(~F.col("__dead"), F.col("life"))).drop("__sold", "__cancelled", "__trades", "__over", "__dead", "replaced_fill")
 
 
+EVICT = "E"
+
+
+def evictions(limit: int = 50_000, batch: int = 5_000, age_ns: int = 3_600_000_000_000, every: int = 1_000):
+    """A state for a fold: at every `every`-th message, where more than `limit` orders are active, the ids of the
+    `batch` lowest-numbered ones that are older than `age_ns`."""
+
+    class State:
+        fields = [T.StructField("evicted", T.ArrayType(T.LongType()))]
+
+        def __init__(self):
+            self.seen, self.active = 0, {}  # order: [created, rest]
+
+        def __call__(self, given: dict) -> dict:
+            out, active = [], self.active
+            for action, order, size, ts in zip(*(given[c].to_pylist() for c in ("action", "order_id", "size", "ts_ns")), strict=True):
+                gone = None
+                if action == "A":
+                    active[order] = [ts, size]
+                elif action == "C":
+                    active.pop(order, None)
+                elif action == "T" and order in active:
+                    active[order][1] -= size
+                    if active[order][1] <= 0:
+                        del active[order]
+                self.seen += 1
+                if self.seen % every == 0 and len(active) > limit:
+                    gone = sorted(o for o, (created, _) in active.items() if created < ts - age_ns)[:batch]
+                    for o in gone:
+                        del active[o]
+                out.append(gone)
+            return {"evicted": pa.array(out, pa.list_(pa.int64()))}
+
+    return State
+
+
+def with_evictions(messages: DataFrame) -> DataFrame:
+    """Messages with a row of the action EVICT for each order in `evicted`, behind the message that evicts it. For
+    that `seq` is doubled; see `without_evictions`."""
+    rows = messages.withColumn("seq", F.col("seq") * 2)
+    left = {"seq": F.col("seq") + 1, "action": F.lit(EVICT), "order_id": F.col("__order"), "size": F.lit(0).cast(messages.schema["size"].dataType)}
+    extra = rows.where("size(evicted) > 0").withColumn("__order", F.explode("evicted")).withColumns(left)
+    if "fires" in messages.columns:
+        extra = extra.withColumn("fires", F.lit(False))
+    return rows.unionByName(extra.drop("__order")).drop("evicted")
+
+
+def without_evictions(messages: DataFrame) -> DataFrame:
+    return messages.where(F.col("action") != EVICT).withColumn("seq", (F.col("seq") / 2).cast("long"))
+
+
 def order_features(messages: DataFrame, kept: int = 1000, keys: tuple[str, ...] = DAY) -> DataFrame:
     """Adds active_order_count, avg_order_age, avg_time_to_first_fill, and the means over the last `kept`
     orders that ended: modification_score, avg_fill_ratio, median_order_lifetime, iceberg_proxy."""

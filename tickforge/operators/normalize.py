@@ -68,28 +68,59 @@ def pool_of(strategy: str, name: str, side: str, kind: str, level: str) -> str:
     return name
 
 
-def statistics(weighted: DataFrame, columns: list[str], strategy: str = "z", keys: tuple[str, ...] = DAY) -> DataFrame:
-    """(keys, mean_<column>, std_<column>): weighted, population; a variance of 1e-8 or less gives 1.
-
-    z: each column; market: ask and bid of a level and kind pooled; global: all prices, and all sizes, pooled."""
-    w = F.col("weight")
-    pools: dict[str, list[str]] = {}
+def _pools(columns: list[str], strategy: str | dict[str, str], ask_side: bool = False) -> list[tuple[list[str], list[str]]]:
+    """(columns that give a statistic, columns that it is for)."""
+    out: dict[str, tuple[list[str], list[str]]] = {}
     for c in columns:
+        kind_of = strategy if isinstance(strategy, str) else strategy[c]
         side, kind, level = c.split("_") if c.count("_") == 2 and c[:3] in ("ask", "bid") else ("", c, "")
-        pools.setdefault(pool_of(strategy, c, side, kind, level) if level else c, []).append(c)
-    of = lambda x: [(sum((F.sum(w * x(k, c)) for c in ms), F.lit(0.0)) / (F.sum(w) * len(ms))).alias(f"__{k}") for k, ms in enumerate(pools.values())]
-    means = weighted.groupBy(*keys).agg(*of(lambda _, c: F.col(c))).withColumnsRenamed({f"__{k}": f"__m{k}" for k in range(len(pools))})
+        name = pool_of(kind_of, c, side, kind, level) if level else c
+        if level and ask_side and kind_of not in ("market", "global"):
+            name = f"{kind}_{level}"
+        sources, targets = out.setdefault(name, ([], []))
+        targets.append(c)
+        if not (level and ask_side and kind_of not in ("market", "global") and side == "bid"):
+            sources.append(c)
+    return list(out.values())
+
+
+def statistics(weighted: DataFrame, columns: list[str], strategy: str | dict[str, str] = "z", keys: tuple[str, ...] = DAY, ask_side: bool = False) -> DataFrame:
+    """(keys, mean_<column>, std_<column>, low_<column>, high_<column>): weighted, population; a variance of 1e-8 or
+    less gives a deviation of 1; extremes are those of the samples in any window.
+
+    z and the others: each column; market: ask and bid of a level and kind pooled; global: all prices, and all sizes,
+    pooled. `strategy` may be given for each column. `ask_side`: columns that aren't pooled take the ask's."""
+    w = F.col("weight")
+    pools = _pools(columns, strategy, ask_side)
+    of = lambda x: [(sum((F.sum(w * x(k, c)) for c in ms), F.lit(0.0)) / (F.sum(w) * len(ms))).alias(f"__{k}") for k, (ms, _) in enumerate(pools)]
+    edge = lambda f, g, ms: g(*xs) if len(xs := [f(F.when(w > 0, F.col(c))) for c in ms]) > 1 else xs[0]
+    extremes = [x.alias(f"{n}{k}") for k, (ms, _) in enumerate(pools) for n, x in (("__l", edge(F.min, F.least, ms)), ("__h", edge(F.max, F.greatest, ms)))]
+    means = weighted.groupBy(*keys).agg(*of(lambda _, c: F.col(c)), *extremes).withColumnsRenamed({f"__{k}": f"__m{k}" for k in range(len(pools))})
     # the second moments about the means: prices vary by far less than they are
     away = lambda k, c: (F.col(c) - F.col(f"__m{k}")) * (F.col(c) - F.col(f"__m{k}"))
-    both = weighted.join(means, [*keys]).groupBy(*keys).agg(*of(away), *(F.first(f"__m{k}").alias(f"__m{k}") for k in range(len(pools))))
+    kept = [f"{n}{k}" for k in range(len(pools)) for n in ("__m", "__l", "__h")]
+    both = weighted.join(means, [*keys]).groupBy(*keys).agg(*of(away), *(F.first(n).alias(n) for n in kept))
     out = {}
-    for k, ms in enumerate(pools.values()):
-        for c in ms:
-            out[f"mean_{c}"], out[f"std_{c}"] = F.col(f"__m{k}"), F.when(F.col(f"__{k}") <= 1e-8, 1.0).otherwise(F.sqrt(f"__{k}"))
+    for k, (_, targets) in enumerate(pools):
+        for c in targets:
+            out |= {f"mean_{c}": F.col(f"__m{k}"), f"std_{c}": F.when(F.col(f"__{k}") <= 1e-8, 1.0).otherwise(F.sqrt(f"__{k}")), f"low_{c}": F.col(f"__l{k}"), f"high_{c}": F.col(f"__h{k}")}
     return both.select(*keys, *(x.alias(n) for n, x in out.items()))
 
 
-def apply(samples: DataFrame, stats: DataFrame, columns: list[str], keys: tuple[str, ...] = DAY) -> DataFrame:
+def applied(c: str, strategy: str, bilinear_scale: float = 50.0) -> Column:
+    """A column by the statistics beside it."""
+    mean, x = F.col(f"mean_{c}"), F.col(c)
+    if strategy == "percentage":
+        return F.when(F.abs(mean) > 1e-8, (x - mean) / mean).otherwise(0.0)
+    if strategy in ("min_max", "min_max_signed"):
+        return min_max(x, F.col(f"low_{c}"), F.col(f"high_{c}"), strategy == "min_max_signed")
+    if strategy == "bilinear":
+        return (x - mean) / (bilinear_scale * 0.01)
+    return (x - mean) / (F.col(f"std_{c}") + LEAST_STD)
+
+
+def apply(samples: DataFrame, stats: DataFrame, columns: list[str], keys: tuple[str, ...] = DAY, strategy: str | dict[str, str] = "z", bilinear_scale: float = 50.0) -> DataFrame:
     """Columns by their day's statistics; all others, as signals, stay as they are."""
+    kind = lambda c: strategy if isinstance(strategy, str) else strategy[c]
     joined = samples.join(stats, [*keys])
-    return joined.select(*(((F.col(c) - F.col(f"mean_{c}")) / (F.col(f"std_{c}") + LEAST_STD)).alias(c) if c in columns else F.col(c) for c in samples.columns))
+    return joined.select(*(applied(c, kind(c), bilinear_scale).alias(c) if c in columns else F.col(c) for c in samples.columns))

@@ -35,11 +35,43 @@ def offsets(samples: DataFrame, window: int, stride: int, order: str = "sample_i
 
 def materialize(samples: DataFrame, columns: list[str], window: int, stride: int, order: str = "sample_idx", keys: tuple[str, ...] = DAY) -> DataFrame:
     """(keys, seq_id, features): arrays of `window` feature vectors; for sinks, as rows repeat window / stride times."""
+    width_check(samples, columns)
     members = offsets(samples, window, stride, order, keys).join(samples.select(*keys, F.col(order).alias("sample_idx"), F.array(*(F.col(c).cast("double") for c in columns)).alias("__v")), [*keys, "sample_idx"])
     rows = members.groupBy(*keys, "seq_id").agg(F.array_sort(F.collect_list(F.struct("offset", "__v"))).alias("__m"))
     return rows.select(*keys, "seq_id", F.col("__m.__v").alias("features"))
 
 
+def flat(features) -> "F.Column":
+    """A sequence [T][F] as one array."""
+    return F.flatten(features)
+
+
+def duration_seconds() -> "F.Column":
+    """Of a row of `ends`."""
+    return F.col("duration_ns") / 1e9
+
+
+def average_interval() -> "F.Column":
+    """Mean seconds between the samples of a row of `ends`; 0 for one sample."""
+    return F.when(F.col("length") > 1, duration_seconds() / (F.col("length") - 1)).otherwise(0.0)
+
+
+def statistics(samples: DataFrame, window: int, stride: int, max_buffer: int | None = None, order: str = "sample_idx", keys: tuple[str, ...] = DAY) -> DataFrame:
+    """(keys, pushed, sequences, buffered, utilisation): samples, windows, and how full a buffer of `max_buffer` samples
+    (a window's, unless given) would be at the end."""
+    check(window, stride)
+    room = max_buffer or window
+    n = F.max(order) + 1
+    made = F.greatest(F.floor((n - window) / stride) + 1, F.lit(0)).cast("long")
+    return samples.groupBy(*keys).agg(n.alias("pushed"), made.alias("sequences"), F.least(n, F.lit(room)).alias("buffered"), (F.least(n, F.lit(room)) / room).alias("utilisation"))
+
+
+def width_check(samples: DataFrame, columns: list[str]) -> None:
+    """Raises where a feature column is missing."""
+    if missing := [c for c in columns if c not in samples.columns]:
+        raise ValueError(f"missing features {missing}")
+
+
 def multiscale(samples: DataFrame, scales: dict[str, tuple[int, int]], stride: int = 1, order: str = "sample_idx", keys: tuple[str, ...] = DAY) -> DataFrame:
     """Window ends of decimated samples: {scale: (decimation, window)}; each scale counts its own samples."""
     parts = []

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 LAYOUTS = ("flat", "deeplob", "hlob", "image")
 
 
-def _pick(v: Column, offset: Column | int, levels: int, step: int = 1) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: v[(i * step + offset).cast("int")])
+def image_size(features: int, levels: int) -> tuple[int, int, int]:
+    """Channels, height and width of an image of all features: a channel for 4 rows of `levels` cells."""
+    return -(-features // (4 * levels)), 4, levels
 
 
 def reshape(sequence: Column, layout: str, levels: int, channels: int = 4, height: int | None = None, width: int | None = None) -> Column:

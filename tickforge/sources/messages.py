@@ -49,33 +49,65 @@ def trading_days(spark: SparkSession, start: str, end: str, exclude: list[str] =
 MBO_RECORD = 0xA0
 
 
-def read_dbn(data: bytes) -> "np.ndarray":  # noqa: F821
-    """The order messages of a DBN file, compressed or not."""
+#: Bytes of a DBN file that are unpacked and decoded at a time.
+CHUNK = 1 << 22
+
+
+def dbn_records(stream) -> Iterator["np.ndarray"]:  # noqa: F821
+    """The order messages of a DBN file, compressed or not, read and unpacked a chunk at a time."""
     import numpy as np
 
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+    head = stream.read(4)
+    if head == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    if data[:3] != b"DBN":
+        stream.seek(0)
+        stream = zstandard.ZstdDecompressor().stream_reader(stream)
+        head = stream.read(4)
+    if head[:3] != b"DBN":
         raise ValueError("not a DBN file")
+
+    def exactly(n: int) -> bytes:
+        out = b""
+        while len(out) < n and (more := stream.read(n - len(out))):
+            out += more
+        return out
+
+    exactly(int.from_bytes(exactly(4), "little"))
     # The public record layout, little-endian
     kind = np.dtype([("length", "u1"), ("rtype", "u1"), ("publisher", "<u2"), ("instrument", "<u4"), ("ts_event", "<u8"), ("order_id", "<u8"), ("price", "<i8"), ("size", "<u4"), ("flags", "u1"), ("channel", "u1"), ("action", "S1"), ("side", "S1"), ("ts_recv", "<u8"), ("ts_in_delta", "<i4"), ("sequence", "<u4")])
-    at = 8 + int.from_bytes(data[4:8], "little")
-    body = memoryview(data)[at:]
-    if len(body) % kind.itemsize == 0:
-        out = np.frombuffer(body, kind)
-        if (out["length"] == kind.itemsize // 4).all():
-            return out[out["rtype"] == MBO_RECORD]
-    parts = []
-    while at < len(data):
-        size = 4 * data[at]
-        if size < 16:
-            raise ValueError("broken record")
-        if data[at + 1] == MBO_RECORD:
-            parts.append(data[at : at + size])
-        at += size
-    return np.frombuffer(b"".join(parts), kind)
+    rest = b""
+    while data := stream.read(CHUNK):
+        data, at, parts = rest + data, 0, []
+        whole = len(data) // kind.itemsize * kind.itemsize
+        rows = np.frombuffer(data[:whole], kind)
+        if (rows["length"] == kind.itemsize // 4).all():
+            rest = data[whole:]
+            yield rows[rows["rtype"] == MBO_RECORD]
+            continue
+        while at < len(data):
+            size = 4 * data[at]
+            if size < 16:
+                raise ValueError("broken record")
+            if at + size > len(data):
+                break
+            if data[at + 1] == MBO_RECORD:
+                parts.append(data[at : at + size])
+            at += size
+        rest = data[at:]
+        yield np.frombuffer(b"".join(parts), kind)
+    if rest:
+        raise ValueError("the file ends inside a record")
+
+
+def read_dbn(data: bytes) -> "np.ndarray":  # noqa: F821
+    """The order messages of a DBN file's bytes."""
+    import io
+
+    import numpy as np
+
+    parts = list(dbn_records(io.BytesIO(data)))
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 class _File(InputPartition):
@@ -96,14 +128,19 @@ class DbnReader(DataSourceReader):
         import numpy as np
         import pyarrow as pa
 
-        rows = read_dbn(Path(hot_path(partition.path)).read_bytes())
-        ts = np.where(rows["ts_event"] == np.iinfo(np.uint64).max, 0, rows["ts_event"]).astype(np.int64)
         found = re.search(r"20\d{6}", partition.path)
-        day = datetime.datetime.strptime(found[0], "%Y%m%d").date() if found else datetime.date(1970, 1, 1) + datetime.timedelta(int(ts[0] // 86_400_000_000_000) if len(ts) else 0)
-        for i in range(0, len(rows), 100_000):
-            r = rows[i : i + 100_000]
-            arrays = [pa.array([day] * len(r), pa.date32()), pa.array(np.arange(i, i + len(r))), pa.array(ts[i : i + len(r)]), pa.array(r["action"].astype("U1")), pa.array(r["side"].astype("U1")), pa.array(r["order_id"].astype(np.int64)), pa.array(r["price"].copy()), pa.array(r["size"].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SCHEMA.split(", ")])
+        day = datetime.datetime.strptime(found[0], "%Y%m%d").date() if found else None
+        begin = 0
+        with open(hot_path(partition.path), "rb") as stream:
+            for rows in dbn_records(stream):
+                ts = np.where(rows["ts_event"] == np.iinfo(np.uint64).max, 0, rows["ts_event"]).astype(np.int64)
+                if day is None and len(ts):
+                    day = datetime.date(1970, 1, 1) + datetime.timedelta(int(ts[0] // 86_400_000_000_000))
+                for i in range(0, len(rows), 100_000):
+                    r = rows[i : i + 100_000]
+                    arrays = [pa.array([day] * len(r), pa.date32()), pa.array(np.arange(begin, begin + len(r))), pa.array(ts[i : i + len(r)]), pa.array(r["action"].astype("U1")), pa.array(r["side"].astype("U1")), pa.array(r["order_id"].astype(np.int64)), pa.array(r["price"].copy()), pa.array(r["size"].astype(np.int64))]
+                    begin += len(r)
+                    yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class DbnSource(DataSource):

@@ -27,7 +27,7 @@ def snapshots(messages: DataFrame, every: int = 1, levels: int = LEVELS, waterma
             return
         book, n, last = Book(), 0, -1
         if state.exists:
-            book.orders, book.sizes, n, last = pickle.loads(state.get[0])
+            book.orders, book.sizes, book.prices, n, last = pickle.loads(state.get[0])
         rows = []
         for x in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
             if x.seq <= last:
@@ -38,7 +38,7 @@ def snapshots(messages: DataFrame, every: int = 1, levels: int = LEVELS, waterma
             n += 1
             if n % every == 0:
                 rows.append((key[0], x.seq, x.ts_ns, False, *book.top(levels)))
-        state.update((pickle.dumps((book.orders, book.sizes, n, last)),))
+        state.update((pickle.dumps((book.orders, book.sizes, book.prices, n, last)),))
         end = int(pd.Timestamp(key[0]).value // 1_000_000) + 86_400_000
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
