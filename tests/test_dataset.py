@@ -287,3 +287,35 @@ def test_tensors_are_written(spark, stream, tmp_path):
         x = dataset.aligned(materialized(dataset.samples(stream, c), "samples"), c)
         export.numpy_days(x, str(tmp_path / layout), ["label_3", "label_5"], c).collect()
         assert np.load(tmp_path / layout / "2024-10-04_sequences.npy").shape[1:] == shape
+
+
+def test_experiments_and_label_presets(tmp_path):
+    assert len(config.EXPERIMENTS) == 23
+    for name, make in config.EXPERIMENTS.items():
+        assert main(["--generate-config", str(tmp_path / f"{name}.toml"), "--experiment", name]) == 0
+        assert config.Dataset.load(str(tmp_path / f"{name}.toml")) == make().validate()
+    c = config.LABEL_PRESETS["barrier_per_horizon"]()
+    assert [c.barriers(h) for h in c.all_horizons] == [(0.002, 0.0015), (0.005, 0.003), (0.01, 0.005)]
+    with pytest.raises(config.ConfigError):
+        config.Dataset.from_dict({"labels": {"horizons": [1, 2], "profits": [0.1]}})
+
+
+def test_output(spark, stream):
+    from tickforge.plans.output import Output
+
+    out = Output.of(stream, made())
+    assert out.feature_count == 98 and out.lob_levels is None
+    assert out.format_as("hlob").count() == out.sequences().count() > 0
+    got = out.multi_horizon_labels(config.Labels(horizons=[2, 4, 6], smoothing=1, threshold=0.0001))
+    assert got.columns == ["day", "t", "label_2", "label_4", "label_6"] and got.count() > 50
+
+
+def test_exact_quantiles(spark):
+    from tickforge.operators import align
+
+    r = np.random.default_rng(1)
+    for x in (r.normal(size=5000), r.integers(0, 5, 3000).astype(float), np.array([3.0]), np.zeros(0)):
+        shares = [0.0, 0.003, 0.25, 0.5, 0.9, 1.0]
+        rows = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+        got = align.exact_quantiles(rows, "x", shares).first().q
+        assert (got is None) == (len(x) == 0) and (got is None or np.allclose(got, np.quantile(x, shares)))

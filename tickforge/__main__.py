@@ -1,4 +1,4 @@
-"""python -m tickforge --config FILE | --generate-config FILE: export a dataset, or write a configuration to start from."""
+"""python -m tickforge --config FILE | --generate-config FILE [--experiment NAME]: export a dataset, or write a configuration to start from."""
 
 import argparse
 import functools
@@ -13,12 +13,13 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tickforge", description=__doc__)
     parser.add_argument("--config")
     parser.add_argument("--generate-config")
+    parser.add_argument("--experiment", help="what the generated configuration starts from")
     given = parser.parse_args(args)
-    from tickforge.config import LABEL_PRESETS, Dataset
+    from tickforge.config import EXPERIMENTS, LABEL_PRESETS, Dataset
 
     if given.generate_config:
-        config = Dataset()
-        if "multi" in given.generate_config:
+        config = EXPERIMENTS[given.experiment]() if given.experiment else Dataset()
+        if not given.experiment and "multi" in given.generate_config:
             config.labels = LABEL_PRESETS["multi_fi2010"]()
         config.save(given.generate_config)
         return 0

@@ -310,10 +310,48 @@ LABEL_PRESETS = {
     "spread_adaptive": lambda: Labels(threshold_kind="spread", threshold=1.0, threshold_window=1000),
     "balanced": lambda: Labels(threshold_kind="quantile", threshold=0.33),
     "dynamic": lambda: Labels(threshold_kind="dynamic", threshold=2.0),
+    "returns": lambda: Labels(strategy="magnitude", horizons=[10, 50, 100]),
     "barrier_symmetric": lambda: Labels(strategy="triple_barrier", profit=0.004, stop=0.004),
 }
 
 
+def _experiment(name: str, labels: str, normalization: str = "market", experimental: bool = False, scales: dict | None = None, **more) -> Dataset:
+    return Dataset(name, features=Features(experimental=experimental), labels=LABEL_PRESETS[labels](), normalization=normalization, sequences=Sequences(scales=scales or {}), **more)
+
+
+#: Configurations to start an experiment from, by name.
+EXPERIMENTS = {
+    "98feat": lambda: _experiment("98feat", "default"),
+    "98feat_multi_horizon": lambda: _experiment("98feat_multi_horizon", "multi_fi2010"),
+    "116feat": lambda: _experiment("116feat", "default", experimental=True),
+    "116feat_multi_horizon": lambda: _experiment("116feat_multi_horizon", "multi_fi2010", experimental=True),
+    "84feat": lambda: Dataset("84feat", features=Features(signals=False), labels=LABEL_PRESETS["default"]()),
+    "extended_horizons": lambda: _experiment("extended_horizons", "multi_tlob"),
+    "hft": lambda: _experiment("hft", "multi_hft", sampling=Sampling("event", event_count=10)),
+    "balanced": lambda: _experiment("balanced", "balanced"),
+    "spread_adaptive": lambda: _experiment("spread_adaptive", "spread_adaptive"),
+    "adaptive_sampling": lambda: _experiment("adaptive_sampling", "default", sampling=Sampling(adaptive=True)),
+    "bigmoves": lambda: _experiment("bigmoves", "opportunity_whale"),
+    "triple_barrier": lambda: _experiment("triple_barrier", "barrier_intraday"),
+    "triple_barrier_horizons": lambda: _experiment("triple_barrier_horizons", "barrier_per_horizon"),
+    "triple_barrier_volscaled": lambda: _with_reference(_experiment("triple_barrier_volscaled", "barrier_intraday")),
+    "returns": lambda: _experiment("returns", "returns"),
+    "deeplob": lambda: Dataset("deeplob", features=Features(derived=False, mbo=False, signals=False), labels=LABEL_PRESETS["multi_deeplob"](), normalization="deeplob", tensor="deeplob"),
+    "tlob_raw": lambda: Dataset("tlob_raw", features=Features(derived=False, mbo=False, signals=False), labels=LABEL_PRESETS["multi_tlob"](), normalization="tlob_paper"),
+    "tlob_repo": lambda: Dataset("tlob_repo", features=Features(derived=False, mbo=False, signals=False), labels=LABEL_PRESETS["multi_tlob"](), normalization="tlob_repo"),
+    "lobench": lambda: _experiment("lobench", "multi_fi2010", "lobench"),
+    "fi2010": lambda: Dataset("fi2010", features=Features(mbo=False, signals=False), labels=LABEL_PRESETS["multi_fi2010"](), normalization="fi2010"),
+    "hlob": lambda: Dataset("hlob", features=Features(derived=False, mbo=False, signals=False), labels=LABEL_PRESETS["default"](), tensor="hlob"),
+    "multi_scale": lambda: _experiment("multi_scale", "default", scales={"fast": [1, 100], "medium": [2, 500], "slow": [4, 1000]}),
+    "multi_symbol": lambda: _experiment("multi_symbol", "multi_fi2010", data=Data(template="{date}.parquet")),
+}
+
+
+def _with_reference(c: Dataset, reference: float = 0.02) -> Dataset:
+    c.labels.volatility_reference = reference
+    return c
+
+
 class Builder:
     """Fluent construction of a Dataset."""
 

@@ -82,17 +82,47 @@ def balance_warnings(statistics: DataFrame) -> DataFrame:
     return statistics.withColumns({"warn_timeouts": (F.col("timeouts") / n > 0.8).cast("int"), "warn_profits": (F.col("profits") / n < 0.05).cast("int"), "warn_stops": (F.col("stops") / n < 0.05).cast("int"), "warn_ratio": F.coalesce(~ratio.between(0.2, 5.0), F.lit(True)).cast("int")})
 
 
+#: Of ranks, by which the brackets of quantiles are found.
+ACCURACY = 10_000
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with `q`, the exact linear quantiles of a column without nulls; null without rows.
+
+    Approximate quantiles, whose ranks are off by less than 1 / ACCURACY of all, bracket each wanted one. Only the
+    values inside the brackets are put in order, bracket by bracket, so no task holds all values."""
+    n = rows.count()
+    at = [min(max(s + d * (2 / ACCURACY + 2 / max(n, 1)), 0.0), 1.0) for s in shares for d in (-1, 1)]
+    found = rows.agg(F.percentile_approx(column, F.array(*(F.lit(x) for x in at)), F.lit(ACCURACY)).alias("v")).first()
+    if not n:
+        return rows.sparkSession.createDataFrame([(None,)], "q array<double>")
+    brackets = [(k, found.v[2 * k], found.v[2 * k + 1]) for k in range(len(shares))]
+    x = F.col(column)
+    below = rows.agg(*(F.count(F.when(x < low, 1)).alias(f"b{k}") for k, low, _ in brackets)).first()
+    inside = F.explode(F.filter(F.array(*(F.when(x.between(low, high), F.lit(k)) for k, low, high in brackets)), lambda k: k.isNotNull()))
+    counts = rows.select(x.alias("x"), inside.alias("k")).groupBy("k", "x").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("x")))
+    ranks = [share * (n - 1) for share in shares]
+    facts = F.array(*(F.struct(F.lit(int(r) - below[k]).alias("a"), F.lit(min(int(r) + 1, n - 1) - below[k]).alias("b")) for k, r in enumerate(ranks)))
+    held = counts.withColumn("f", facts[F.col("k")])
+    has = lambda r: F.max(F.when((F.col("upto") > F.col(f"f.{r}")) & (F.col("upto") - F.col("c") <= F.col(f"f.{r}")), F.col("x")))
+    ends = held.groupBy("k").agg(has("a").alias("a"), has("b").alias("b"))
+    part = F.array(*(F.lit(r - int(r)) for r in ranks))[F.col("k")]
+    out = ends.withColumn("v", F.col("a") + part * (F.col("b") - F.col("a")))
+    return out.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("q"))
+
+
 def movement(prices: DataFrame, h: int, quantiles: list[float], keys: tuple[str, ...] = DAY) -> DataFrame:
     """Mean, deviation and linear percentiles of absolute h-step returns in basis points."""
     r = prices.select(F.abs(F.lead("p", h).over(ordered("t", keys)) / F.col("p") - 1).alias("x")).where("x IS NOT NULL").select((F.col("x") * 1e4).alias("x"))
-    q = F.percentile("x", F.array(*(F.lit(x) for x in quantiles)))
-    return r.agg(F.count("x").alias("n"), F.avg("x").alias("mean_bps"), F.stddev_pop("x").alias("std_bps"), q.alias("q")).select("n", "mean_bps", "std_bps", *(F.col("q")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(quantiles)))
+    whole = r.agg(F.count("x").alias("n"), F.avg("x").alias("mean_bps"), F.stddev_pop("x").alias("std_bps"))
+    return whole.withColumn("one", F.pmod("n", F.lit(1))).join(exact_quantiles(r, "x", quantiles).withColumn("one", F.lit(0).cast("long")), "one", "left").select("n", "mean_bps", "std_bps", *(F.col("q")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(quantiles)))
 
 
 def calibrate(prices: DataFrame, h: int, profit_rate: float, stop_rate: float, reward: float, keys: tuple[str, ...] = DAY) -> DataFrame:
     """Barriers that prices reach at about the wanted rates, with a wanted ratio of reward to risk."""
     r = prices.select(F.abs(F.lead("p", h).over(ordered("t", keys)) / F.col("p") - 1).alias("x")).where("x IS NOT NULL")
-    base = r.agg(F.percentile("x", 1.0 - (profit_rate + stop_rate)).alias("base"))
+    base = exact_quantiles(r, "x", [1.0 - (profit_rate + stop_rate)]).select(F.col("q")[0].alias("base"))
     return base.select("base", (F.col("base") * reward**0.5).alias("profit"), (F.col("base") / reward**0.5).alias("stop"))
 
 

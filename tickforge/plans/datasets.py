@@ -128,10 +128,10 @@ def _book_samples(s, d):
     return x.withColumn("sample_idx", (F.row_number().over(Window.partitionBy("day").orderBy("seq")) - 1).cast("long")).drop("seq")
 
 
-def _normal(strategy: str):
+def _normal(strategy: str, ask_side: bool = False):
     def run(s, d):
         w = normalize.window_weights(_book_samples(s, d), WINDOW, STRIDE)
-        return normalize.apply(w, normalize.statistics(w, TWO, strategy), TWO)
+        return normalize.apply(w, normalize.statistics(w, TWO, strategy, ask_side=ask_side), TWO, strategy=strategy)
 
     return run
 
@@ -154,8 +154,22 @@ def scaled_sql(column: str, k: int) -> str:
     return f"({column} - m{k}) / (CASE WHEN q{k} <= 1e-8 THEN 1 ELSE sqrt(q{k}) END + 1e-8)"
 
 
-def normal_sql(pools: dict[str, list[str]]) -> str:
+def other_sql(value: str) -> str:
+    """`value`: of the column x by its day's mean m, and least and greatest value a and b in any window."""
+    each = ", ".join(f"sum(weight * {c}) / sum(weight) AS m_{c}, min(CASE WHEN weight > 0 THEN {c} END) AS a_{c}, max(CASE WHEN weight > 0 THEN {c} END) AS b_{c}" for c in TWO)
+    return BOOKS + f""", st AS (SELECT day, {each} FROM wt GROUP BY day)
+---
+SELECT day, sample_idx, weight, {", ".join(value.format(x=c, m=f"m_{c}", a=f"a_{c}", b=f"b_{c}") + f" AS {c}" for c in TWO)} FROM wt JOIN st USING (day)"""
+
+
+UNIT = "CASE WHEN {b} <= {a} THEN 0 ELSE greatest(least(({x} - {a}) / ({b} - {a}), 1), 0) END"
+OTHERS = {"percentage": "CASE WHEN abs({m}) > 1e-8 THEN ({x} - {m}) / {m} ELSE 0 END", "min_max": UNIT, "min_max_signed": f"{UNIT} * 2 - 1", "bilinear": "({x} - {m}) / 0.5e0"}
+
+
+def normal_sql(pools: dict[str, list[str]], ask_side: bool = False) -> str:
     place = {c: k for k, ms in enumerate(pools.values()) for c in ms}
+    if ask_side:
+        place |= {c: place[c.replace("bid", "ask")] for c in TWO}
     return BOOKS + f""", {moments_sql("wt", list(pools.values()))}
 ---
 SELECT day, sample_idx, weight, {", ".join(f"{scaled_sql(c, place[c])} AS {c}" for c in TWO)} FROM wt JOIN st USING (day)"""
@@ -280,6 +294,8 @@ QUERIES = {
     "balance_warnings": Query(lambda s, d: align.balance_warnings(labels.barrier_statistics(_barrier(s, d), ["day"])), BARRIER + f"\n---\nSELECT day, CASE WHEN {COUNT(1)} > 0.8 * count(*) THEN 1 ELSE 0 END AS warn_timeouts, CASE WHEN {COUNT(2)} < 0.05 * count(*) THEN 1 ELSE 0 END AS warn_profits, CASE WHEN {COUNT(0)} < 0.05 * count(*) THEN 1 ELSE 0 END AS warn_stops, CASE WHEN {COUNT(0)} = 0 OR {COUNT(2)} / ({COUNT(0)} * 1e0) NOT BETWEEN 0.2 AND 5 THEN 1 ELSE 0 END AS warn_ratio FROM l GROUP BY day", KEYS, ["warn_timeouts", "warn_profits", "warn_stops", "warn_ratio"], []),
     "stats_magnitude": Query(lambda s, d: labels.magnitude_statistics(_magnitude(s, d), ["day"]), MAG + "\n---\nSELECT day, count(*) AS total, avg(point_return) AS mean, stddev_pop(point_return) AS std, avg(pow((point_return - mu) / sd, 3)) AS skew, avg(max_return) AS avg_max, avg(min_return) AS avg_min, avg(CASE WHEN point_return > 0 THEN 1e0 ELSE 0e0 END) AS positive_rate FROM (SELECT *, avg(point_return) OVER (PARTITION BY day) AS mu, stddev_pop(point_return) OVER (PARTITION BY day) AS sd FROM g) GROUP BY day", KEYS, ["total"], ["mean", "std", "skew", "avg_max", "avg_min", "positive_rate"]),
     "seq_index": Query(lambda s, d: sequences.ends(_samples(s, d), WINDOW, STRIDE), SEQ + "\n---\nSELECT * FROM q", KEYS, SEQ_COLUMNS, []),
+    "seq_statistics": Query(lambda s, d: sequences.statistics(_samples(s, d), WINDOW, STRIDE, 100), SAMPLES + f"\n---\nSELECT day, count(*) AS pushed, CAST(greatest(floor((count(*) - {WINDOW}) / {STRIDE}) + 1, 0) AS BIGINT) AS sequences, least(count(*), 100) AS buffered, least(count(*), 100) / 100e0 AS utilisation FROM s GROUP BY day", KEYS, ["pushed", "sequences", "buffered"], ["utilisation"]),
+    "seq_intervals": Query(lambda s, d: sequences.ends(_samples(s, d), WINDOW, STRIDE).select("day", "seq_id", sequences.duration_seconds().alias("duration"), sequences.average_interval().alias("interval")), SEQ + f"\n---\nSELECT day, seq_id, duration_ns / 1e9 AS duration, duration_ns / 1e9 / {WINDOW - 1} AS interval FROM q", KEYS, ["seq_id"], ["duration", "interval"]),
     "seq_offsets": Query(lambda s, d: sequences.offsets(_samples(s, d), WINDOW, STRIDE), OFFSETS + "\n---\nSELECT * FROM o", KEYS, ["seq_id", "offset", "sample_idx"], []),
     "seq_features": Query(lambda s, d: sequences.materialize(_vectors(s, d), COLUMNS, WINDOW, STRIDE).select("day", "seq_id", F.posexplode("features").alias("offset", "v")).select("day", "seq_id", "offset", F.col("v")[0].alias("p"), F.col("v")[1].alias("q")), OFFSETS + "\n---\nSELECT o.day, seq_id, \"offset\", p, o.sample_idx * 0.5e0 AS q FROM o JOIN s USING (day, sample_idx)", KEYS, ["seq_id", "offset"], ["p", "q"]),
     "multiscale": Query(lambda s, d: sequences.multiscale(_samples(s, d), SCALES), MULTISCALE, [*KEYS, "scale"], ["seq_id", "end_idx", "duration_ns"], []),
@@ -291,6 +307,8 @@ QUERIES = {
     "norm_simple": Query(_simple, MIDS + "\n---\nSELECT day, t, (p - 101) / 101 AS pct, (p - 101) / (2 * 0.01e0) AS bilinear, greatest(least((p - 100.5e0) / 2.5e0, 1e0), 0e0) AS unit, greatest(least((p - 100.5e0) / 2.5e0, 1e0), 0e0) * 2 - 1 AS signed FROM mids", KEYS, ["t"], ["pct", "bilinear", "unit", "signed"]),
     "norm_global_vector": Query(_global_vector, "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)\n---\nSELECT vec_id, unnest(range(0, len(x))) AS i, unnest(list_transform(x, lambda y: (y - list_avg(x)) / greatest(list_stddev_pop(x), 1e-10))) AS z FROM v", [], ["vec_id", "i"], ["z"]),
     **{f"norm_export_{n}": Query(_normal(n), normal_sql(p), KEYS, ["sample_idx", "weight"], TWO) for n, p in POOLS.items()},
+    **{f"norm_export_{n}": Query(_normal(n), other_sql(x), KEYS, ["sample_idx", "weight"], TWO, fine=False) for n, x in OTHERS.items()},
+    "norm_export_ask_side": Query(_normal("z", True), normal_sql(POOLS["z"], True), KEYS, ["sample_idx", "weight"], TWO),
     **{f"tensor_{n}": Query(_tensor(n), q, KEYS, ["seq_id", "step", *(["c"] if n == "image" else []), "a", "b"], ["value"]) for n, q in TENSORS.items()},
     "split_days": Query(_splits, MIDS + ", " + SPLIT + "\n---\nSELECT * FROM sp", [*KEYS, "split"], [], []),
     "label_check": Query(lambda s, d: align.label_check(labels.tlob(mids(s, d), K, H, THETA), -1, 1), TLOB + "\n---\nSELECT label, count(*) AS n, 0 AS out_of_range FROM l GROUP BY label", [], ["label", "n", "out_of_range"], []),
