@@ -112,12 +112,12 @@ def impact(side: str, quantity: Column, levels: int = LEVELS) -> dict[str, Colum
     """What a market order of `quantity` meets: buy orders take asks, sell orders take bids."""
     book = "ask" if side == "buy" else "bid"
     px, sz = (F.col(f"{book}_{k}") for k in ("px", "sz"))
-    before, taken, cost, used = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0), F.lit(0)
+    before, cost, used = F.lit(0).cast("long"), F.lit(0.0), F.lit(0)
     for i in range(levels):
-        here = F.when(px[i] > 0, F.greatest(F.least(sz[i], quantity - taken), F.lit(0))).otherwise(F.lit(0))
-        cost, used = cost + px[i] / float(NANO) * here, used + (here > 0).cast("int")
-        taken = F.least(before + F.when(px[i] > 0, sz[i]).otherwise(F.lit(0)), quantity)
-        before = before + F.when(px[i] > 0, sz[i]).otherwise(F.lit(0))
+        there = F.when(px[i] > 0, sz[i]).otherwise(F.lit(0))
+        here = F.greatest(F.least(there, quantity - before), F.lit(0))
+        cost, used, before = cost + px[i] / float(NANO) * here, used + (here > 0).cast("int"), before + there
+    taken = F.least(before, quantity)
     best = F.coalesce(F.col(f"best_{book}"), F.lit(0)) / float(NANO)
     price = books.ratio(cost, taken)
     slip = F.when(taken == 0, 0.0).otherwise(price - best if side == "buy" else best - price)
