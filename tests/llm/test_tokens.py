@@ -59,7 +59,11 @@ def test_repair_store_as_tokenizers(docs, tmp_path, monkeypatch):
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
-    got = sorted(repair_store.store(docs, path, end_id=2).collect(), key=lambda r: r.start)
+    stored = repair_store.store(docs, path, end_id=2)
+    monkeypatch.setattr(repair_store, "MAX_BROADCAST", 0 if len(rows) % 2 else 10**5)
+    got = sorted(repair_store.read(docs.sparkSession, stored).collect(), key=lambda r: r.start)
+    facts = sorted(repair_store.facts(docs.sparkSession, stored).collect(), key=lambda r: r.start)
+    assert [tuple(r) for r in facts] == [(r.doc_id, r.start, len(r.ids) // 4, zlib.crc32(bytes(r.ids))) for r in got]
     assert [r.doc_id for r in got] == [r.doc_id for r in rows]
     want = sorted((r.doc_id, np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in rows)
     assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
@@ -108,7 +112,7 @@ def test_token_counts_by_tokenizers_file(docs):
 def test_empty_tables(docs):
     none = docs.where("doc_id < -1")
     assert bpe_words.encode(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
-    assert repair_store.store(none, P.path("byte_bpe_50k.json"), 2).count() == 0
+    assert repair_store.read(none.sparkSession, repair_store.store(none, P.path("byte_bpe_50k.json"), 2)).count() == 0
     assert token_counts.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
 
 

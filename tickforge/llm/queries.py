@@ -9,8 +9,8 @@ from .shared import table, work_dir
 
 
 def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = repair_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    path = repair_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return repair_store.facts(spark, path)
 
 
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

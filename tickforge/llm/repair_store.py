@@ -21,6 +21,7 @@ several tasks; null ones come first. An empty table gives no shards and an empty
 import json
 import os
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ EXACT_GAIN = 0.06
 BINS = 18
 #: Distinct pieces and pre-tokens whose ids a worker remembers, of each.
 MAX_KNOWN = 800_000
+#: Rows of a batch of read documents, and shards whose places are broadcast at most.
+PACK_ROWS, MAX_BROADCAST = 512, 100_000
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, payload binary"
 
 
@@ -125,9 +128,11 @@ class PieceEncoder:
             if t and self.apart and not any(a in t for a in self.added):
                 pieces = t.split(" ")
                 parts = [self._head(pieces[0]), *map(self.piece.__getitem__, pieces[1:])]
-                if None not in parts:
+                try:
                     out[i] = b"".join(parts)
                     continue
+                except TypeError:  # a None among them
+                    pass
             if t:
                 rest.append(i)
         if rest:
@@ -321,35 +326,55 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None =
     ordered.mapInArrow(lean(run), SHARDS).write.parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """(doc_id, start, ids) of every document of the shards at `path`; start counts the ids before it.
+def _documents(spark, path: str, run, schema: str) -> DataFrame:
+    """What `run` makes of the rows (first, doc_ids, payload) of the shards at `path`; `first` counts the ids before.
 
-    Starts come from the shards' sizes: summed up inside each part, and over the parts, of which there are as
-    many as tasks wrote the files."""
+    It comes from the shards' sizes: summed up inside each part, and over the parts, of which there are as many as
+    tasks wrote the files. A list of up to MAX_BROADCAST shards is broadcast, so that payloads stay where they are."""
     shards = spark.read.schema(SHARDS).parquet(path)
     sizes = shards.select("part", "shard", "n_tokens")
     inside = sizes.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens"))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     starts = inside.join(before, "part").select("part", "shard", (F.col("inside") + F.col("before")).alias("first"))
+    starts = F.broadcast(starts) if sizes.count() <= MAX_BROADCAST else starts
+    return shards.join(starts, ["part", "shard"]).select("first", "doc_ids", "payload").mapInArrow(lean(run), schema)
+
+
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list[np.ndarray]]]:
+    """(doc_ids, starts, ids) of each shard, PACK_ROWS documents at a time."""
+    for batch in batches:
+        for first, names, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            ids = Shard(payload).documents()
+            start = first + np.cumsum([0, *map(len, ids)])[:-1]
+            for k in range(0, len(ids), PACK_ROWS):
+                yield names[k : k + PACK_ROWS], start[k : k + PACK_ROWS], ids[k : k + PACK_ROWS]
+
+
+def read(spark, path: str) -> DataFrame:
+    """(doc_id, start, ids) of every document of the shards at `path`; start counts the ids before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, names, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = Shard(payload).documents()
-                start = first + np.cumsum([0, *map(len, ids)])[:-1]
-                for k in range(0, len(ids), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 512], pa.int64()), pa.array(start[k : k + 512], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids[k : k + 512]], pa.binary())], names=["doc_id", "start", "ids"])
+        for names, start, ids in _expanded(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "start", "ids"])
+
+    return _documents(spark, path, run, "doc_id long, start long, ids binary")
 
-    return shards.join(starts, ["part", "shard"]).select("first", "doc_ids", "payload").mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
+def facts(spark, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the shards at `path`, whose ids stay with the reader:
+    the CRC-32 is that of the ids as little-endian unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, start, ids in _expanded(batches):
+            rows = [names, start, [len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-def crc32_of(ids: DataFrame, ids_col: str = "ids") -> DataFrame:
-    return ids.withColumn("ids_crc32", F.crc32(ids_col))
+    return _documents(spark, path, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store(docs: DataFrame, tokenizer_path: str, end_id: int | None = None) -> DataFrame:
-    """Write to a new shared folder, and read back."""
+def store(docs: DataFrame, tokenizer_path: str, end_id: int | None = None) -> str:
+    """Write to a new shared folder; returns its path."""
     path = work_dir(docs.sparkSession, "repair")
     write(docs, tokenizer_path, path, end_id)
-    return read(docs.sparkSession, path)
+    return path
