@@ -40,7 +40,7 @@ MIN_COUNT = 6
 EXACT_GAIN = 0.06
 BINS = 18
 #: Distinct pieces and pre-tokens whose ids a worker remembers, of each.
-MAX_KNOWN = 800_000
+MAX_KNOWN = 1_500_000
 #: Rows of a batch of read documents, and shards whose places are broadcast at most.
 PACK_ROWS, MAX_BROADCAST = 512, 100_000
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, payload binary"
