@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickforge.contract import LEVELS, NANO, TICK
 from tickforge.functions import books
-from tickforge.functions.frames import ordered
+from tickforge.functions.frames import DAY, ordered
 
 
 def raw(levels: int = LEVELS) -> dict[str, Column]:
@@ -80,9 +80,9 @@ def fi2010_insensitive(levels: int = LEVELS) -> dict[str, Column]:
     return out | {f"bid_gap_{i}": (F.col("bid_px")[i] - F.col("bid_px")[i + 1]) / float(NANO) for i in range(levels - 1)}
 
 
-def fi2010_sensitive(df: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, list[str]]:
+def fi2010_sensitive(df: DataFrame, levels: int = LEVELS, keys: tuple[str, ...] = DAY) -> tuple[DataFrame, list[str]]:
     """Adds derivatives by time against the row before: dt is 1 second for a first row or one that isn't later."""
-    w = ordered()
+    w = ordered(keys=keys)
     b, a = books.total(F.col("bid_sz"), levels).cast("double"), books.total(F.col("ask_sz"), levels).cast("double")
     df = df.withColumns({"__m": books.mid(), "__s": books.spread(), "__b": b, "__a": a, "__dt0": (F.col("ts_ns") - F.lag("ts_ns").over(w)) / 1e9})
     df = df.withColumns({"__rs": books.ratio(F.col("__s"), F.col("__m")), "__ba": books.ratio(F.col("__b"), F.col("__a"), 1.0), "__dt": F.when(F.col("__dt0") > 0, F.col("__dt0")).otherwise(1.0)})

@@ -39,7 +39,7 @@ def rolling_days(rows: DataFrame, column: str, days: int, day: str = "day") -> D
     mean = F.col("__s") / F.col("__n")
     std = F.greatest(F.sqrt(F.greatest(F.col("__q") / F.col("__n") - mean * mean, F.lit(0.0))), F.lit(LEAST_STD))
     sums = sums.select(day, mean.alias("__m"), std.alias("__d"))
-    return rows.join(F.broadcast(sums), day).withColumn(f"{column}_z", F.when(F.col("__m").isNull(), F.col(column)).otherwise((F.col(column) - F.col("__m")) / F.col("__d"))).drop("__m", "__d")
+    return rows.join(sums, day).withColumn(f"{column}_z", F.when(F.col("__m").isNull(), F.col(column)).otherwise((F.col(column) - F.col("__m")) / F.col("__d"))).drop("__m", "__d")
 
 
 def global_z(vector: Column) -> Column:
