@@ -41,7 +41,7 @@ VALUES = BANDS * ROWS
 #: XOR bits of two sketches at most; 57 are expected at a similarity of 0.8, with a deviation of 9.5.
 MAX_ODD = 112
 #: Members and shingles of a bucket in a block, about.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 SLICE_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(77)
