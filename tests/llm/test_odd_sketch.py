@@ -64,6 +64,7 @@ def test_components_as_brute_force(spark, n):
 def test_buckets_with_several_components(spark, monkeypatch):
     """Links that no leader has, in blocks smaller than a bucket."""
     monkeypatch.setattr(odd_sketch, "BLOCK", 3)
+    monkeypatch.setattr(odd_sketch, "MINOR_BLOCK", 4)
     r = random.Random(9)
     base = [word(r) for _ in range(300)]
     rows = []

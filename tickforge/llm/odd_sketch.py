@@ -40,8 +40,8 @@ BANDS, ROWS, BITS = 32, 5, 512
 VALUES = BANDS * ROWS
 #: XOR bits of two sketches at most; 57 are expected at a similarity of 0.8, with a deviation of 9.5.
 MAX_ODD = 112
-#: Members and shingles of a bucket in a block, about.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 19
+#: Members of a bucket, minor ones of it, and shingles in a block, about.
+BLOCK, MINOR_BLOCK, BLOCK_SHINGLES = 128, 256, 1 << 19
 SLICE_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(77)
@@ -183,13 +183,13 @@ def _mixed(reps: DataFrame, labels: DataFrame, total: int) -> DataFrame:
 
     `minor`: not of the bucket's largest component. Pairs of two members of that one needn't be looked at, so a
     bucket is searched in `rows` blocks of its minor members by `columns` blocks of all, and what travels grows
-    with the square of the minor members only. A block has about BLOCK members and BLOCK_SHINGLES shingles."""
+    with the square of the minor members only."""
     named = reps.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     keys = named.select("id", "sig", "n", "c", F.posexplode("bands").alias("band", "h"))
     parts = keys.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
     buckets = parts.groupBy("h").agg(F.max(F.struct("m", "c", "size")).alias("top"), F.sum("m").alias("m"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = lambda m, size: F.greatest(F.ceil(m / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
-    buckets = buckets.select("h", "m", F.col("top.c").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("size") - F.col("top.size")).alias("rows"), blocks(F.col("m"), F.col("size")).alias("columns"))
+    blocks = lambda m, size, n: F.greatest(F.ceil(m / n), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("h", "m", F.col("top.c").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("size") - F.col("top.size"), MINOR_BLOCK).alias("rows"), blocks(F.col("m"), F.col("size"), BLOCK).alias("columns"))
     buckets = written(buckets, "buckets")
     both = spread_join(keys.drop("n"), buckets.drop("m"), ["h"], total, "id", sizes=buckets.select("h", F.col("m").alias("rows")))
     return written(both.withColumn("minor", F.col("c") != F.col("major")).drop("major"), "mixed-buckets")
