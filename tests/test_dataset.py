@@ -262,6 +262,9 @@ def test_normalisation_strategies(spark):
         got = normalize.apply(rows, normalize.statistics(rows, columns, name), columns, strategy=name).orderBy("sample_idx").collect()
         for c, v in zip(columns, (a, b, x), strict=True):
             assert np.allclose([r[c] for r in got], f(v)), (name, c)
+    short = rows.unionByName(rows.where("sample_idx < 3").withColumns({"day": F.lit("short"), "weight": F.lit(0)}))
+    got = normalize.apply(short, normalize.statistics(short, columns, "market"), columns).groupBy("day").agg(F.count("x").alias("n")).collect()
+    assert {r.day: r.n for r in got} == {"d": 60, "short": 0}
     mixed = {"ask_price_0": "z", "bid_price_0": "z", "x": "min_max"}
     got = normalize.apply(rows, normalize.statistics(rows, columns, mixed, ask_side=True), columns, strategy=mixed).orderBy("sample_idx").collect()
     assert np.allclose([r.bid_price_0 for r in got], (b - a.mean()) / (a.std() + 1e-8)) and np.allclose([r.x for r in got], want["min_max"](x))

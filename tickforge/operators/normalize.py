@@ -89,10 +89,10 @@ def statistics(weighted: DataFrame, columns: list[str], strategy: str | dict[str
     less gives a deviation of 1; extremes are those of the samples in any window.
 
     z and the others: each column; market: ask and bid of a level and kind pooled; global: all prices, and all sizes,
-    pooled. `strategy` may be given for each column. `ask_side`: columns that aren't pooled take the ask's."""
+    pooled. A key without a window has none. `strategy` may be given for each column. `ask_side`: columns that aren't pooled take the ask's."""
     w = F.col("weight")
     pools = _pools(columns, strategy, ask_side)
-    of = lambda x: [(sum((F.sum(w * x(k, c)) for c in ms), F.lit(0.0)) / (F.sum(w) * len(ms))).alias(f"__{k}") for k, (ms, _) in enumerate(pools)]
+    of = lambda x: [(sum((F.sum(w * x(k, c)) for c in ms), F.lit(0.0)) / F.nullif(F.sum(w) * len(ms), F.lit(0))).alias(f"__{k}") for k, (ms, _) in enumerate(pools)]
     edge = lambda f, g, ms: g(*xs) if len(xs := [f(F.when(w > 0, F.col(c))) for c in ms]) > 1 else xs[0]
     extremes = [x.alias(f"{n}{k}") for k, (ms, _) in enumerate(pools) for n, x in (("__l", edge(F.min, F.least, ms)), ("__h", edge(F.max, F.greatest, ms)))]
     means = weighted.groupBy(*keys).agg(*of(lambda _, c: F.col(c)), *extremes).withColumnsRenamed({f"__{k}": f"__m{k}" for k in range(len(pools))})
