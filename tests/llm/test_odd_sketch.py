@@ -75,6 +75,30 @@ def test_buckets_with_several_components(spark, monkeypatch):
     assert sorted((g.doc_id, g.n_shingles, g.component_id) for g in got) == brute(rows, 2)
 
 
+def test_large_buckets_of_a_leader_travel_once(spark, monkeypatch):
+    """Near copies that meet in most bands: rows travel as for one search of all, not for one a band."""
+    monkeypatch.setattr(odd_sketch, "BLOCK", 16)
+    monkeypatch.setattr(odd_sketch, "MINOR_BLOCK", 16)
+    r = random.Random(4)
+    base = [word(r) for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(160):  # 2 to 16 other words: the last ones are near no other copy
+        copy = base[:]
+        for i in r.sample(range(120), 2 + k * 15 // 160):
+            copy[i] = word(r)
+        rows.append((k + 1, " ".join(copy)))
+    travelled, between = [], odd_sketch._between
+
+    def spy(members, *rest):
+        travelled.append(members.selectExpr("sum(IF(minor, columns, 0) + rows) AS n").first().n)
+        return between(members, *rest)
+
+    monkeypatch.setattr(odd_sketch, "_between", spy)
+    got = odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()
+    assert sorted((g.doc_id, g.n_shingles, g.component_id) for g in got) == brute(rows, 2)
+    assert 0 < travelled[0] < 2 * 161 * 11  # 161 rows by 11 blocks, both ways; 5306 for one bucket after the other
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (3, "A B C"), (None, None), (7, None)]
     got = odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()

@@ -11,7 +11,7 @@
    members with a pair that passes. Pairs are confirmed in memory, and only links that join two
    components come out, at most one less than a block pair's members. No pair of a bucket is left out, a pair is
    looked at in the first bucket that it shares, and pairs of one component, which can't change the result, are
-   never looked at.
+   never looked at. Large buckets of one leader, mostly the same members, are searched once, as one group.
 
 A set is known by its document's id and a signature, so rows that repeat a doc_id don't mix. Rows of a hot bucket,
 leader or node of the graph are dealt to several tasks.
@@ -178,21 +178,41 @@ def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(sizes & (odd <= MAX_ODD)).select("a", "sig_a", "b", "sig_b")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(h, of, m, major, rows, columns, copies) of the groups h of members (h, id, n, c) that hold several components.
+
+    `of` is the leader. Pairs of two members of the largest component, `major`, needn't be looked at, so a group is
+    searched in `rows` blocks of the others, its minor members, by `columns` blocks of all; `copies` rows travel."""
+    parts = members.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("id").alias("of"))
+    groups = parts.groupBy("h").agg(F.max(F.struct("m", "c", "size")).alias("top"), F.sum("m").alias("m"), F.sum("size").alias("size"), F.min("of").alias("of"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda m, size, n: F.greatest(F.ceil(m / n), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    groups = groups.withColumn("minor", F.col("m") - F.col("top.m"))
+    groups = groups.withColumn("rows", blocks(F.col("minor"), F.col("size") - F.col("top.size"), MINOR_BLOCK)).withColumn("columns", blocks(F.col("m"), F.col("size"), BLOCK))
+    return groups.select("h", "of", "m", F.col("top.c").alias("major"), "rows", "columns", F.expr("minor * columns + m * rows").alias("copies"))
+
+
 def _mixed(reps: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     """(h, rows, columns, minor, id, sig, c, band) of the members of buckets that hold several components.
 
-    `minor`: not of the bucket's largest component. Pairs of two members of that one needn't be looked at, so a
-    bucket is searched in `rows` blocks of its minor members by `columns` blocks of all, and what travels grows
-    with the square of the minor members only."""
+    The near copies of a text meet in most of its bands. So buckets of more than one block that have the same leader
+    become one group, `h` the leader and `band` -1, where fewer rows travel for it than for the buckets one by one."""
     named = reps.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     keys = named.select("id", "sig", "n", "c", F.posexplode("bands").alias("band", "h"))
-    parts = keys.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
-    buckets = parts.groupBy("h").agg(F.max(F.struct("m", "c", "size")).alias("top"), F.sum("m").alias("m"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = lambda m, size, n: F.greatest(F.ceil(m / n), F.ceil(size / BLOCK_SHINGLES)).cast("int")
-    buckets = buckets.select("h", "m", F.col("top.c").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("size") - F.col("top.size"), MINOR_BLOCK).alias("rows"), blocks(F.col("m"), F.col("size"), BLOCK).alias("columns"))
-    buckets = written(buckets, "buckets")
-    both = spread_join(keys.drop("n"), buckets.drop("m"), ["h"], total, "id", sizes=buckets.select("h", F.col("m").alias("rows")))
-    return written(both.withColumn("minor", F.col("c") != F.col("major")).drop("major"), "mixed-buckets")
+    buckets = written(_blocks(keys), "buckets")
+    both = spread_join(keys, buckets.drop("m", "copies"), ["h"], total, "id", sizes=buckets.select("h", F.col("m").alias("rows")))
+    members = written(both.withColumn("minor", F.col("c") != F.col("major")).drop("major"), "mixed-buckets")
+    columns = ["h", "rows", "columns", "minor", "id", "sig", "c", "band"]
+    large = F.expr("rows * columns > 1")
+    apart = buckets.where(large).groupBy(F.col("of").alias("h")).agg(F.sum("copies").alias("apart"))
+    if apart.isEmpty():
+        return members.select(columns)
+
+    once = written(members.where(large).select(F.col("of").alias("h"), "id", "sig", "n", "c").distinct(), "members-of-leaders")
+    groups = written(_blocks(once).join(apart, "h").where("copies < apart"), "groups")
+    whole = spread_join(once, groups.select("h", "rows", "columns", "major"), ["h"], once.count(), "id", sizes=groups.select("h", F.col("m").alias("rows")))
+    whole = whole.withColumn("minor", F.col("c") != F.col("major")).withColumn("band", F.lit(-1))
+    rest = spread_join(members.where(large), groups.select("of"), ["of"], members.count(), "id", "left_anti")
+    return written(members.where(~large).select(columns).unionByName(rest.select(columns)).unionByName(whole.select(columns)), "mixed-groups")
 
 
 def _pairs_of(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -202,7 +222,7 @@ def _pairs_of(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]
     band, ids, c, size = (table.column(i).to_numpy() for i in ("band", "id", "c", "n"))
     row, minor = (table.column(i).to_numpy(zero_copy_only=False) for i in ("row", "minor"))
     sketch, bands = (np.array(table.column(i).to_pylist(), np.int64).view(np.uint64) for i in ("sketch", "bands"))
-    earlier = bands[:, : band[0]]
+    earlier = bands[:, : max(band[0], 0)]  # none for a leader's group: its buckets aren't searched themselves
     two = np.flatnonzero(~row)
     c = c.copy()
     for i in np.flatnonzero(row):
@@ -216,10 +236,10 @@ def _pairs_of(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _between(members: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join the components of buckets' members, by blocks of a bucket.
+    """Confirmed links (a, b) that join the components of buckets' members, by blocks of a bucket or of a leader's group.
 
     Sketches alone travel first; full sets go only to the blocks where a member has a pair that passes the screen."""
-    place = ["h", "x", "y"]
+    place = ["band", "h", "x", "y"]
     cell = lambda n: F.pmod(F.xxhash64("id", "sig"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     kept = ("h", "band", "id", "sig", "c", "minor")
