@@ -202,3 +202,14 @@ def test_windows_of_sampled_rows_as_frames(spark):
         for op, columns in ((mbo.size_features, mbo.size_columns), (mbo.flow_volatility, mbo.flow_volatility_column)):
             got = op(x, window, at)
             assert columns(framed).where(at).select(*got.columns).orderBy("day", "seq").collect() == got.orderBy("day", "seq").collect()
+
+
+def test_shared_horizons_are_those_of_every_horizon(spark):
+    from tickforge.operators import align, labels
+
+    prices = spark.createDataFrame([(f"d{n}", t, 100.0 + (t * 7 % 5) - n) for n in (3, 9, 40) for t in range(n)], "day string, t long, p double")
+    for more in ({"value": 0.001}, {"strategy": "quantile", "value": 0.3, "window": 10}, {"strategy": "quantile", "value": 0.3}, {"strategy": "dynamic", "value": 2.0}):
+        long = labels.multi_horizon(prices, 2, [4, 2, 4], **more)
+        assert {(r.day, r.horizon): r.n for r in long.groupBy("day", "horizon").agg(F.count("t").alias("n")).collect()} == {("d9", 2): 3, ("d9", 4): 1, ("d40", 2): 34, ("d40", 4): 32}
+        wide = labels.shared_horizons(prices, 2, [4, 2, 4], **more)
+        assert sorted(wide.collect()) == sorted(align.intersect_horizons(long, [2, 4]).collect()) and wide.count() == 33

@@ -47,3 +47,16 @@ def test_folds_are_the_only_python(spark):
     for name in QUERIES:
         if name not in folds:
             assert not re.search(r"PythonUDF|InPandas|InArrow", plan_of(spark, name)), name
+
+
+@pytest.mark.parametrize("name", ["horizon_intersect", "label_multi_fixed", "label_multi_quantile", "label_multi_dynamic"])
+def test_horizons_are_frames_of_one_partitioning(spark, name):
+    """No table a horizon, nothing turned into columns by an aggregate, and days that adaptive plans leave apart."""
+    plan = plan_of(spark, name)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "REPARTITION_BY_NUM" in plan, plan
+    assert not re.search(r"Union|Aggregate|Join", plan), plan
+
+
+def test_labels_and_sequences_are_merged(spark):
+    plan = plan_of(spark, "align_join")
+    assert "SortMergeJoin" in plan and not re.search(r"Broadcast|Union|Aggregate", plan), plan

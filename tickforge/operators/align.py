@@ -4,17 +4,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.frames import DAY, ordered
+from tickforge.functions.tables import dealt, merged
 
 
 def intersect_horizons(labels: DataFrame, horizons: list[int], keys: tuple[str, ...] = DAY) -> DataFrame:
     """(keys, t, label_h...) of the t that every horizon has a label for."""
-    wide = labels.groupBy(*keys, "t").pivot("horizon", horizons).agg(F.first("label"))
-    return wide.select(*keys, "t", *(F.col(f"`{h}`").alias(f"label_{h}") for h in horizons)).dropna()
+    labels = dealt(labels, [*keys, "t"])
+    return labels.groupBy(*keys, "t").agg(*(F.max(F.when(F.col("horizon") == h, F.col("label"))).alias(f"label_{h}") for h in horizons)).dropna()
 
 
 def align(sequences: DataFrame, labels: DataFrame, window: int, stride: int, keys: tuple[str, ...] = DAY) -> DataFrame:
     """Sequences with the label of their last sample; those without one are dropped."""
-    return sequences.withColumn("t", F.col("seq_id") * stride + (window - 1)).join(labels, [*keys, "t"])
+    return merged(sequences.withColumn("t", F.col("seq_id") * stride + (window - 1)), labels, [*keys, "t"])
 
 
 def split_days(days: DataFrame, train: float, val: float) -> DataFrame:

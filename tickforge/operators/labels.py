@@ -46,35 +46,51 @@ def horizons_of(horizons: list[int]) -> list[int]:
     return sorted({h for h in horizons if h > 0})
 
 
+def _horizons(prices: DataFrame, k: int, horizons: list[int], strategy: str, value: float, window: int | None, spreads: DataFrame | None, fallback: float, keys: tuple[str, ...]) -> tuple[DataFrame, list[int]]:
+    """A row a price with the structs h<h> (horizon, pct, threshold, label), null where a horizon lacks prices. All are frames over
+    one partitioning by `keys`; only the spreads of a day are joined, a row a key."""
+    from pyspark.sql import Window
+
+    at, day, t = horizons_of(horizons), Window.partitionBy(*keys), F.col("t")
+    x = prices.select(*keys, "t", "p").withColumns({"__past": F.avg("p").over(_frame(-k, 0, keys)), **{f"__next{h}": F.avg("p").over(_frame(h - k, h, keys)) for h in at}})
+    x = _counted(x, keys)
+    there = {h: (t >= k) & (t < F.col("__n") - h - k) for h in at}
+    x = x.withColumns({f"__pct{h}": F.when(there[h], (F.col(f"__next{h}") - F.col("__past")) / F.col("__past")) for h in at})
+    if strategy == "fixed" or strategy == "spread" and spreads is None:
+        limit = {h: F.lit(float(value if strategy == "fixed" else fallback)) for h in at}
+    elif strategy == "spread":
+        last = spreads.groupBy(*keys).agg(F.max("t").alias("__end"))
+        tail = spreads.join(last, [*keys]).where(t > F.col("__end") - window) if window else spreads
+        x = x.join(tail.groupBy(*keys).agg((F.avg("spread") * value).alias("__spread")), [*keys], "left")
+        limit = {h: F.coalesce("__spread", F.lit(float(fallback))) for h in at}
+    else:
+        tail = there
+        if window:
+            x = x.withColumns({f"__end{h}": F.max(F.when(there[h], t)).over(day) for h in at})
+            tail = {h: there[h] & (t > F.col(f"__end{h}") - window) for h in at}
+        changes = {h: F.when(tail[h], F.abs(f"__pct{h}")) for h in at}
+        x = x.withColumns({f"__limit{h}": (F.percentile(changes[h], 1.0 - value).over(day) if strategy == "quantile" else F.avg(changes[h]).over(day) / value) for h in at})
+        limit = {h: F.col(f"__limit{h}") for h in at}
+    one = lambda h: F.struct(F.lit(h).alias("horizon"), F.col(f"__pct{h}").alias("pct"), limit[h].alias("threshold"), _class(F.col(f"__pct{h}"), limit[h]).alias("label"))
+    return x.select(*keys, "t", *(F.when(there[h], one(h)).alias(f"h{h}") for h in at)), at
+
+
 def multi_horizon(prices: DataFrame, k: int, horizons: list[int], strategy: str = "fixed", value: float = 0.002, window: int | None = None, spreads: DataFrame | None = None, fallback: float = 0.002, keys: tuple[str, ...] = DAY) -> DataFrame:
     """(keys, horizon, t, pct, threshold, label) of each horizon. Thresholds of a day and horizon:
 
     fixed: `value`; quantile: the 1 - `value` quantile of the last `window` absolute changes; dynamic: mean
     absolute change by `value`; spread: mean of the day's last `window` relative spreads (keys, t, spread) times
     `value`, or `fallback` without any."""
-    parts = []
-    for h in horizons_of(horizons):
-        parts.append(tlob_change(prices, k, h, keys).withColumn("horizon", F.lit(h)))
-    x = parts[0]
-    for p in parts[1:]:
-        x = x.unionByName(p)
-    by = [*keys, "horizon"]
-    if strategy == "fixed":
-        x = x.withColumn("threshold", F.lit(float(value)))
-    elif strategy == "spread":
-        if spreads is None:
-            x = x.withColumn("threshold", F.lit(float(fallback)))
-        else:
-            last = spreads.groupBy(*keys).agg(F.max("t").alias("__end"))
-            tail = spreads.join(last, [*keys]).where(F.col("t") > F.col("__end") - window) if window else spreads
-            x = x.join(tail.groupBy(*keys).agg((F.avg("spread") * value).alias("threshold")), [*keys], "left").withColumn("threshold", F.coalesce("threshold", F.lit(float(fallback))))
-    else:
-        tail = x
-        if window:
-            tail = x.join(x.groupBy(*by).agg(F.max("t").alias("__end")), by).where(F.col("t") > F.col("__end") - window)
-        stat = F.percentile(F.abs("pct"), 1.0 - value) if strategy == "quantile" else F.avg(F.abs("pct")) / value
-        x = x.join(tail.groupBy(*by).agg(stat.alias("threshold")), by)
-    return x.withColumn("label", _class(F.col("pct"), F.col("threshold"))).select(*by, "t", "pct", "threshold", "label")
+    x, at = _horizons(prices, k, horizons, strategy, value, window, spreads, fallback, keys)
+    x = x.select(*keys, "t", F.explode(F.array(*(f"h{h}" for h in at))).alias("x")).where("x IS NOT NULL")
+    return x.select(*keys, "x.horizon", "t", "x.pct", "x.threshold", "x.label")
+
+
+def shared_horizons(prices: DataFrame, k: int, horizons: list[int], strategy: str = "fixed", value: float = 0.002, window: int | None = None, spreads: DataFrame | None = None, fallback: float = 0.002, keys: tuple[str, ...] = DAY) -> DataFrame:
+    """(keys, t, label_<h>...) of the t that every horizon labels: `multi_horizon` and `align.intersect_horizons` in one,
+    which turns no rows into columns."""
+    x, at = _horizons(prices, k, horizons, strategy, value, window, spreads, fallback, keys)
+    return x.select(*keys, "t", *(F.col(f"h{h}.label").alias(f"label_{h}") for h in at)).dropna()
 
 
 def opportunity(prices: DataFrame, h: int, up: float, down: float | None = None, conflict: str = "larger", keys: tuple[str, ...] = DAY) -> DataFrame:

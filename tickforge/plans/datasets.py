@@ -252,7 +252,7 @@ def _splits(s, d):
 
 
 def _aligned(s, d):
-    wide = align.intersect_horizons(labels.multi_horizon(mids(s, d), K, HORIZONS, value=THETA), [5, 10, 20])
+    wide = labels.shared_horizons(mids(s, d), K, HORIZONS, value=THETA)
     return align.align(sequences.ends(_samples(s, d), WINDOW, STRIDE), wide, WINDOW, STRIDE)
 
 
@@ -299,7 +299,7 @@ QUERIES = {
     "seq_offsets": Query(lambda s, d: sequences.offsets(_samples(s, d), WINDOW, STRIDE), OFFSETS + "\n---\nSELECT * FROM o", KEYS, ["seq_id", "offset", "sample_idx"], []),
     "seq_features": Query(lambda s, d: sequences.materialize(_vectors(s, d), COLUMNS, WINDOW, STRIDE).select("day", "seq_id", F.posexplode("features").alias("offset", "v")).select("day", "seq_id", "offset", F.col("v")[0].alias("p"), F.col("v")[1].alias("q")), OFFSETS + "\n---\nSELECT o.day, seq_id, \"offset\", p, o.sample_idx * 0.5e0 AS q FROM o JOIN s USING (day, sample_idx)", KEYS, ["seq_id", "offset"], ["p", "q"]),
     "multiscale": Query(lambda s, d: sequences.multiscale(_samples(s, d), SCALES), MULTISCALE, [*KEYS, "scale"], ["seq_id", "end_idx", "duration_ns"], []),
-    "horizon_intersect": Query(lambda s, d: align.intersect_horizons(labels.multi_horizon(mids(s, d), K, HORIZONS, value=THETA), [5, 10, 20]), INTERSECT + "\n---\nSELECT * FROM hz", KEYS, ["t", "label_5", "label_10", "label_20"], []),
+    "horizon_intersect": Query(lambda s, d: labels.shared_horizons(mids(s, d), K, HORIZONS, value=THETA), INTERSECT + "\n---\nSELECT * FROM hz", KEYS, ["t", "label_5", "label_10", "label_20"], []),
     "align_join": Query(_aligned, INTERSECT + ", " + SEQ[SEQ.index("s AS (SELECT day, t AS sample_idx") :] + f"\n---\nSELECT q.day, seq_id, t, label_5, label_10, label_20 FROM q JOIN hz ON hz.day = q.day AND hz.t = seq_id * {STRIDE} + {WINDOW - 1}", KEYS, ["seq_id", "t", "label_5", "label_10", "label_20"], []),
     "norm_zscore": Query(_z(), z_sql("UNBOUNDED PRECEDING"), KEYS, ["t"], ["p_z"], fine=False),
     "norm_zscore_window": Query(_z(30), z_sql("29 PRECEDING"), KEYS, ["t"], ["p_z"], fine=False),
