@@ -60,3 +60,11 @@ def test_horizons_are_frames_of_one_partitioning(spark, name):
 def test_labels_and_sequences_are_merged(spark):
     plan = plan_of(spark, "align_join")
     assert "SortMergeJoin" in plan and not re.search(r"Broadcast|Union|Aggregate", plan), plan
+
+
+@pytest.mark.parametrize("name", ["dataset_sequences", "dataset_multiscale"])
+def test_only_day_tables_are_broadcast(spark, name):
+    """Samples, labels and sequences grow with the input; however small they look, they are merged or not joined at all."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"Join \[day#\d+, ", plan.replace("SortMergeJoin", ""))
+    assert all("BroadcastHashJoin [day#" in line and line.count("day#") == 2 and "_idx" not in line.split("Inner")[0] for line in plan.splitlines() if "BroadcastHashJoin" in line)
